@@ -1,8 +1,9 @@
-"""Connected components by label propagation with pointer jumping, as DataFrame joins.
+"""Connected components by contraction, as DataFrame joins.
 
-Every round each vertex takes the smallest label among its own and its neighbours', and the edges
-are then rewritten between labels, so the graph shrinks: rounds grow with the logarithm of the
-longest chain. Rounds are cut with checkpoint(). Null ends and self loops are ignored.
+Every round each vertex points to its smallest neighbour or itself, pointers are followed once more,
+and the edges are rewritten between the vertices pointed to: the graph shrinks by half or more, so
+rounds grow with the logarithm of the longest chain. Each round is cut with checkpoint(); its
+tables are kept in as many partitions as their rows need. Null ends and self loops are ignored.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docloom.sources.scratch import kept
 
+ROWS = 100_000  # a partition of a round's tables
+
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """vertices(fp), edges(a, b) -> (fp, component): component is the smallest fp that is reachable.
@@ -19,22 +22,19 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Only ends of edges take part in the rounds; other vertices are their own component.
     """
     live = kept(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not live.head(1):
-        return kept(vertices.select("fp", F.col("fp").alias("component")))
-    labels = None
-    while live.head(1):
-        # each vertex points to its smallest neighbour or itself: a forest, as pointers only fall
+    n, labels = live.count(), None
+    while n:
+        parts = 1 + n // ROWS
         ends = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # pointers only fall, so they form a forest
         point = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("v"), "to")
-        point = kept(point)
-        jump = point.select(F.col("v").alias("_v"), F.col("to").alias("_to"))
-        for _ in range(2):
-            point = point.join(jump, F.col("to") == F.col("_v")).select("v", F.col("_to").alias("to"))
-            jump = point.select(F.col("v").alias("_v"), F.col("to").alias("_to"))
-        point = kept(point)
-        now = point.select(F.col("v").alias("_v"), F.col("to").alias("_to"))
+        hop = point.toDF("_v", "_to")
+        point = kept(point.join(hop, F.col("to") == F.col("_v")).select("v", F.col("_to").alias("to")).coalesce(2 * parts))
+        now, other = point.toDF("_v", "_to"), point.toDF("_w", "_u")
         labels = point if labels is None else labels.join(now, F.col("to") == F.col("_v"), "left").select("v", F.coalesce("_to", "to").alias("to"))
-        other = now.toDF("_w", "_u")
-        live = live.join(now, F.col("a") == F.col("_v")).join(other, F.col("b") == F.col("_w")).select(F.least("_to", "_u").alias("a"), F.greatest("_to", "_u").alias("b")).filter("a != b").distinct()
-        labels, live = kept(labels), kept(live)
+        moved = live.join(now, F.col("a") == F.col("_v")).join(other, F.col("b") == F.col("_w"))
+        live = kept(moved.select(F.least("_to", "_u").alias("a"), F.greatest("_to", "_u").alias("b")).filter("a <> b").distinct().coalesce(parts))
+        n = live.count()
+    if labels is None:
+        return kept(vertices.select("fp", F.col("fp").alias("component")))
     return kept(vertices.join(labels, F.col("fp") == F.col("v"), "left").select("fp", F.coalesce("to", "fp").alias("component")))

@@ -108,7 +108,7 @@ def extract_step_evidence(contexts: DataFrame, rows: int = STEP_ROWS, chars: int
 def assign_citation_ids(evidence: DataFrame) -> DataFrame:
     """M9: evidence(question_id, step, position, source_id, ..) with ids E1.. shared by all steps, in first-seen order."""
     first = evidence.groupBy("question_id", "source_id").agg(F.min(F.struct("step", "position")).alias("_at"))
-    ids = first.select("question_id", "source_id", F.concat(F.lit("E"), F.row_number().over(W.partitionBy("question_id").orderBy("_at"))).alias("citation_id"))
+    ids = first.select("question_id", "source_id", F.concat(F.lit("E"), F.row_number().over(W.partitionBy("question_id").orderBy("_at", "source_id"))).alias("citation_id"))
     return evidence.join(ids, ["question_id", "source_id"])
 
 

@@ -757,7 +757,7 @@ def m8_extract_step_evidence(spark: SparkSession, d: str) -> DataFrame:
     return ev.extract_step_evidence(_contexts(spark, d), rows=1000, depth=6).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH f AS (SELECT l_suppkey AS question_id, l_partkey, min(l_orderkey * 10 + l_linenumber) AS first_at FROM lineitem GROUP BY 1, 2) SELECT question_id, CAST(l_partkey AS VARCHAR) AS source_id, 'E' || row_number() OVER (PARTITION BY question_id ORDER BY first_at) AS citation_id FROM f")
+@query("WITH f AS (SELECT l_suppkey AS question_id, l_partkey, min(l_orderkey * 10 + l_linenumber) AS first_at FROM lineitem GROUP BY 1, 2) SELECT question_id, CAST(l_partkey AS VARCHAR) AS source_id, 'E' || row_number() OVER (PARTITION BY question_id ORDER BY first_at, CAST(l_partkey AS VARCHAR)) AS citation_id FROM f")
 def m9_assign_citation_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("question_id"), F.col("l_orderkey").alias("step"), F.col("l_linenumber").alias("position"), F.col("l_partkey").cast("string").alias("source_id"))
     return ev.assign_citation_ids(rows).select("question_id", "source_id", "citation_id").distinct()
