@@ -2,8 +2,9 @@
 
 Every round each vertex points to its smallest neighbour or itself, pointers are followed once more,
 and the edges are rewritten between the vertices pointed to: the graph shrinks by half or more, so
-rounds grow with the logarithm of the longest chain. Each round is cut with checkpoint(); its
-tables are kept in as many partitions as their rows need. Null ends and self loops are ignored.
+rounds grow with the logarithm of the longest chain. Each round is cut with written tables (after a
+checkpoint the planner's size estimates multiply from round to round), in as many partitions as
+their rows need. Null ends and self loops are ignored.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.sources.scratch import kept
+from docloom.sources.scratch import written
 
 ROWS = 100_000  # a partition of a round's tables
 
 
+def kept(df: DataFrame) -> DataFrame:
+    return written(df, "components")
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """vertices(fp), edges(a, b) -> (fp, component): component is the smallest fp that is reachable.
 
