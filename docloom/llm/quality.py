@@ -153,9 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: F.Co
     # doc_id may repeat in documents: the bound holds for the rows too
     found = sample.mapInArrow(cut, "id long, label int, chunks binary").orderBy(F.xxhash64("id"), "id", "chunks").limit(max_train).collect()
     parts = [np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK) for r in found]
+    labels = np.array([r["label"] for r in found], np.float32)
     firsts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     chunks = np.concatenate(parts) if parts else np.zeros((0, CHUNK), np.int16)
-    return fit(chunks, firsts, np.array([r["label"] for r in found], np.float32))
+    del found, parts
+    return fit(chunks, firsts, labels)
 
 
 def with_score(docs: DataFrame, model: dict, columns: list[str], out: str = "score", least: float | None = None) -> DataFrame:

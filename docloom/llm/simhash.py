@@ -151,10 +151,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _probes(k: int, group: list[int], most: int) -> F.Column:
-    """(k, value) of a fingerprint's bits of the group and of all values within ``most`` bits."""
-    own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
-    return F.transform(F.lit(_masks(group, most)), lambda m: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(m).alias("v")))
+def _probes(rows: DataFrame, probed: list[tuple[int, list[int], int]]) -> DataFrame:
+    """rows(fp, component) with (k, v) for each probed partition k: all values within its threshold of the own one."""
+    table = [(k, np.int64(_signed(sum(1 << b for b in group))), np.array(_masks(group, t), np.int64)) for k, group, t in probed]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                fp, component = (np.asarray(batch.column(c).slice(i, 2000)) for c in (0, 1))
+                for k, base, masks in table:
+                    v = ((fp & base)[:, None] ^ masks).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(masks))), pa.array(np.repeat(component, len(masks))), pa.array(np.full(len(v), k)), pa.array(v)], ["fp", "component", "k", "v"])
+
+    return rows.select("fp", "component").mapInArrow(emit, "fp long, component long, k long, v long")
 
 
 def _chained(prints: DataFrame, groups: list[list[int]], distance: int) -> DataFrame:
@@ -193,11 +202,9 @@ def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], D
     chosen = plan(n, both, distance)
     first = components(prints, verify(_chained(prints, [g for g, _ in chosen], distance).distinct()))
     probed = [(k, g, t) for k, (g, t) in enumerate(chosen) if t >= 0]
-    signs = []
-    for wide in (True, False):
-        cells = F.flatten(F.array(*[_probes(k, group, t if wide else 0) for k, group, t in probed]))
-        signs.append(first.select("fp", "component", F.explode(cells).alias("s")).select("fp", "component", "s.k", "s.v"))
-    a, b = (x.toDF(f"fp_{s}", f"c_{s}", f"k_{s}", f"v_{s}") for x, s in zip(signs, "ab", strict=True))
+    # one side has its own value in each partition, the other all values within the threshold
+    a = _probes(first, probed).toDF("fp_a", "c_a", "k_a", "v_a")
+    b = _probes(first, [(k, g, 0) for k, g, _ in probed]).toDF("fp_b", "c_b", "k_b", "v_b")
     # a pair is met from both sides, as the wide side has any value within t of its own; one is enough
     found = a.join(b, (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("c_a") < F.col("c_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance))
     pairs = verify(found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
@@ -265,11 +272,11 @@ def deduplicated(docs: DataFrame, distance: int = 8, width: int = 5, least: floa
     have a Jaccard similarity of ``least`` or more; empty texts form one class.
     """
     columns = docs.columns
-    fp, component, order = name_apart(docs, "fp", "component", "order")
+    fp, component, order, of, first_of = name_apart(docs, "fp", "component", "order", "of", "first_of")
     marked = written(with_fingerprint(docs, columns, fp, width), "simhash")
     slim = marked.select(F.col(fp).alias("fp"), F.col("text").alias("text"))
-    classes = linked(slim.select("fp"), distance, _alike(slim, width, least)).toDF("_fp", component)
+    classes = linked(slim.select("fp"), distance, _alike(slim, width, least)).toDF(of, component)
     key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id())
-    named = written(marked.join(classes, F.col(fp) == F.col("_fp")).withColumn(order, key).drop("_fp", fp), "simhash-classes")
-    first = named.groupBy(component).agg(F.min(order).alias("_first")).select("_first")
-    return named.join(first, F.col(order) == F.col("_first"), "left_semi").select(*columns)
+    named = written(marked.join(classes, F.col(fp) == F.col(of)).withColumn(order, key).drop(of, fp), "simhash-classes")
+    first = named.groupBy(component).agg(F.min(order).alias(first_of)).select(first_of)
+    return named.join(first, F.col(order) == F.col(first_of), "left_semi").select(*columns)
