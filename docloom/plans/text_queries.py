@@ -28,8 +28,12 @@ def comparable_sql(x: str) -> str:
     return rf"trim(regexp_replace(lower(regexp_replace(regexp_replace({x}, 'INFOID:\s*\d+', ' ', 'g'), '\b[A-Z]{{2,4}}-\d+\b', ' ', 'g')), '\s+', ' ', 'g'))"
 
 
-def grams_sql(x: str) -> str:
-    return f"list_distinct(list_transform(range(1, greatest(len(regexp_extract_all({x}, '[0-9a-z㐀-鿿]+')) - 1, 1)), lambda i: array_to_string(list_slice(regexp_extract_all({x}, '[0-9a-z㐀-鿿]+'), i, i + 2), ' ')))"
+WORDS = "'[0-9a-z㐀-鿿]+'"
+
+
+def grams_sql(words: str) -> str:
+    """Of a column of words, so that they are not found anew for every trigram."""
+    return f"list_distinct(list_transform(range(1, greatest(len({words}) - 1, 1)), lambda i: {words}[i] || ' ' || {words}[i + 1] || ' ' || {words}[i + 2]))"
 
 
 STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
@@ -278,9 +282,9 @@ def p21_source_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- passages ----
-PASSAGES = rf"""{v.BLOCKS}, norm AS (SELECT *, {comparable_sql('text')} AS n FROM blocks), items AS (SELECT row_number() OVER () AS id, document_id, page, ordinal, text, g, len(g) AS size FROM (SELECT *, {grams_sql('n')} AS g FROM norm WHERE length(n) >= 120) WHERE len(g) > 0),
-grams AS (SELECT id, document_id, page, size, unnest(g) AS gram FROM items),
-links AS (SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.id <> b.id AND a.size <= b.size AND (a.document_id <> b.document_id OR a.page <> b.page) WHERE a.size >= 0.6 * b.size GROUP BY a.id, b.id, a.size HAVING count(*) / a.size >= 0.9)"""
+PASSAGES = rf"""{v.BLOCKS}, norm0 AS MATERIALIZED (SELECT *, {comparable_sql('text')} AS n FROM blocks), norm AS MATERIALIZED (SELECT *, regexp_extract_all(n, {WORDS}) AS ws FROM norm0 WHERE length(n) >= 120), items AS MATERIALIZED (SELECT row_number() OVER () AS id, document_id, page, ordinal, text, g, len(g) AS size FROM (SELECT *, {grams_sql('ws')} AS g FROM norm) WHERE len(g) > 0),
+grams AS MATERIALIZED (SELECT id, document_id, page, size, unnest(g) AS gram FROM items),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.id <> b.id AND a.size <= b.size AND (a.document_id <> b.document_id OR a.page <> b.page) WHERE a.size >= 0.6 * b.size GROUP BY a.id, b.id, a.size HAVING count(*) / a.size >= 0.9)"""
 
 
 @query(f"""WITH RECURSIVE {PASSAGES}, both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS id, a AS other FROM both_ UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON e.a = r.other),
@@ -297,7 +301,7 @@ def d1_content_words(spark: SparkSession, d: str) -> DataFrame:
     return v.blocks(spark, d).select("document_id", "page", "ordinal", F.size(t.content_words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query(f"WITH {v.BLOCKS}, n AS (SELECT document_id, page, ordinal, {comparable_sql('text')} AS n FROM blocks) SELECT document_id, page, ordinal, length(n) AS n_chars, len({grams_sql('n')}) AS n_grams FROM n")
+@query(f"WITH {v.BLOCKS}, n AS (SELECT document_id, page, ordinal, {comparable_sql('text')} AS n FROM blocks), w AS MATERIALIZED (SELECT *, regexp_extract_all(n, {WORDS}) AS ws FROM n) SELECT document_id, page, ordinal, length(n) AS n_chars, len({grams_sql('ws')}) AS n_grams FROM w")
 def v9_trigrams(spark: SparkSession, d: str) -> DataFrame:
     c = t.comparable(F.col("text"))
     return v.blocks(spark, d).select("document_id", "page", "ordinal", F.length(c).cast("long").alias("n_chars"), F.size(t.trigrams(c)).cast("long").alias("n_grams"))
@@ -355,7 +359,7 @@ def d6_duplicate_citations(spark: SparkSession, d: str) -> DataFrame:
     return passages.with_duplicate_citations(found, places, groups, meta, short).select("question_id", "rank", "evidence_id", "document_id", "page", "added_by")
 
 
-@query(rf"""WITH n AS (SELECT source AS document_id, doc_id AS page, {comparable_sql('text')} AS n FROM documents), s AS (SELECT document_id, page, {grams_sql('n')} AS g FROM n), g AS (SELECT document_id, page, len(g) AS size, unnest(g) AS gram FROM s),
+@query(rf"""WITH n AS (SELECT source AS document_id, doc_id AS page, {comparable_sql('text')} AS n FROM documents), w AS MATERIALIZED (SELECT *, regexp_extract_all(n, {WORDS}) AS ws FROM n), s AS MATERIALIZED (SELECT document_id, page, {grams_sql('ws')} AS g FROM w), g AS MATERIALIZED (SELECT document_id, page, len(g) AS size, unnest(g) AS gram FROM s),
 p AS (SELECT a.document_id, a.page, b.page AS other, count(*) AS same, any_value(a.size) AS x, any_value(b.size) AS y FROM g a JOIN g b ON a.document_id = b.document_id AND a.gram = b.gram AND a.page <> b.page WHERE a.size >= 0.9 * b.size AND b.size >= 0.9 * a.size GROUP BY 1, 2, 3)
 SELECT document_id, page, other FROM p WHERE same / (x + y - same) >= 0.9 UNION SELECT source, doc_id, doc_id FROM documents""")
 def d7_page_equivalence(spark: SparkSession, d: str) -> DataFrame:
