@@ -8,7 +8,7 @@ Only positions that are the minimum of some run of t have one, about 2 n / (t +
 Windows of equal minimum meet in an equi-join, together with the hash of the words just before or
 just after the minimum: a repeated passage agrees on at least one side, while a short common phrase
 falls into as many groups as it has surroundings. A group links its members to its first one (the
-class representative), never all pairs. The windows' reaches bound the passage on both sides of the
+class representative); those that fail verification meet the next ones, until none is left. The windows' reaches bound the passage on both sides of the
 minimum (interval join); links of all hash functions between two documents on near diagonals are
 one candidate, which is verified on the words themselves: from the minimum outward the passage
 grows as long as at least ``similarity`` of its shingles are common, and it counts if both sides
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import kept, mix, ngrams, text_slices, word_hashes, written
@@ -115,13 +115,33 @@ def windows(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORD
     return rows.mapInArrow(cut, "key long, doc_id long, place long")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(doc_id, other_id, diagonal, seeds, start, end): windows of a group against its first one, merged by diagonal."""
+def members(found: DataFrame) -> DataFrame:
+    """(key, doc_id, place): windows whose key stands in two documents or more."""
     # most keys stand in one document: those go first, on the keys and ids alone
-    ids = found.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter(F.col("last") != F.col("head")).select(F.col("key").alias("_key"), "head")
-    met = kept(found.join(ids, found.key == F.col("_key")).select("key", "doc_id", "place", "head"))
-    heads = met.filter(F.col("doc_id") == F.col("head")).groupBy("key").agg(F.min("place").alias("head_place"))
-    pairs = met.filter(F.col("doc_id") != F.col("head")).join(heads, "key")
+    ids = found.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter(F.col("last") != F.col("head")).select(F.col("key").alias("_key"))
+    return found.join(ids, found.key == F.col("_key"), "left_semi").select("key", "doc_id", "place")
+
+
+def first_ids(met: DataFrame, n: int) -> DataFrame:
+    """(key, head): the n smallest doc_ids of each key."""
+    if n == 1:
+        return met.groupBy("key").agg(F.min("doc_id").alias("head"))
+    out = met.select("key", F.col("doc_id").alias("head")).distinct()
+    # in two levels, so that a key of many documents is no single task's
+    for by in (["key", F.pmod(F.xxhash64("head"), F.lit(64))], ["key"]):
+        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("head"))).filter(F.col("_rank") <= n).drop("_rank")
+    return out
+
+
+def met_with(met: DataFrame, heads: DataFrame) -> DataFrame:
+    """(key, doc_id, place, head, head_place): each window against those of its key's heads with smaller ids."""
+    owned = met.join(heads, (met["key"] == heads["key"]) & (met["doc_id"] == heads["head"]), "left_semi").select(F.col("key").alias("_key"), F.col("doc_id").alias("head"), F.col("place").alias("head_place"))
+    first = owned.groupBy("_key", "head").agg(F.min("head_place").alias("head_place"))
+    return met.join(first, (met.key == F.col("_key")) & (met.doc_id > F.col("head"))).drop("_key")
+
+
+def candidates(pairs: DataFrame) -> DataFrame:
+    """(doc_id, other_id, diagonal, seeds, start, end): windows against those of heads, merged by diagonal."""
     part = lambda c, shift: F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit(REACH)).cast("int")
     c, other = F.shiftrightunsigned("place", 32).cast("int"), F.shiftrightunsigned("head_place", 32).cast("int")
     link = pairs.select("doc_id", F.col("head").alias("other_id"), c.alias("c"), (c - other).alias("diagonal"), F.least(part("place", 16), part("head_place", 16)).alias("before"), F.least(part("place", 0), part("head_place", 0)).alias("after"))
@@ -187,11 +207,10 @@ def passages_of(a: np.ndarray, b: np.ndarray, diagonal: int, seeds: list[int], s
 def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORDS, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, other_id, start_word, end_word, other_start, other_end, n_words, similarity).
 
-    A passage of doc_id that repeats one of other_id, the representative of its class; ends exclusive.
+    A passage of doc_id that repeats one of other_id, a representative of its class; ends exclusive.
     """
-    found = windows(docs, hashes, least_words, width)
-    pairs = kept(candidates(found))
-    need = kept(pairs.select(F.explode(F.array("doc_id", "other_id")).alias("doc_id")).distinct())
+    rest = kept(members(windows(docs, hashes, least_words, width)))
+    need = kept(rest.select("doc_id").distinct())
     if need.count() <= SEND_IDS:  # 16 MB of ids; more are joined by a shuffle
         need = F.broadcast(need)
 
@@ -221,6 +240,21 @@ def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WOR
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array([float(v) if t == pa.float64() else int(v) for v in c], t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    joined = pairs.join(a, pairs.doc_id == a._a).join(b, F.col("other_id") == b._b).select("doc_id", "other_id", "diagonal", "seeds", "start", "end", "a", "b")
     schema = "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, n_words long, similarity double"
-    return joined.mapInArrow(verify, schema).distinct()
+    out, n_heads = None, 1
+    # a group's members that are no repeat of its first document's passage meet the next one, until none is left
+    while out is None or not rest.isEmpty():
+        heads = kept(first_ids(rest, n_heads))
+        met = met_with(rest, heads)
+        pairs = candidates(met)
+        joined = pairs.join(a, pairs.doc_id == a._a).join(b, F.col("other_id") == b._b).select("doc_id", "other_id", "diagonal", "seeds", "start", "end", "a", "b")
+        found = kept(joined.mapInArrow(verify, schema).distinct())
+        out = found if out is None else out.unionByName(found)
+        # a window within a passage that its own group's head has is settled; twice as many heads at once keep the rounds few
+        v = found.select(F.col("doc_id").alias("_doc"), F.col("other_id").alias("_other"), "start_word", "end_word").distinct()
+        c = F.shiftrightunsigned("place", 32).cast("int")
+        settled = met.join(v, (F.col("doc_id") == F.col("_doc")) & (F.col("head") == F.col("_other")) & (c >= F.col("start_word")) & (c <= F.col("end_word") - width)).select("key", "doc_id", "place").distinct()
+        left = rest.join(heads, (rest["key"] == heads["key"]) & (rest["doc_id"] == heads["head"]), "left_anti").join(settled, ["key", "doc_id", "place"], "left_anti")
+        rest = kept(members(left))
+        n_heads *= 2
+    return out.distinct()
