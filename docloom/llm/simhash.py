@@ -152,38 +152,40 @@ def _signed(x: int) -> int:
 
 
 def _probes(rows: DataFrame, probed: list[tuple[int, list[int], int]]) -> DataFrame:
-    """rows(fp, component) with (k, v) for each probed partition k: all values within its threshold of the own one."""
+    """rows(fp, component, id if any) with (k, v) for each probed partition k: all values within its threshold of the own one."""
+    names = [c for c in ("fp", "component", "id") if c in rows.columns]
     table = [(k, np.int64(_signed(sum(1 << b for b in group))), np.array(_masks(group, t), np.int64)) for k, group, t in probed]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
-                fp, component = (np.asarray(batch.column(c).slice(i, 2000)) for c in (0, 1))
+                own = [np.asarray(c.slice(i, 2000)) for c in batch.columns]
                 for k, base, masks in table:
-                    v = ((fp & base)[:, None] ^ masks).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(masks))), pa.array(np.repeat(component, len(masks))), pa.array(np.full(len(v), k)), pa.array(v)], ["fp", "component", "k", "v"])
+                    v = ((own[0] & base)[:, None] ^ masks).ravel()
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, len(masks))) for x in own), pa.array(np.full(len(v), k)), pa.array(v)], [*names, "k", "v"])
 
-    return rows.select("fp", "component").mapInArrow(emit, "fp long, component long, k long, v long")
+    return rows.select(*names).mapInArrow(emit, ", ".join(f"{c} long" for c in [*names, "k", "v"]))
 
 
 def _chained(prints: DataFrame, groups: list[list[int]], distance: int) -> DataFrame:
-    """Links of fingerprints next to each other in sorted orders that begin with each partition's bits."""
-    out = None
+    """Links of rows next to each other in sorted orders that begin with each partition's bits."""
+    out, names = None, [c for c in ("fp", "id") if c in prints.columns]
     for group in groups:
         mask = _signed(sum(1 << b for b in group))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            before = np.zeros(0, np.int64)
+            before = [np.zeros(0, np.int64)] * len(names)
             for batch in batches:
-                raw = np.concatenate([before, np.asarray(batch.column(0))])
+                own = [np.concatenate([x, np.asarray(c)]) for x, c in zip(before, batch.columns, strict=True)]
+                raw, ids = own[0], own[-1]
                 for gap in (1, 2):
                     if len(raw) > gap:
-                        a, b = raw[:-gap], raw[gap:]
-                        ok = np.bitwise_count((a ^ b).view(np.uint64)) <= distance
-                        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-                before = raw[-2:]
+                        ok = np.bitwise_count((raw[:-gap] ^ raw[gap:]).view(np.uint64)) <= distance
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[:-gap][ok]), pa.array(ids[gap:][ok])], ["a", "b"])
+                before = [x[-2:] for x in own]
 
-        sort = prints.select("fp").repartitionByRange(F.col("fp").bitwiseAND(F.lit(mask)), "fp").sortWithinPartitions(F.col("fp").bitwiseAND(F.lit(mask)), "fp")
+        order = [F.col("fp").bitwiseAND(F.lit(mask)), *names]
+        sort = prints.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
         links = sort.mapInArrow(near, "a long, b long")
         out = links if out is None else out.unionByName(links)
     return out
@@ -192,24 +194,30 @@ def _chained(prints: DataFrame, groups: list[list[int]], distance: int) -> DataF
 def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, component): the distinct fingerprints of column ``fp``; component is the smallest one of the class.
 
-    ``verify`` takes pairs (a, b) of fingerprints and returns those that are links.
+    With a column ``id``, the distinct (id, fp) are what is linked, also those of one fingerprint:
+    (id, component). ``verify`` takes pairs (a, b) of ids, or fingerprints, and returns those that
+    are links.
     """
     verify = verify or (lambda pairs: pairs)
-    prints = kept(prints.select("fp").distinct())
+    own = "id" if "id" in prints.columns else "fp"
+    prints = kept(prints.select(*dict.fromkeys([own, "fp"])).distinct())
+    names = prints.select(F.col(own).alias("fp"))
     n, both = _bit_counts(prints)
     if n < 2:
-        return prints.withColumn("component", F.col("fp"))
+        return names.select(F.col("fp").alias(own), F.col("fp").alias("component"))
     chosen = plan(n, both, distance)
-    first = components(prints, verify(_chained(prints, [g for g, _ in chosen], distance).distinct()))
+    first = components(names, verify(_chained(prints, [g for g, _ in chosen], distance).distinct())).toDF(own, "component")
+    links = first.select(F.col(own).alias("a"), F.col("component").alias("b"))
+    if own == "id":
+        first = kept(first.join(prints, "id").select("fp", "component", "id"))
     probed = [(k, g, t) for k, (g, t) in enumerate(chosen) if t >= 0]
     # one side has its own value in each partition, the other all values within the threshold
-    a = _probes(first, probed).toDF("fp_a", "c_a", "k_a", "v_a")
-    b = _probes(first, [(k, g, 0) for k, g, _ in probed]).toDF("fp_b", "c_b", "k_b", "v_b")
+    a, b = _probes(first, probed), _probes(first, [(k, g, 0) for k, g, _ in probed])
+    a, b = (x.select(*(F.col(c).alias(f"{c}_{side}") for c in x.columns)) for x, side in ((a, "a"), (b, "b")))
     # a pair is met from both sides, as the wide side has any value within t of its own; one is enough
-    found = a.join(b, (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("c_a") < F.col("c_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance))
-    pairs = verify(found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct())
-    merged = components(prints, pairs.unionByName(first.select(F.col("fp").alias("a"), F.col("component").alias("b"))))
-    return merged
+    found = a.join(b, (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("component_a") < F.col("component_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance))
+    pairs = verify(found.select(F.col(f"{own}_a").alias("a"), F.col(f"{own}_b").alias("b")).distinct())
+    return components(names, pairs.unionByName(links)).toDF(own, "component")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
@@ -229,19 +237,19 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
 
 
 def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame], DataFrame]:
-    """A check of fingerprint pairs: Jaccard similarity of the shingle sets of one text of each."""
+    """A check of pairs of marked(id, text): Jaccard similarity of the shingle sets."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
-        need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        texts = marked.join(need, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+        need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = marked.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, end, data, offsets in text_slices(batch, "text"):
                     words, firsts = word_hashes(data, offsets)
                     sets = [np.unique(row_shingles(words[i:j], width)).tobytes() for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary())], ["fp", "s"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary())], ["id", "s"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,8 +260,8 @@ def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame],
                     ok.append(same >= least * (len(x) + len(y) - same))
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-        sets = kept(texts.mapInArrow(shingles, "fp long, s binary"))
-        left, right = sets.select(F.col("fp").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("fp").alias("b"), F.col("s").alias("s_b"))
+        sets = kept(texts.mapInArrow(shingles, "id long, s binary"))
+        left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
     return verify
@@ -269,14 +277,15 @@ def deduplicated(docs: DataFrame, distance: int = 8, width: int = 5, least: floa
     """docs with one row of each class of near copies: the smallest doc_id (nulls last), then the text that sorts first.
 
     Texts are linked if their fingerprints differ by at most ``distance`` bits and their shingle sets
-    have a Jaccard similarity of ``least`` or more; empty texts form one class.
+    have a Jaccard similarity of ``least`` or more; only equal texts (by a 64-bit hash of text and
+    fingerprint) go without a check. Empty texts form one class.
     """
     columns = docs.columns
-    fp, component, order, of, first_of = name_apart(docs, "fp", "component", "order", "of", "first_of")
-    marked = written(with_fingerprint(docs, columns, fp, width), "simhash")
-    slim = marked.select(F.col(fp).alias("fp"), F.col("text").alias("text"))
-    classes = linked(slim.select("fp"), distance, _alike(slim, width, least)).toDF(of, component)
+    fp, of_text, component, order, of, first_of = name_apart(docs, "fp", "of_text", "component", "order", "of", "first_of")
+    marked = written(with_fingerprint(docs, columns, fp, width).withColumn(of_text, F.xxhash64("text", fp)), "simhash")
+    slim = marked.select(F.col(of_text).alias("id"), F.col(fp).alias("fp"), F.col("text").alias("text"))
+    classes = linked(slim.select("id", "fp"), distance, _alike(slim.select("id", "text"), width, least)).toDF(of, component)
     key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id())
-    named = written(marked.join(classes, F.col(fp) == F.col(of)).withColumn(order, key).drop(of, fp), "simhash-classes")
+    named = written(marked.join(classes, F.col(of_text) == F.col(of)).withColumn(order, key).drop(of, of_text, fp), "simhash-classes")
     first = named.groupBy(component).agg(F.min(order).alias(first_of)).select(first_of)
     return named.join(first, F.col(order) == F.col(first_of), "left_semi").select(*columns)

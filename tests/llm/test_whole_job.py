@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from docloom.llm import passages
+from docloom.llm import passages, simhash
 
 
 def words(seed: int, n: int) -> list[str]:
@@ -29,3 +29,11 @@ def test_exact_copies_behind_edited_ones(spark):
     got = passages.repeated(spark.createDataFrame(behind_edited_copies(30), "doc_id long, text string")).collect()
     linked = {(r["doc_id"], r["other_id"]) for r in got}
     assert [k for k in range(30) if (10 * k + 6, 10 * k + 5) not in linked] == []
+
+
+def test_unlike_texts_of_one_fingerprint_stay(spark):
+    rows = [(i, " ".join(["dash"] * 60 + words(50 + i, 40))) for i in range(6)]
+    rows.append((9, " ".join(["dash"] * 60 + words(55, 40)[:-1] + ["changed"])))
+    assert len({simhash.fingerprint(x, 5) for _, x in rows}) == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(df).collect()) == [*range(6)]
