@@ -273,7 +273,7 @@ def row_shingles(words: np.ndarray, width: int) -> np.ndarray:
     return ngrams(words, np.array([0, len(words)]), n)[0] if n else words
 
 
-def deduplicated(docs: DataFrame, distance: int = 8, width: int = 5, least: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, distance: int = 14, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each class of near copies: the smallest doc_id (nulls last), then the text that sorts first.
 
     Texts are linked if their fingerprints differ by at most ``distance`` bits and their shingle sets

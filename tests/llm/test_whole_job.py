@@ -37,3 +37,18 @@ def test_unlike_texts_of_one_fingerprint_stay(spark):
     assert len({simhash.fingerprint(x, 5) for _, x in rows}) == 1
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.deduplicated(df).collect()) == [*range(6)]
+
+
+def test_near_copies_beyond_eight_bits_are_found(spark):
+    rng, rows = random.Random(3), []
+    while len(rows) < 40:
+        a = words(rng.randint(0, 10**9), 150)
+        b = list(a)
+        for c in rng.sample(range(150), 3):
+            b[c] = f"q{c}"
+        x, y = ({tuple(w[i : i + 5]) for i in range(146)} for w in (a, b))
+        a, b = " ".join(a), " ".join(b)
+        if len(x & y) >= 0.8 * len(x | y) and 8 < (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() <= 12:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in left) == [*range(0, 40, 2)]
