@@ -43,11 +43,11 @@ def _sliding(x: np.ndarray, t: int, pick: np.ufunc, fill: int) -> np.ndarray:
     return pick(behind[: n - t + 1], ahead[t - 1 : n])
 
 
-def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, t: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r), inclusive: all runs of t or more within [l, r] that hold c have their (leftmost) minimum at c.
 
-    Of equal minima less than t apart only the first has a window. A value of 0 separates texts: no
-    window holds one.
+    Of equal minima less than t apart only the first has a window, unless ``every`` is asked for. A
+    value of 0 separates texts: no window holds one.
     """
     none = np.zeros(0, np.int64)
     if len(h) < t:
@@ -73,12 +73,25 @@ def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
         ok = at >= 0
         ok &= (at < len(low)) & (low[np.clip(at, 0, len(low) - 1)] > value)
         left = np.where(ok, left - size, left)
-    # in text that repeats within t the first of equal minima stands for all: its reach covers them
-    again = (left > 0) & (h[np.maximum(left - 1, 0)] == value) & (c - left + 1 < t)
-    wide = (right - left + 1 >= t) & ~again
+    wide = right - left + 1 >= t
+    if not every:
+        wide &= ~((left > 0) & (h[np.maximum(left - 1, 0)] == value) & (c - left + 1 < t))
     return left[wide], c[wide], right[wide]
 
 
+def same_before(h: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray, t: int) -> np.ndarray:
+    """Whether each window's runs of t that hold c repeat, value by value, runs that hold the equal minimum at lo - 1."""
+    out = (lo > 0) & (h[np.maximum(lo - 1, 0)] == h[c]) & (c - lo + 1 < t)
+    at, steps = np.flatnonzero(out), np.arange(t)
+    for k in range(0, len(at), 10_000):
+        part = at[k : k + 10_000]
+        here, d = c[part, None], (c - lo + 1)[part, None]
+        after = np.minimum(here + steps, hi[part, None])
+        before = np.where(steps < d, here - steps, here)
+        out[part] = (h[after] == h[after - d]).all(1) & ((before >= d) & (h[before] == h[np.maximum(before - d, 0)])).all(1)
+    return out
+
+
 def windows(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORDS, width: int = WIDTH) -> DataFrame:
     """(key, doc_id, place): compact windows, once with the words before and once with those after.
 
@@ -100,7 +113,8 @@ def windows(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORD
                 for f in range(hashes):
                     # shingles that reach into the next text separate the texts
                     h = np.where(inside, mix(grams ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)) | np.uint64(1), np.uint64(0))
-                    lo, c, hi = compact_windows(h, t)
+                    lo, c, hi = compact_windows(h, t, every=True)
+                    again = same_before(h, lo, c, hi, t)
                     reach = [np.minimum(x, REACH).astype(np.uint64) for x in (c - lo, hi - c)]
                     place = ((c - firsts[row[c]]).astype(np.uint64) << np.uint64(32)) | (reach[0] << np.uint64(16)) | reach[1]
                     for side in (0, 1):
@@ -108,6 +122,11 @@ def windows(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORD
                         start = c if side else c + width - CONTEXT
                         ok = (start >= 0) & (start < len(around))
                         ok[ok] = whole[start[ok]] & (row[np.minimum(start[ok], len(row) - 1)] == row[c[ok]])
+                        # in periodic text an equal minimum that has the same neighbours as the one before it goes
+                        past = np.maximum(start - (c - lo + 1), 0)
+                        like = ok & again & (start > c - lo)
+                        like[like] = whole[past[like]] & (row[past[like]] == row[c[like]]) & (around[past[like]] == around[start[like]])
+                        ok &= ~like
                         key = mix(h[c[ok]] + around[start[ok]] * np.uint64(2 * f + side + 3))
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at + row[c[ok]]]), pa.array(place[ok].view(np.int64))], ["key", "doc_id", "place"])
 
@@ -134,10 +153,9 @@ def first_ids(met: DataFrame, n: int) -> DataFrame:
 
 
 def met_with(met: DataFrame, heads: DataFrame) -> DataFrame:
-    """(key, doc_id, place, head, head_place): each window against those of its key's heads with smaller ids."""
+    """(key, doc_id, place, head, head_place): each window against all those of its key's heads with smaller ids."""
     owned = met.join(heads, (met["key"] == heads["key"]) & (met["doc_id"] == heads["head"]), "left_semi").select(F.col("key").alias("_key"), F.col("doc_id").alias("head"), F.col("place").alias("head_place"))
-    first = owned.groupBy("_key", "head").agg(F.min("head_place").alias("head_place"))
-    return met.join(first, (met.key == F.col("_key")) & (met.doc_id > F.col("head"))).drop("_key")
+    return met.join(owned, (met.key == F.col("_key")) & (met.doc_id > F.col("head"))).drop("_key")
 
 
 def candidates(pairs: DataFrame) -> DataFrame:
