@@ -6,6 +6,7 @@ Everything runs in the JVM except nfkc(), which has no built-in and is an Arrow
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 # ---- end of fixed values ----
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -81,9 +87,8 @@ def comparable(text: Column, variant: Column | None = None) -> Column:
 def trigrams(text: Column) -> Column:
     """Distinct runs of three words over ASCII letters, digits and CJK."""
     words = F.regexp_extract_all(text, F.lit("([0-9a-z㐀-鿿]+)"), F.lit(1))
-    n = F.size(words)
-    at = F.when(n > 2, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " ")))
+    at = lambda w: F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(let(words, lambda w: F.transform(at(w), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
 
 
 def content_words(text: Column) -> Column:
@@ -112,14 +117,18 @@ def is_section_heading(line: Column) -> Column:
 
 def strip_leading_folio(text: Column) -> Column:
     """Without an isolated number of 1-4 digits among the first three non-empty lines (not the first)."""
-    lines = lines_of(text)
-    full = F.filter(F.transform(lines, lambda v, i: F.struct(i.alias("i"), strip(v).alias("v"))), lambda x: x["v"] != "")
-    value = lambda k: F.get(full, F.lit(k))["v"]
-    number = lambda k: value(k).rlike(r"(?U)^\d{1,4}$")
-    lone = lambda k: number(k) & (~number(k - 1) | F.coalesce(~number(k + 1), F.lit(False)))
-    drop = F.when(F.coalesce(lone(1), F.lit(False)), F.get(full, F.lit(1))["i"]).when(F.coalesce(lone(2), F.lit(False)), F.get(full, F.lit(2))["i"]).otherwise(-1)
-    kept = F.transform(lines, lambda v, i: F.when(i == drop, F.lit("")).otherwise(v))
-    return F.when(F.size(full) == 0, text).otherwise(strip(F.array_join(kept, "\n")))
+
+    def folio(full: Column) -> Column:
+        value = lambda k: F.get(full, F.lit(k))["v"]
+        number = lambda k: value(k).rlike(r"(?U)^\d{1,4}$")
+        lone = lambda k: F.coalesce(number(k) & (~number(k - 1) | F.coalesce(~number(k + 1), F.lit(False))), F.lit(False))
+        drop = F.when(lone(1), F.get(full, F.lit(1))["i"]).when(lone(2), F.get(full, F.lit(2))["i"]).otherwise(-1)
+        return F.when(F.size(full) > 0, drop)
+
+    lines = F.transform(lines_of(text), lambda v, i: F.struct(i.alias("i"), strip(v).alias("v"), v.alias("whole")))
+    full = lambda cells: F.filter(cells, lambda x: x["v"] != "")
+    less = lambda cells, drop: strip(F.array_join(F.transform(cells, lambda x: F.when(x["i"] == drop, F.lit("")).otherwise(x["whole"])), "\n"))
+    return let(lines, lambda cells: let(folio(full(cells)), lambda drop: F.when(drop.isNull(), text).otherwise(less(cells, drop))))
 
 
 def section_identifier(heading: Column, fallback: Column) -> Column:
@@ -204,12 +213,16 @@ def exact_match(pred: Column, truth: Column) -> Column:
 
 def char_f1(pred: Column, truth: Column) -> Column:
     """Multiset F1 over characters without spaces; both empty: 1."""
-    p, t = (F.replace(normalize_answer(x), F.lit(" "), F.lit("")) for x in (pred, truth))
+    bare = lambda x: F.replace(normalize_answer(x), F.lit(" "), F.lit(""))
     times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
-    letters = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
-    same = F.aggregate(letters, F.lit(0), lambda acc, c: acc + F.least(times(p, c), times(t, c)))
-    precision, recall = same / F.length(p), same / F.length(t)
-    return F.when((F.length(p) == 0) | (F.length(t) == 0), (p == t).cast("double")).when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    def f1(p: Column, t: Column) -> Column:
+        letters = F.array_distinct(F.filter(F.split(t, ""), lambda c: c != ""))
+        shared = F.aggregate(letters, F.lit(0), lambda acc, c: acc + F.least(times(p, c), times(t, c)))
+        score = lambda same: F.when(same == 0, 0.0).otherwise(2 * (same / F.length(p)) * (same / F.length(t)) / (same / F.length(p) + same / F.length(t)))
+        return F.when((F.length(p) == 0) | (F.length(t) == 0), (p == t).cast("double")).otherwise(let(shared, score))
+
+    return let(bare(pred), lambda p: let(bare(truth), lambda t: f1(p, t)))
 
 
 def answer_terms(text: Column) -> Column:
