@@ -1,22 +1,32 @@
 """Substring dedup: passages that repeat, exactly or nearly, in different documents.
 
-Tokens are five-word shingles. For each of ``hashes`` hash functions, all runs of at least t
-shingles (t: those of ``least_words`` words) that share their minimum's position c form one compact
-window (l, c, r): c's reach to the nearest smaller hash on either side, the Cartesian tree's node.
-Only positions that are the minimum of some run of t have one, about 2 n / (t + 1) for n shingles.
-
-Windows of equal minimum meet in an equi-join, together with the hash of the words just before or
-just after the minimum: a repeated passage agrees on at least one side, while a short common phrase
-falls into as many groups as it has surroundings. A group links its members to its first one (the
-class representative); those that fail verification meet the next ones, until none is left. The windows' reaches bound the passage on both sides of the
-minimum (interval join); links of all hash functions between two documents on near diagonals are
-one candidate, which is verified on the words themselves: from the minimum outward the passage
-grows as long as at least ``similarity`` of its shingles are common, and it counts if both sides
-have ``least_words`` words and a Jaccard similarity of shingle sets of ``similarity``.
+Two passages of at least ``least_words`` words with a Jaccard similarity of ``similarity`` on
+``width``-word shingles have a run of ``RUN`` equal words: with e words changed n - width + 1 shingles
+allow e <= (1 - s) / (1 + s) (n - width + 1) / width, and e changes leave a run of (n - e) / (e + 1),
+which is 25 at the least (50 words, one change in the middle). So tokens are runs of ``TOKEN`` words,
+and all runs of t = RUN - TOKEN + 1 tokens that share the position c of their min-hash form one compact
+window (l, c, r): c's reach to the nearest smaller hash on either side, the node of the Cartesian tree.
+Only positions that are the minimum of some run of t have one, about 2 n / (t + 1) for n words. A run of
+RUN equal words has the same minimum in both texts, so one hash function finds every such passage;
+``hashes`` may ask for more.
+
+Windows of equal minimum form a group, and each meets the group's first one (the representative); the
+reaches bound the interval of the passage on both sides of the minimum. Both texts' shingles around it
+come from blocks of ``BLOCK`` words, and the passage is verified on them: it grows from the minimum
+outward as long as at least ``similarity`` of its shingles are common, and counts if both sides have
+``least_words`` words and the Jaccard similarity of their shingle sets is ``similarity``. Blocks cut
+longer passages: a piece each.
+
+If a member of a group repeats no passage of its representative, it may still repeat another member's. On
+50 words around c the two share all but (1 - s) / (1 + s) of the shingles (5), and not all of these can be
+the representative's, so among each one's six nearest shingles before c, or after it, that the
+representative lacks, one is common. Members meet again in groups of representative and such a shingle,
+in rounds until no group has two documents, so no pair is lost; all but the rows of repeated text stand
+alone and go.
 
 Words: runs of anything but white space, ASCII lower case. Null, empty and short texts have no
-windows. Repeats within one document, and rows that repeat one doc_id, are not reported; rows
-without doc_id take no part.
+windows. Texts of any length are cut whole. Repeats within one document, and rows that repeat one
+doc_id, are not reported; rows without doc_id take no part. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import kept, mix, ngrams, text_slices, word_hashes, written
 
-WIDTH, LEAST_WORDS, SIMILARITY, HASHES, CONTEXT = 5, 50, 0.8, 3, 12
-REACH, SEND_IDS = 65_535, 2_000_000
+WIDTH, LEAST_WORDS, SIMILARITY, HASHES, TOKEN, RUN = 5, 50, 0.8, 1, 14, 24
+REACH, SEND_IDS, BLOCK, MARGIN = 65_535, 2_000_000, 512, 128
 
 
 def _sliding(x: np.ndarray, t: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -92,43 +102,33 @@ def same_before(h: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray, t:
     return out
 
 
-def windows(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORDS, width: int = WIDTH) -> DataFrame:
-    """(key, doc_id, place): compact windows, once with the words before and once with those after.
+def windows(docs: DataFrame, hashes: int = HASHES, token: int = TOKEN, run: int = RUN) -> DataFrame:
+    """(key, doc_id, place): compact windows of runs of ``run`` words, by their minimum.
 
-    place packs c and the reaches before and after it, in shingles (32, 16 and 16 bits); a reach of
+    place packs c and the reaches before and after it, in words (32, 16 and 16 bits); a reach of
     65,535 stands for any longer one.
     """
-    t = least_words - width + 1
+    t = run - token + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for at, _, data, offsets in text_slices(batch, "text"):
                 words, firsts = word_hashes(data, offsets)
-                if len(words) < least_words:
+                if len(words) < run:
                     continue
-                grams, inside = ngrams(words, firsts, width)
-                around, whole = ngrams(words, firsts, CONTEXT)
-                row = np.searchsorted(firsts, np.arange(len(grams)), "right") - 1
+                tokens, inside = ngrams(words, firsts, token)
+                row = np.searchsorted(firsts, np.arange(len(tokens)), "right") - 1
                 for f in range(hashes):
-                    # shingles that reach into the next text separate the texts
-                    h = np.where(inside, mix(grams ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)) | np.uint64(1), np.uint64(0))
+                    # tokens that reach into the next text separate the texts
+                    h = np.where(inside, mix(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) & (1 << 64) - 1)) | np.uint64(1), np.uint64(0))
                     lo, c, hi = compact_windows(h, t, every=True)
-                    again = same_before(h, lo, c, hi, t)
+                    new = ~same_before(h, lo, c, hi, t)
+                    lo, c, hi = lo[new], c[new], hi[new]
                     reach = [np.minimum(x, REACH).astype(np.uint64) for x in (c - lo, hi - c)]
                     place = ((c - firsts[row[c]]).astype(np.uint64) << np.uint64(32)) | (reach[0] << np.uint64(16)) | reach[1]
-                    for side in (0, 1):
-                        # words before: those that end with the minimum's shingle; after: those that start with it
-                        start = c if side else c + width - CONTEXT
-                        ok = (start >= 0) & (start < len(around))
-                        ok[ok] = whole[start[ok]] & (row[np.minimum(start[ok], len(row) - 1)] == row[c[ok]])
-                        # in periodic text an equal minimum that has the same neighbours as the one before it goes
-                        past = np.maximum(start - (c - lo + 1), 0)
-                        like = ok & again & (start > c - lo)
-                        like[like] = whole[past[like]] & (row[past[like]] == row[c[like]]) & (around[past[like]] == around[start[like]])
-                        ok &= ~like
-                        key = mix(h[c[ok]] + around[start[ok]] * np.uint64(2 * f + side + 3))
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at + row[c[ok]]]), pa.array(place[ok].view(np.int64))], ["key", "doc_id", "place"])
+                    key = mix(h[c] + np.uint64(f))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at + row[c]]), pa.array(place.view(np.int64))], ["key", "doc_id", "place"])
 
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(cut, "key long, doc_id long, place long")
@@ -141,33 +141,42 @@ def members(found: DataFrame) -> DataFrame:
     return found.join(ids, found.key == F.col("_key"), "left_semi").select("key", "doc_id", "place")
 
 
-def first_ids(met: DataFrame, n: int) -> DataFrame:
-    """(key, head): the n smallest doc_ids of each key."""
-    if n == 1:
-        return met.groupBy("key").agg(F.min("doc_id").alias("head"))
-    out = met.select("key", F.col("doc_id").alias("head")).distinct()
-    # in two levels, so that a key of many documents is no single task's
-    for by in (["key", F.pmod(F.xxhash64("head"), F.lit(64))], ["key"]):
-        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("head"))).filter(F.col("_rank") <= n).drop("_rank")
-    return out
+def met_with_heads(rest: DataFrame) -> DataFrame:
+    """(doc_id, place, head, head_place): each window and the first one of its group."""
+    heads = rest.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("doc_id", "place")).alias("_head"))
+    met = rest.join(heads, rest["key"] == F.col("_key")).select("doc_id", "place", F.col("_head.doc_id").alias("head"), F.col("_head.place").alias("head_place"))
+    return met.filter((F.col("doc_id") != F.col("head")) | (F.col("place") != F.col("head_place")))
 
 
-def met_with(met: DataFrame, heads: DataFrame) -> DataFrame:
-    """(key, doc_id, place, head, head_place): each window against all those of its key's heads with smaller ids."""
-    owned = met.join(heads, (met["key"] == heads["key"]) & (met["doc_id"] == heads["head"]), "left_semi").select(F.col("key").alias("_key"), F.col("doc_id").alias("head"), F.col("place").alias("head_place"))
-    return met.join(owned, (met.key == F.col("_key")) & (met.doc_id > F.col("head"))).drop("_key")
+def block_of(place: str) -> F.Column:
+    return F.expr(f"shiftrightunsigned({place}, 32) div {BLOCK}")
 
 
-def candidates(pairs: DataFrame) -> DataFrame:
-    """(doc_id, other_id, diagonal, seeds, start, end): windows against those of heads, merged by diagonal."""
-    part = lambda c, shift: F.shiftrightunsigned(F.col(c), shift).bitwiseAND(F.lit(REACH)).cast("int")
-    c, other = F.shiftrightunsigned("place", 32).cast("int"), F.shiftrightunsigned("head_place", 32).cast("int")
-    link = pairs.select("doc_id", F.col("head").alias("other_id"), c.alias("c"), (c - other).alias("diagonal"), F.least(part("place", 16), part("head_place", 16)).alias("before"), F.least(part("place", 0), part("head_place", 0)).alias("after"))
-    # windows of one diagonal are one candidate for each run of 1,024 words
-    return link.groupBy("doc_id", "other_id", "diagonal", F.expr("c div 1024").alias("run")).agg(
-        F.collect_set("c").alias("seeds"), F.min(F.when(F.col("before") == REACH, 0).otherwise(F.col("c") - F.col("before"))).alias("start"),
-        F.max(F.when(F.col("after") == REACH, F.lit((1 << 31) - 1)).otherwise(F.col("c") + F.col("after"))).alias("end"),
-    ).select("doc_id", "other_id", "diagonal", "seeds", "start", "end")
+def shingle_blocks(docs: DataFrame, need: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc, block, cells): shingle hashes (32 bits) of each block of texts and MARGIN around it, for the needed (doc_id, block)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for at, _, data, offsets in text_slices(batch, "text"):
+                words, firsts = word_hashes(data, offsets)
+                grams, _ = ngrams(words, firsts, width)
+                grams = (grams >> np.uint64(32)).astype("<u4")
+                doc, block, cells = [], [], []
+                for r, (a, b) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
+                    b = max(a, b - width + 1)
+                    for k in range(-(-(b - a) // BLOCK)):
+                        doc.append(ids[at + r])
+                        block.append(k)
+                        cells.append(grams[max(a, a + k * BLOCK - MARGIN) : min(b, a + (k + 1) * BLOCK + MARGIN)].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(block, pa.int64()), pa.array(cells, pa.binary())], ["doc", "block", "cells"])
+
+    ids = kept(need.select(F.col("doc_id").alias("_id")).distinct())
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # 16 MB of ids at the most; more are joined by a shuffle
+    wanted = rows.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    cut_up = wanted.mapInArrow(cut, "doc long, block long, cells binary")
+    return cut_up.join(need, (F.col("doc") == need["doc_id"]) & (cut_up["block"] == need["block"]), "left_semi").groupBy("doc", "block").agg(F.max("cells").alias("cells"))
 
 
 def _grown(common: np.ndarray, seed: int, similarity: float) -> list[tuple[int, int]]:
@@ -196,83 +205,149 @@ def _same_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return (int(apart[0]) if len(apart) else m), after
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, diagonal: int, seeds: list[int], start: int, end: int, least_words: int, width: int, similarity: float) -> list[tuple]:
-    """Verified (start, end, other start, other end, words, similarity) in words; a, b: shingle hashes."""
+def passages_of(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, diagonal: int, seeds: list[int], start: int, end: int, least_words: int, width: int, similarity: float) -> list[tuple]:
+    """Verified (start, end, other start, other end, words, similarity) in words; a, b: shingle hashes; in_a, in_b: which the other has."""
     out: list[tuple] = []
-    slack = least_words
+    slack, failed = least_words, -1
     lo, hi = max(0, start - slack), min(len(a), end + slack + 1)
     lo_b, hi_b = max(0, lo - diagonal - slack), min(len(b), hi - diagonal + slack)
-    in_a, in_b = np.isin(a[lo:hi], b[lo_b:hi_b]), np.isin(b[lo_b:hi_b], a[lo:hi])
     for c in sorted(seeds):
-        if out and out[-1][0] <= c < out[-1][1] - width + 1:
+        # a seed in a passage, or in the equal run of one that led to none, has nothing to add
+        if c <= failed or (out and out[-1][0] <= c < out[-1][1] - width + 1):
             continue
         i, j = c - lo, c - diagonal - lo_b
         before, after = _same_run(a[lo:hi], b[lo_b:hi_b], i, j)
-        tries = [*zip(_grown(in_a, i, similarity), _grown(in_b, j, similarity), strict=True), ((i - before, i + after), (j - before, j + after))]
+        tries = [*zip(_grown(in_a[lo:hi], i, similarity), _grown(in_b[lo_b:hi_b], j, similarity), strict=True), ((i - before, i + after), (j - before, j + after))]
         for (s, e), (s2, e2) in tries:
             n, n2 = e - s + width, e2 - s2 + width
             if min(n, n2) < least_words:
                 continue
-            x, y = np.unique(a[lo + s : lo + e + 1]), np.unique(b[lo_b + s2 : lo_b + e2 + 1])
-            same = len(np.intersect1d(x, y, assume_unique=True))
+            x, y = set(a[lo + s : lo + e + 1].tolist()), set(b[lo_b + s2 : lo_b + e2 + 1].tolist())
+            same = len(x & y)
             jaccard = same / (len(x) + len(y) - same)
             if jaccard >= similarity:
                 out.append((lo + s, lo + s + n, lo_b + s2, lo_b + s2 + n2, n, jaccard))
                 break
+        else:
+            found = _shortest(a[lo:hi], b[lo_b:hi_b], in_a[lo:hi], i, i - j, least_words - width + 1, similarity)
+            if found:
+                (s, n), (s2, n2), jaccard = found
+                out.append((lo + s, lo + s + n + width - 1, lo_b + s2, lo_b + s2 + n2 + width - 1, n + width - 1, jaccard))
+            else:
+                failed = c + after
     return out
 
 
+def _shortest(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, seed: int, diagonal: int, size: int, similarity: float) -> tuple | None:
+    """((start, shingles), (start, shingles), similarity) of a passage of least length, or one word more, around the seed; else None."""
+    total, need = np.concatenate([[0], np.cumsum(in_a)]), size - int((1 - similarity) / (1 + similarity) * size + 1e-9)
+    for n in (size, size + 1):
+        starts = np.arange(max(0, seed - n + 1), min(seed, len(a) - n) + 1)
+        for s in starts[total[starts + n] - total[starts] >= need].tolist():
+            x = set(a[s : s + n].tolist())
+            for n2 in (size, size + 1):
+                for s2 in range(max(0, s - diagonal - 2), min(len(b) - n2, s - diagonal + 2) + 1):
+                    y = set(b[s2 : s2 + n2].tolist())
+                    same = len(x & y)
+                    if same >= similarity * (len(x) + len(y) - same):
+                        return (s, n), (s2, n2), same / (len(x) + len(y) - same)
+    return None
+
+
+def _lacking(out: np.ndarray, token: int, width: int, least_words: int, most: int, c: np.ndarray) -> np.ndarray:
+    """Shingle positions of a block, by seed: the ``most`` nearest on either side that are marked ``out``, else -1."""
+    where = np.append(np.flatnonzero(out), [-1])
+    found = np.full((len(c), 2 * most), -1)
+    first, last = c + token - least_words, c + least_words - width
+    before, after = np.searchsorted(where[:-1], c), np.searchsorted(where[:-1], c + token - width, "right")
+    for k in range(most):
+        left = where[np.maximum(before - 1 - k, -1)]
+        found[:, k] = np.where((before - 1 - k >= 0) & (left >= first), left, -1)
+        right = where[np.minimum(after + k, len(where) - 1)]
+        found[:, most + k] = np.where((right >= 0) & (right <= last), right, -1)
+    return found
+
+
+def compared(pairs: DataFrame, blocks: DataFrame, least_words: int, width: int, similarity: float, token: int = TOKEN) -> DataFrame:
+    """(doc_id, other_id, found, seeds) of pairs(doc_id, place, head, head_place): verified passages, and of each place whether it is in one and its ``lack``."""
+    most = int((1 - similarity) / (1 + similarity) * (least_words - width + 1) + 1e-9) + 1
+    cells = pairs.groupBy("doc_id", block_of("place").alias("block"), "head", block_of("head_place").alias("head_block")).agg(F.collect_set(F.struct("place", "head_place")).alias("met"))
+    a, b = blocks.toDF("_a", "_ka", "a"), blocks.toDF("_b", "_kb", "b")
+    joined = cells.join(a, (F.col("doc_id") == F.col("_a")) & (F.col("block") == F.col("_ka"))).join(b, (F.col("head") == F.col("_b")) & (F.col("head_block") == F.col("_kb")))
+    low = lambda x: (x & np.uint64(REACH)).astype(np.int64)
+    span = pa.list_(pa.struct([(n, pa.float64() if n == "similarity" else pa.int64()) for n in SPAN]))
+
+    def one(x: np.ndarray, y: np.ndarray, x_from: int, y_from: int, place: np.ndarray, head_place: np.ndarray, same_doc: bool) -> tuple[list, np.ndarray, np.ndarray]:
+        c, c2 = ((p >> np.uint64(32)).astype(np.int64) - s for p, s in ((place, x_from), (head_place, y_from)))
+        if len(x) == len(y) and (x == y).all():
+            in_x = in_y = np.ones(len(x), bool)
+        else:
+            in_x, in_y = np.isin(x, y), np.isin(y, x)
+        before, after = (np.minimum(low(place >> np.uint64(k)), low(head_place >> np.uint64(k))) for k in (16, 0))
+        spans, ok = [], np.zeros(len(c), bool)
+        for d in [] if same_doc else np.unique(c - c2).tolist():
+            here = np.flatnonzero(c - c2 == d)
+            for s in passages_of(x, y, in_x, in_y, d, c[here].tolist(), int((c - before)[here].min()), int((c + after)[here].max()) + token, least_words, width, similarity):
+                spans.append((s[0] + x_from, s[1] + x_from, s[2] + y_from, s[3] + y_from, s[4], s[5]))
+                ok[here] |= (s[0] <= c[here]) & (c[here] + token <= s[1])
+        lack = _lacking(~in_x, token, width, least_words, most, c)
+        # almost all around it stands somewhere in the other block, and yet there is no passage: by what is near
+        total = np.concatenate([[0], np.cumsum(in_x)])
+        around = total[np.minimum(c + least_words - width + 1, len(x))] - total[np.maximum(c + token - least_words, 0)]
+        for i in [] if same_doc else np.flatnonzero(~ok & (around > least_words - width + 1 - most)):
+            near = y[max(0, c2[i] + token - least_words) : c2[i] + least_words - width + 1]
+            lack[i] = _lacking(~np.isin(x, near), token, width, least_words, most, c[i : i + 1])[0]
+        return spans, ok, lack
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, block, head, head_block = (np.asarray(batch.column(k)) for k in range(4))
+            met = batch.column(4)
+            at, place, head_place = np.asarray(met.offsets), *(np.asarray(met.values.field(k)).view(np.uint64) for k in (0, 1))
+            found, oks, lacks, sizes = [], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                p, q = place[at[i] : at[i + 1]], head_place[at[i] : at[i + 1]]
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), "<u4") for k in (5, 6))
+                spans, ok, lack = one(x, y, max(0, int(block[i]) * BLOCK - MARGIN), max(0, int(head_block[i]) * BLOCK - MARGIN), p, q, doc[i] == head[i])
+                found.append([dict(zip(SPAN, s, strict=True)) for s in spans])
+                oks.append(ok)
+                lacks.append(x[lack[lack >= 0]].astype(np.int64))
+                sizes.append((lack >= 0).sum(1))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+            cells = [pa.array(x[at[0] : at[-1]].view(np.int64)) for x in (place, head_place)]
+            cells = pa.StructArray.from_arrays([*cells, pa.array(np.concatenate(oks)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lacks)))], ["place", "head_place", "ok", "lack"])
+            seeds = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), cells)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, span), seeds], ["doc_id", "other_id", "found", "seeds"])
+
+    fields = ",".join(f"{n}:{'double' if n == 'similarity' else 'bigint'}" for n in SPAN)
+    schema = f"doc_id long, other_id long, found array<struct<{fields}>>, seeds array<struct<place:bigint,head_place:bigint,ok:boolean,lack:array<bigint>>>"
+    return joined.select("doc_id", "block", "head", "head_block", "met", "a", "b").mapInArrow(verify, schema)
+
+
+SPAN = ("start_word", "end_word", "other_start", "other_end", "n_words", "similarity")
+
+
+def regrouped(seen: DataFrame) -> DataFrame:
+    """(key, doc_id, place): windows of groups of which a member repeats nothing of the first one, by what they have and it lacks."""
+    rows = seen.select("doc_id", "other_id", F.explode("seeds").alias("s")).select("doc_id", "other_id", "s.*")
+    # another place in the head's own document is no repeat of it, and no failure
+    failed = rows.groupBy(F.col("other_id").alias("_h"), F.col("head_place").alias("_p")).agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y"), F.bool_and(F.col("ok") | (F.col("doc_id") == F.col("other_id"))).alias("_all"))
+    live = failed.filter((F.col("_x") != F.col("_y")) & ~F.col("_all"))
+    again = rows.join(live, (F.col("other_id") == F.col("_h")) & (F.col("head_place") == F.col("_p")), "left_semi")
+    return again.select("doc_id", "place", "other_id", "head_place", F.explode("lack").alias("g")).select(F.xxhash64("other_id", "head_place", "g").alias("key"), "doc_id", "place").distinct()
+
+
 def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORDS, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, other_id, start_word, end_word, other_start, other_end, n_words, similarity).
 
     A passage of doc_id that repeats one of other_id, a representative of its class; ends exclusive.
     """
-    rest = kept(members(windows(docs, hashes, least_words, width)))
-    need = kept(rest.select("doc_id").distinct())
-    if need.count() <= SEND_IDS:  # 16 MB of ids; more are joined by a shuffle
-        need = F.broadcast(need)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, data, offsets in text_slices(batch, "text"):
-                words, firsts = word_hashes(data, offsets)
-                grams, _ = ngrams(words, firsts, width)
-                # 32 bits do for the comparison of two texts' windows
-                cells = [(grams[a : max(a, b - width + 1)] >> np.uint64(32)).astype("<u4").tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(cells, pa.binary())], ["id", "grams"])
-
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wanted = rows.join(need, "doc_id", "left_semi").mapInArrow(hashed, "id long, grams binary")
-    grams = written(wanted.groupBy("id").agg(F.max("grams").alias("grams")), "passages")
-    a, b = grams.toDF("_a", "a"), grams.toDF("_b", "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                x, y = np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4")
-                out += [(r["doc_id"], r["other_id"], *p) for p in passages_of(x, y, r["diagonal"], r["seeds"], r["start"], r["end"], least_words, width, similarity)]
-            names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "n_words", "similarity"]
-            kinds = [pa.int64()] * 7 + [pa.float64()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array([float(v) if t == pa.float64() else int(v) for v in c], t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    schema = "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, n_words long, similarity double"
-    out, n_heads = None, 1
-    # a group's members that are no repeat of its first document's passage meet the next one, until none is left
+    rest = kept(members(windows(docs, hashes)))
+    blocks = written(shingle_blocks(docs, rest.select("doc_id", block_of("place").alias("block")).distinct(), width), "passages")
+    out = None
     while out is None or not rest.isEmpty():
-        heads = kept(first_ids(rest, n_heads))
-        met = met_with(rest, heads)
-        pairs = candidates(met)
-        joined = pairs.join(a, pairs.doc_id == a._a).join(b, F.col("other_id") == b._b).select("doc_id", "other_id", "diagonal", "seeds", "start", "end", "a", "b")
-        found = kept(joined.mapInArrow(verify, schema).distinct())
+        seen = written(compared(met_with_heads(rest), blocks, least_words, width, similarity), "passages-met")
+        found = seen.select("doc_id", "other_id", F.inline("found"))
         out = found if out is None else out.unionByName(found)
-        # a window within a passage that its own group's head has is settled; twice as many heads at once keep the rounds few
-        v = found.select(F.col("doc_id").alias("_doc"), F.col("other_id").alias("_other"), "start_word", "end_word").distinct()
-        c = F.shiftrightunsigned("place", 32).cast("int")
-        settled = met.join(v, (F.col("doc_id") == F.col("_doc")) & (F.col("head") == F.col("_other")) & (c >= F.col("start_word")) & (c <= F.col("end_word") - width)).select("key", "doc_id", "place").distinct()
-        left = rest.join(heads, (rest["key"] == heads["key"]) & (rest["doc_id"] == heads["head"]), "left_anti").join(settled, ["key", "doc_id", "place"], "left_anti")
-        rest = kept(members(left))
-        n_heads *= 2
+        rest = kept(members(regrouped(seen)))
     return out.distinct()

@@ -52,12 +52,67 @@ def after_repeated_line(n: int) -> tuple[list[tuple[int, str]], list[int]]:
     return rows, right
 
 
-def diagonals(module, spark, rows: list[tuple[int, str]]) -> set[tuple[int, int]]:
-    met = module.members(module.windows(spark.createDataFrame(rows, "doc_id long, text string"))).localCheckpoint()
-    return {(r["doc_id"], r["diagonal"]) for r in module.candidates(module.met_with(met, module.first_ids(met, 1))).collect()}
-
-
 def test_passage_after_its_own_first_line(spark):
     rows, right = after_repeated_line(400)
-    found = diagonals(passages, spark, rows)
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["start_word"] - r["other_start"]) for r in got if r["end_word"] - r["start_word"] >= 55}
     assert [k for k, d in enumerate(right) if (2 * k + 1, d) not in found] == []
+
+
+def shingles(w: list[str]) -> list[tuple[str, ...]]:
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def alike(a: list[str], b: list[str]) -> bool:
+    """By brute force: do any 50 words of a and 50 to 51 words of b have a Jaccard similarity of 0.8?"""
+    x, y = shingles(a), shingles(b)
+    sets = [set(y[j : j + n]) for n in (46, 47) for j in range(len(y) - n + 1)]
+    for i in range(len(x) - 45):
+        s = set(x[i : i + 46])
+        if any(len(s & t) >= 0.8 * len(s | t) for t in sets):
+            return True
+    return False
+
+
+def test_edited_passages_of_brute_force_are_in_one_class(spark):
+    """Groups of copies of a passage of 50 to 90 words, each with up to four words changed, put in or left out."""
+    rng, texts = random.Random(11), []
+    for g in range(14):
+        base = words(5000 + g, rng.randint(50, 90))
+        for k in range(5):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [f"q{rng.randrange(10**6)}"] * rng.randint(0, 1)
+            texts.append([*words(6000 + 10 * g + k, rng.randint(3, 30)), *w, *words(8000 + 10 * g + k, rng.randint(3, 30))])
+    got = passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    root = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in got:
+        root[find(r["doc_id"])] = find(r["other_id"])
+        a, b = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["other_id"]][r["other_start"] : r["other_end"]]
+        x, y = set(shingles(a)), set(shingles(b))
+        assert min(len(a), len(b)) >= 50 and len(x & y) >= 0.8 * len(x | y) - 1e-9
+    pairs = [(i, j) for g in range(14) for i in range(5 * g, 5 * g + 5) for j in range(5 * g, i) if alike(texts[i], texts[j])]
+    lost = [(i, j) for i, j in pairs if find(i) != find(j)]
+    assert len(pairs) > 40 and lost == []
+
+
+def test_a_line_without_a_passage_links_nothing(spark):
+    """Texts that share 40 words, of which two share 15 more that the others lack."""
+    line, more = words(1, 40), words(2, 15)
+    rows = [(i, " ".join([*words(100 + i, 60), *line, *(more if i in (7, 20) else ()), *words(200 + i, 60)])) for i in range(30)]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(20, 7)}
+
+
+def test_null_empty_repeated_and_periodic_texts(spark):
+    rows = [(1, None, 0), (2, "", 0), (3, "x " * 3000, 0), (4, "x " * 3000, 0), (5, " ".join(words(3, 80)), 0), (5, " ".join(words(3, 80)), 0), (None, " ".join(words(3, 80)), 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    assert {(r["doc_id"], r["other_id"]) for r in passages.repeated(df).collect()} <= {(4, 3)}
+    assert passages.repeated(df.limit(0)).count() == 0
