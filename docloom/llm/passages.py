@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import kept, mix, ngrams, text_slices, word_hashes, written
 
 WIDTH, LEAST_WORDS, SIMILARITY, HASHES, TOKEN, RUN = 5, 50, 0.8, 1, 14, 24
-REACH, SEND_IDS, BLOCK, MARGIN = 65_535, 2_000_000, 512, 128
+REACH, SEND_IDS, BLOCK, MARGIN, FEW = 65_535, 2_000_000, 512, 128, 20_000
 
 
 def _sliding(x: np.ndarray, t: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -344,10 +344,17 @@ def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WOR
     """
     rest = kept(members(windows(docs, hashes)))
     blocks = written(shingle_blocks(docs, rest.select("doc_id", block_of("place").alias("block")).distinct(), width), "passages")
-    out = None
-    while out is None or not rest.isEmpty():
-        seen = written(compared(met_with_heads(rest), blocks, least_words, width, similarity), "passages-met")
+    out, size = None, rest.count()
+    while out is None or size:
+        # the last rounds have few rows: one partition then, which needs no shuffles
+        few = (lambda df: kept(df).coalesce(1)) if size <= FEW else (lambda df: df)
+        met, near = few(met_with_heads(few(rest))), blocks
+        if size <= FEW:
+            ends = [met.select(F.col(doc).alias("_doc"), block_of(place).alias("_block")) for doc, place in (("doc_id", "place"), ("head", "head_place"))]
+            near = few(blocks.join(F.broadcast(ends[0].unionByName(ends[1]).distinct()), (F.col("doc") == F.col("_doc")) & (F.col("block") == F.col("_block")), "left_semi"))
+        seen = written(compared(met, near, least_words, width, similarity), "passages-met")
         found = seen.select("doc_id", "other_id", F.inline("found"))
         out = found if out is None else out.unionByName(found)
-        rest = kept(members(regrouped(seen)))
+        rest = kept(members(regrouped(seen.coalesce(1) if size <= FEW else seen)))
+        size = rest.count()
     return out.distinct()
