@@ -8,9 +8,11 @@ words around it are aligned locally with the item. The score is the alignment's
 score of a full copy; items of fewer than n words are matched as a whole.
 
 The test items are handled in blocks of at most ``block_words`` words (a documented bound of what
-is sent to the executors and kept on the driver); a larger benchmark takes more passes.
+is sent to the executors and kept on the driver, some 50 MB); a larger benchmark takes more passes.
 
-Null and empty texts and items have no words and match nothing. Repeated rows each match.
+Null and empty texts and items have no words and match nothing; an item_id may be null. Repeated rows and
+items each match, ties of seeds go to the first. Texts of any length are scanned whole. Empty tables give
+no rows. Columns may have any names but ``out``.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import ngrams, text_slices, word_hashes
+from docloom.llm.common import name_apart, ngrams, text_slices, word_hashes
 
-N, WINDOW, LEAST, BLOCK_WORDS = 4, 2, 0.6, 2_000_000
+N, WINDOW, LEAST, BLOCK_WORDS = 4, 2, 0.6, 200_000
 MATCH, OTHER, GAP = 2, -1, -1
 HITS = "array<struct<item_id:long,score:double,doc_start:int,doc_end:int,item_start:int,item_end:int,n_seeds:int>>"
 
@@ -133,7 +135,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], out: st
     total = items.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(out, T.ArrayType(T._parse_datatype_string(HITS).elementType))])
-    found = docs.select(*columns, F.col("text").alias("_hit_text"), F.lit(None).cast(HITS).alias("_hits"))
+    text, hits = name_apart(docs, "_hit_text", "_hits")
+    found = docs.select(*columns, F.col("text").alias(text), F.lit(None).cast(HITS).alias(hits))
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         words = _item_words([r["text"] for r in rows])
@@ -146,18 +149,18 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, columns: list[str], out: st
         tables = {k: _Table(np.fromiter(s, np.uint64, len(s))) for k, s in seeds.items()}
         sent = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], words, seeds, tables))
         more = T.StructType([*found.schema.fields])
-        found = found.mapInArrow(_scan(sent, least), more)
+        found = found.mapInArrow(_scan(sent, least, text), more)
     if clean_only:
-        return found.filter(F.col("_hits").isNull() | (F.size("_hits") == 0)).select(*columns)
-    return found.select(*columns, F.coalesce("_hits", F.array().cast(HITS)).alias(schema.fields[-1].name))
+        return found.filter(F.col(hits).isNull() | (F.size(hits) == 0)).select(*columns)
+    return found.select(*columns, F.coalesce(hits, F.array().cast(HITS)).alias(schema.fields[-1].name))
 
 
-def _scan(sent, least: float):
+def _scan(sent, least: float, text: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items, seeds, tables = sent.value
         memo: dict = {}
         for batch in batches:
-            for at, end, data, offsets in text_slices(batch, "_hit_text"):
+            for at, end, data, offsets in text_slices(batch, text):
                 words, firsts = word_hashes(data, offsets, alnum=True)
                 near: dict[tuple[int, int], list[int]] = {}
                 for k, t in tables.items():

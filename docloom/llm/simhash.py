@@ -45,8 +45,8 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, columns: list[str], out: str, width: int = 4) -> DataFrame:
-    """The given columns and the text's fingerprint as a signed 64-bit integer."""
-    source = docs.select(*columns, F.col("text").alias("_print_text"))
+    """The given columns and the text's fingerprint as a signed 64-bit integer. Columns may have any names but ``out``."""
+    source = docs.select(*columns, F.col("text").alias(name_apart(docs, "_print_text")[0]))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(out, T.LongType())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,9 @@ breaks), so tables are made once a distinct unit and added up along the text. Th
 vocabularies this reads: sentencepiece BPE models with identity normalisation, byte fallback, no
 user-defined pieces, and no piece with a word start after another character; others are refused.
 
-A null text is empty (0 tokens). Every text is counted whole.
+A null text is empty (0 tokens). Every text is counted whole, however long; repeated rows are counted
+each. Columns may have any names. A worker's tables are bounded by numbers of entries of short strings
+(CACHE, PAIRS) and start anew when full.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.common import name_apart
+
 MARK = "▁"
 
 
 class PrefixCounter:
     UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-    CACHE, LONGEST = 600_000, 64
+    CACHE, PAIRS, LONGEST = 200_000, 400_000, 64
 
     def __init__(self, path: str):
         import sentencepiece
@@ -48,6 +52,7 @@ class PrefixCounter:
             raise ValueError("not a sentencepiece BPE model of the kind that the prefix tables cover")
         self.library, self.scores = sp, text
         self.pairs: dict[str, dict] = {}
+        self.n_pairs = 0
         # every ending of a piece: 1 if it is a piece itself, else 0
         self.endings = {p[k:]: 0 for p in text for k in range(1, len(p))} | {p: 1 for p in text}
         self.known: dict[str, int] = {}
@@ -70,11 +75,14 @@ class PrefixCounter:
     def follows(self, after: dict, t: str) -> bool:
         """May t follow the token whose table this is (the first table: stand at the start)?"""
         a = after.get(None)
+        self.n_pairs += 1
         ok = after[t] = self.merged(t) == [t] if a is None else self.merged(a + t) == [a, t]
         return ok
 
     def prefix_counts(self, unit: str) -> list[int]:
         """Tokens of unit[:i] for i = 0 .. len(unit)."""
+        if self.n_pairs > self.PAIRS:
+            self.pairs, self.n_pairs = {}, 0
         endings, pairs = self.endings, self.pairs
         after, count = [pairs.setdefault("", {})], [0]  # what may follow the last token of each prefix
         for i in range(1, len(unit) + 1):
@@ -174,7 +182,7 @@ def counter(path: str) -> PrefixCounter:
 
 def with_counts(docs: DataFrame, model: str, columns: list[str], limit: int = 4096) -> DataFrame:
     """The given columns with n_bytes, n_tokens, over_limit and limit_bytes (what a cut at ``limit`` tokens keeps)."""
-    source = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_count_text"))
+    source = docs.select(*columns, F.coalesce("text", F.lit("")).alias(name_apart(docs, "_count_text")[0]))
     more = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("limit_bytes", T.LongType())]
     schema = T.StructType([*docs.select(*columns).schema.fields, *more])
 
