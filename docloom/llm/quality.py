@@ -4,10 +4,11 @@ The whole text is cut into overlapping chunks. Learned filters run over the embe
 chunk and are max-pooled; a document's mean, largest and smallest pooled values over all its
 chunks are combined into one probability. Only bytes enter it.
 
-Training uses at most ``max_train`` labelled rows (smallest hash of doc_id first) and of each at
-most ``max_chunks`` evenly spaced chunks; scoring covers every chunk of every text. Null and
-empty texts have one chunk of padding, and so a score. Rows without a doc_id or a label take no
-part in training; with no usable label, or one class only, every score is 0.5.
+Training uses at most ``max_train`` labelled rows (smallest hash of doc_id first) with their whole
+texts; scoring covers every chunk of every text. Chunks are handled ``PART`` at a time, so that
+memory grows with the texts' bytes only. Null and empty texts have one chunk of padding, and so a
+score. Rows without a doc_id or a label take no part in training; with no usable label, or one class
+only, every score is 0.5. Repeated rows are scored each; columns may have any names but ``out``.
 """
 
 from __future__ import annotations
@@ -20,24 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import text_slices
+from docloom.llm.common import name_apart, text_slices
 
 CHUNK, STEP = 256, 224
 EMBED, WIDTH, FILTERS = 6, 7, 48
-MAX_TRAIN, MAX_CHUNKS, EPOCHS = 2400, 16, 14
+MAX_TRAIN, EPOCHS, PART = 2400, 14, 256
 #: Byte values, of which 256 is padding.
 SYMBOLS = 257
 
 
-def _chunks(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all chunks, and each row's first chunk, with the end."""
-    sizes = np.diff(offsets)
-    n = np.maximum(1, -(-(sizes - (CHUNK - STEP)) // STEP))
-    some = n if most is None else np.minimum(n, most)
-    firsts = np.concatenate([[0], np.cumsum(some)])
-    row = np.repeat(np.arange(len(sizes)), some)
+    n = np.maximum(1, -(-(np.diff(offsets) - (CHUNK - STEP)) // STEP))
+    firsts = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
     k = np.arange(firsts[-1]) - firsts[row]
-    k = np.where(some[row] == n[row], k, k * (n[row] - 1) // np.maximum(1, some[row] - 1))
     at = (offsets[:-1][row] + k * STEP)[:, None] + np.arange(CHUNK)
     inside = at < offsets[1:][row][:, None]
     out = np.full(at.shape, SYMBOLS - 1, np.int16)
@@ -73,8 +71,40 @@ def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def fit(chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict:
-    """Adam on the log loss, by hand-written gradients; classes weigh alike at most 3 to 1."""
+def gradients(model: dict, x: np.ndarray, firsts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean weighted log loss of a batch, by hand: chunks go forward and back PART at a time."""
+    n, docs = np.diff(firsts), len(labels)
+    top, where = np.empty((len(x), FILTERS), np.float32), np.empty((len(x), FILTERS), np.int64)
+    for i in range(0, len(x), PART):
+        conv = (_patches(model, x[i : i + PART]) @ model["filters"]).reshape(len(x[i : i + PART]), -1, FILTERS)
+        where[i : i + PART] = conv.argmax(1)
+        top[i : i + PART] = conv.max(1) + model["bias"]
+    pooled = np.maximum(top, 0)
+    vec = _combined(pooled, firsts)
+    p = 1 / (1 + np.exp(-(vec @ model["out"] + model["out_bias"])))
+    dz = ((p - labels) * weight / docs).astype(np.float32)
+    grad = {"out": vec.T @ dz, "out_bias": dz.sum()}
+    dvec = dz[:, None] * model["out"]
+    dpool = (dvec[:, :FILTERS] / n[:, None])[np.repeat(np.arange(docs), n)]
+    for part, pick in ((1, np.argmax), (2, np.argmin)):
+        for i in range(docs):
+            best = firsts[i] + pick(pooled[firsts[i] : firsts[i + 1]], 0)
+            dpool[best, np.arange(FILTERS)] += dvec[i, part * FILTERS : (part + 1) * FILTERS]
+    dpool *= top > 0
+    grad |= {"bias": dpool.sum(0), "filters": np.zeros_like(model["filters"]), "embed": np.zeros_like(model["embed"])}
+    for i in range(0, len(x), PART):
+        d = dpool[i : i + PART]
+        # the bytes under each filter where it responded most
+        symbols = x[np.arange(i, i + len(d))[:, None, None], where[i : i + PART][:, :, None] + np.arange(WIDTH)]
+        grad["filters"] += np.einsum("cfk,cf->kf", model["embed"][symbols].reshape(len(d), FILTERS, -1), d, optimize=True)
+        dpatch = (d[:, :, None] * model["filters"].T[None]).reshape(-1, WIDTH, EMBED)
+        for e in range(EMBED):
+            grad["embed"][:, e] += np.bincount(symbols.ravel(), dpatch[:, :, e].ravel(), SYMBOLS)
+    return grad
+
+
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict:
+    """Adam on the log loss; classes weigh alike at most 3 to 1."""
     rng = np.random.default_rng(seed)
     model = {
         "embed": rng.normal(0, 0.5, (SYMBOLS, EMBED)).astype(np.float32),
@@ -88,41 +118,15 @@ def fit(chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, epochs: int
         return model | {"out": model["out"] * 0}
     weight = np.where(labels > 0.5, 1.0, min(3.0, max(1.0, share / (1 - share)))).astype(np.float32)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items()}
-    positions, step = CHUNK - WIDTH + 1, 0
+    step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for b in range(0, len(order), 32):
             docs = order[b : b + 32]
-            n = np.diff(firsts)[docs]
-            rows = np.concatenate([np.arange(firsts[d], firsts[d + 1]) for d in docs])
-            at = np.concatenate([[0], np.cumsum(n)])
-            x = chunks[rows]
-            patches = _patches(model, x)
-            conv = (patches @ model["filters"]).reshape(len(x), positions, FILTERS)
-            where = conv.argmax(1)
-            top = np.take_along_axis(conv, where[:, None], 1)[:, 0] + model["bias"]
-            pooled = np.maximum(top, 0)
-            vec = _combined(pooled, at)
-            p = 1 / (1 + np.exp(-(vec @ model["out"] + model["out_bias"])))
-            dz = ((p - labels[docs]) * weight[docs] / len(docs)).astype(np.float32)
-            grad = {"out": vec.T @ dz + 1e-4 * model["out"], "out_bias": dz.sum()}
-            dvec = dz[:, None] * model["out"]
-            doc = np.repeat(np.arange(len(docs)), n)
-            dpool = (dvec[:, :FILTERS] / n[:, None])[doc]
-            for part, pick in ((1, np.argmax), (2, np.argmin)):
-                for i in range(len(docs)):
-                    best = at[i] + pick(pooled[at[i] : at[i + 1]], 0)
-                    dpool[best, np.arange(FILTERS)] += dvec[i, part * FILTERS : (part + 1) * FILTERS]
-            dpool *= top > 0
-            grad["bias"] = dpool.sum(0)
-            flat = (np.arange(len(x))[:, None] * positions + where).ravel()
-            used = patches[flat].reshape(len(x), FILTERS, -1)
-            grad["filters"] = np.einsum("cfk,cf->kf", used, dpool, optimize=True)
-            dpatch = (dpool[:, :, None] * model["filters"].T[None]).reshape(-1, WIDTH, EMBED)
-            symbols = x[np.repeat(np.arange(len(x)), FILTERS)[:, None], where.ravel()[:, None] + np.arange(WIDTH)]
-            grad["embed"] = np.zeros_like(model["embed"])
-            for e in range(EMBED):
-                grad["embed"][:, e] = np.bincount(symbols.ravel(), dpatch[:, :, e].ravel(), SYMBOLS)
+            cells = [texts[d] for d in docs]
+            x, firsts = _chunks(np.frombuffer(b"".join(cells), np.uint8), np.cumsum([0, *map(len, cells)]))
+            grad = gradients(model, x, firsts, labels[docs], weight[docs])
+            grad["out"] = grad["out"] + 1e-4 * model["out"]
             step += 1
             rate = 0.01 * (1 - 0.9 * epoch / epochs)
             for k, g in grad.items():
@@ -142,33 +146,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: F.Co
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     sample = texts.join(F.broadcast(picked), F.col("_id") == F.col("doc_id")).select("_id", "_text", "_label")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, data, offsets in text_slices(batch, "_text"):
-                part = batch.slice(at, end - at)
-                chunks, firsts = _chunks(data, offsets, MAX_CHUNKS)
-                cells = [chunks[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cells, pa.binary())], ["id", "label", "chunks"])
-
     # doc_id may repeat in documents: the bound holds for the rows too
-    found = sample.mapInArrow(cut, "id long, label int, chunks binary").orderBy(F.xxhash64("id"), "id", "chunks").limit(max_train).collect()
-    parts = [np.frombuffer(r["chunks"], np.int16).reshape(-1, CHUNK) for r in found]
-    labels = np.array([r["label"] for r in found], np.float32)
-    firsts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-    chunks = np.concatenate(parts) if parts else np.zeros((0, CHUNK), np.int16)
-    del found, parts
-    return fit(chunks, firsts, labels)
+    found = sample.select("_id", "_label", F.coalesce("_text", F.lit("")).cast("binary").alias("_text")).orderBy(F.xxhash64("_id"), "_id", "_text").limit(max_train).collect()
+    return fit([bytes(r["_text"]) for r in found], np.array([r["_label"] for r in found], np.float32))
 
 
 def with_score(docs: DataFrame, model: dict, columns: list[str], out: str = "score", least: float | None = None) -> DataFrame:
     """The given columns with a score of the text; with ``least``, only rows that reach it, without the score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*columns, F.col("text").alias("_scored_text"))
+    text = name_apart(docs, "_scored_text")[0]
+    source = docs.select(*columns, F.col("text").alias(text))
     schema = T.StructType([*docs.select(*columns).schema.fields, *([] if least is not None else [T.StructField(out, T.DoubleType())])])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in text_slices(batch, "_scored_text"):
+            for at, end, data, offsets in text_slices(batch, text):
                 p = predict(sent.value, data, offsets)
                 arrays = batch.slice(at, end - at).columns[:-1]
                 if least is None:

@@ -1,13 +1,15 @@
 """Secret scans with a trigram inverted index.
 
-Every rule states a regular expression and the literal strings of which a match must hold one;
-each literal becomes the conjunction of its trigrams, a rule the disjunction of those. A slice of
-texts is indexed by trigram (only the rules' trigrams have postings), the postings are intersected
-and united as the rule's query says, and only the candidate texts are verified with the regular
-expression. A rule without literals has no mandatory trigram and scans all texts.
+Every rule's regular expression is parsed, and a Boolean query of trigrams derived from it that the
+text of any match satisfies (``trigram_query``): a sequence needs all its parts, a choice one of
+them, and the short strings that a part may stand for are the choice of these. A slice of texts is
+indexed by trigram (only the rules' trigrams have postings), the postings are intersected and united
+as the query says, and only the candidate texts are verified with the regular expression. A rule from
+which no trigram follows scans all texts.
 
 Spans are (kind, start, end) in code points, end exclusive, leftmost and non-overlapping a kind.
-The first three kinds are the base; the others add spans. A null text is empty and has none.
+The first three kinds are the base; the others add spans. A null text is empty and has none. Texts of
+any length are scanned whole, repeated rows each; columns may have any names but ``secrets``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import _LOWER, text_slices
+from docloom.llm.common import _LOWER, name_apart, text_slices
+
+
+_parser = re._parser  # the standard library's parser of expressions
 
 
 def _either(word: str) -> str:
@@ -30,30 +35,144 @@ def _either(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
 
+MOST_STRINGS, MOST_CLASS = 64, 16
+
+
+def _joined(a: set[bytes], b: set[bytes]) -> set[bytes]:
+    return {x + y for x in a for y in b}
+
+
+def _all_of(parts: list):
+    """The conjunction of queries, of which None says nothing."""
+    parts = [p for p in parts if p is not None]
+    return ("and", parts) if parts else None
+
+
+def _any_of(parts: list):
+    return None if not parts or any(p is None for p in parts) else ("or", parts)
+
+
+def _of_strings(strings: set[bytes]):
+    """One of the strings stands in the text."""
+    return _any_of([_all_of(sorted({x[i : i + 3] for i in range(len(x) - 2)})) for x in sorted(strings)])
+
+
+def _class_strings(items) -> set[bytes] | None:
+    """The lower-case strings that a class of characters stands for; None: too many."""
+    out: set[bytes] = set()
+    for op, arg in items:
+        if op is _parser.LITERAL:
+            out.add(_low(arg))
+        elif op is _parser.RANGE and arg[1] - arg[0] < MOST_STRINGS:
+            out |= {_low(c) for c in range(arg[0], arg[1] + 1)}
+        else:
+            return None
+        if len(out) > MOST_CLASS:
+            return None
+    return out
+
+
+def _low(c: int) -> bytes:
+    return bytes(_LOWER[list(chr(c).encode("utf-8", "surrogatepass"))])
+
+
+def _walk(items) -> tuple[set[bytes] | None, object]:
+    """(the strings that this part of an expression stands for, if few; a query that its matches satisfy)."""
+    whole: set[bytes] | None = {b""}  # all strings of the part so far
+    run, found = {b""}, []  # strings of the run of known parts that ends here
+    for op, arg in items:
+        more, query, ends = None, None, False
+        if op is _parser.LITERAL:
+            more = {_low(arg)}
+        elif op is _parser.IN:
+            more = _class_strings(arg)
+        elif op is _parser.SUBPATTERN:
+            if not arg[1] & re.IGNORECASE:
+                more, query = _walk(arg[3])
+        elif op is _parser.BRANCH:
+            sides = [_walk(side) for side in arg[1]]
+            more = None if any(s is None for s, _ in sides) else set().union(*[s for s, _ in sides])
+            query = _any_of([q if s is None else _of_strings(s) for s, q in sides])
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            least, most, part = arg
+            once, inside = _walk(part)
+            if once is not None and most <= 3:
+                more = set()
+                for k in range(least, most + 1):
+                    times = {b""}
+                    for _ in range(k):
+                        times = _joined(times, once)
+                    more |= times
+            elif least:
+                # the first time follows what stands before, and what stands after is not next to it
+                more, query, ends = once, inside, True
+        elif op is _parser.AT:
+            more = {b""}
+        if more is not None and len(run) * len(more) <= MOST_STRINGS:
+            run = _joined(run, more)
+        else:
+            found += [_of_strings(run), query, _of_strings(more) if more is not None else None]
+            run = {b""} if more is None or len(more) > MOST_STRINGS else more
+        if more is None or ends or whole is None or len(whole) * len(more) > MOST_STRINGS:
+            whole = None
+        else:
+            whole = _joined(whole, more)
+        if ends:
+            found.append(_of_strings(run))
+            run = {b""}
+    return whole, _all_of([*found, _of_strings(run)])
+
+
+def trigram_query(pattern: re.Pattern):
+    """("and" | "or", parts) over trigrams in ASCII lower case; None: nothing must stand in the text."""
+    if pattern.flags & re.IGNORECASE:  # other letters than ASCII may match there
+        return None
+    return _walk(_parser.parse(pattern.pattern, pattern.flags))[1]
+
+
+def grams_of(query) -> set[bytes]:
+    return set() if query is None else {query} if isinstance(query, bytes) else set().union(*map(grams_of, query[1]))
+
+
+def holds(query, text: bytes) -> bool:
+    """Does a text (in ASCII lower case) satisfy the query?"""
+    if query is None:
+        return True
+    return query in text if isinstance(query, bytes) else (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+
+
 class Rule:
-    def __init__(self, kind: str, pattern: str, literals: tuple[str, ...], accept=lambda m: True):
-        self.kind, self.pattern, self.accept = kind, re.compile(pattern), accept
-        #: Boolean query: any of these sets of trigrams, each whole. None: no mandatory trigram.
-        self.query = [sorted({x.lower()[i : i + 3] for i in range(len(x) - 2)}) for x in literals] or None
+    """A kind of secret: matches of which ``group`` has at least ``least`` characters."""
+
+    def __init__(self, kind: str, pattern: str, least: int = 0, group: int = 0):
+        self.kind, self.pattern, self.least, self.group = kind, re.compile(pattern), least, group
+        self.query = trigram_query(self.pattern)
+        #: Of a pattern that is one repeated class of ASCII: the class, whose long runs are all that can match.
+        self.one_class = None
+        parsed = list(_parser.parse(pattern))
+        if len(parsed) == 1 and parsed[0][0] is _parser.MAX_REPEAT and parsed[0][1][1] is _parser.MAXREPEAT and not group:
+            part = list(parsed[0][1][2])
+            if len(part) == 1 and part[0][0] is _parser.IN and all(op in (_parser.LITERAL, _parser.RANGE) for op, _ in part[0][1]):
+                chars = [c for c in range(128) if re.fullmatch(pattern, chr(c) * max(1, parsed[0][1][0]))]
+                if all((arg if op is _parser.LITERAL else arg[1]) < 128 for op, arg in part[0][1]):
+                    self.one_class = np.zeros(256, bool)
+                    self.one_class[chars] = True
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        return [m.span() for m in self.pattern.finditer(text) if self.accept(m)]
+        return [m.span() for m in self.pattern.finditer(text) if len(m[self.group]) >= self.least]
 
 
 _KEYS = "|".join([*map(_either, ("password", "passwd", "secret", "token")), f"{_either('api')}_?{_either('key')}"])
 BASE = ("assign", "access", "hex")
 RULES = (
-    Rule("assign", rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "apikey", "api_key"), lambda m: len(m[2]) >= 6),
-    Rule("access", r"AKIA[A-Z0-9]+", ("AKIA",), lambda m: m.end() - m.start() >= 20),
-    Rule("hex", r"[0-9a-f]+", (), lambda m: m.end() - m.start() >= 24),
-    Rule("private", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", ("private key-----",)),
-    Rule("bearer", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (".eyj",)),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("assign", rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    Rule("access", r"AKIA[A-Z0-9]+", 20),
+    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("private", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("bearer", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
-#: Long runs of one class are found by run length before a rule that scans is verified.
-_HEX = np.zeros(256, bool)
-_HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 
 
 class Index:
@@ -74,32 +193,36 @@ class Index:
         for k in np.unique(names):
             self.rows[int(k) - 1] = pairs[names == k] & ((1 << 40) - 1)
 
-    def match(self, query: list[list[int]]) -> np.ndarray:
-        none, out = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for clause in query:
-            hits = None
-            for k in sorted(clause, key=lambda k: len(self.rows.get(k, none))):  # shortest postings first
-                rows = self.rows.get(k, none)
-                hits = rows if hits is None else np.intersect1d(hits, rows, assume_unique=True)
-            out = np.union1d(out, hits if hits is not None else none)
+    def match(self, query) -> np.ndarray:
+        if isinstance(query, int):
+            return self.rows.get(query, np.zeros(0, np.int64))
+        parts = sorted((self.match(q) for q in query[1]), key=len)  # shortest postings first
+        out = parts[0]
+        for rows in parts[1:]:
+            out = np.intersect1d(out, rows, assume_unique=True) if query[0] == "and" else np.union1d(out, rows)
         return out
 
 
+def _numbered(query, names: list[bytes]):
+    return None if query is None else names.index(query) if isinstance(query, bytes) else (query[0], [_numbered(q, names) for q in query[1]])
+
+
 def with_secrets(docs: DataFrame, columns: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The given columns and ``secrets``, an array of (kind, start, end) by start, then the rules' order."""
-    source = docs.select(*columns, F.col("text").alias("_scan_text"))
+    column = name_apart(docs, "_scan_text")[0]
+    source = docs.select(*columns, F.col("text").alias(column))
     cell = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("secrets", cell)])
-    names = sorted({g for r in rules for c in r.query or () for g in c})
+    names = sorted(set().union(*[grams_of(r.query) for r in rules]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.array([int.from_bytes(g.encode(), "big") for g in names], np.int64)
+        wanted = np.array([int.from_bytes(g, "big") for g in names], np.int64)
         table = np.zeros(1 << 24, np.uint8 if len(names) < 255 else np.uint16)
         table[wanted] = np.arange(1, len(names) + 1)
-        queries = [[[names.index(g) for g in c] for c in r.query] if r.query else None for r in rules]
+        queries = [_numbered(r.query, names) for r in rules]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for at, end, data, offsets in text_slices(batch, "_scan_text"):
+            for at, end, data, offsets in text_slices(batch, column):
                 index = Index(data, offsets, wanted, table)
                 found: dict[int, list[tuple[int, int, int]]] = {}
                 texts: dict[int, str] = {}
@@ -117,14 +240,13 @@ def with_secrets(docs: DataFrame, columns: list[str], rules: tuple[Rule, ...] =
 
 def _scanned(rule: Rule, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows that a rule without mandatory trigrams must verify, after a scan of all bytes."""
-    if rule.kind != "hex":
+    if rule.one_class is None:
         return np.arange(len(offsets) - 1)
-    inside = np.concatenate([[False], _HEX[data], [False]])
+    inside = np.concatenate([[False], rule.one_class[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     # a run may reach over the end of a text: a candidate too many, never one too few
-    long = edge[0::2][edge[1::2] - edge[0::2] >= 24]
-    ends = edge[1::2][edge[1::2] - edge[0::2] >= 24]
-    rows = [np.arange(np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")) for a, b in zip(long.tolist(), ends.tolist(), strict=True)]
+    long = edge[1::2] - edge[0::2] >= max(1, rule.least)
+    rows = [np.arange(np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")) for a, b in zip(edge[0::2][long].tolist(), edge[1::2][long].tolist(), strict=True)]
     return np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
 
 

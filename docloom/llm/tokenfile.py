@@ -6,15 +6,18 @@ the job commit decides which tasks' output counts. A row is a block of documents
     shard, block          place in the order of doc_id (shards are ranges, blocks follow each other)
     first                 ids of the shard before the block
     n_docs, n_ids         documents and ids in the block
-    doc_ids, nulls        8 bytes each, little-endian, and one byte each that is 1 for a null doc_id
+    n_nulls, id_base      documents without doc_id, which come first, and the smallest doc_id of the rest
+    id_low_bits, id_low, id_high, id_samples    Elias-Fano code of the other doc_ids less id_base
     width, ids            2 or 4 bytes for an id; the ids of all documents, little-endian
     low_bits, low, high   Elias-Fano code of the document ends: low_bits lower bits of each packed,
                           the rest as unary gaps in a bit vector
     samples               position in ``high`` of every 64th set bit (select)
 
 The start of a document is the ids of earlier shards (one number a shard) + first + the end of the
-document before it in the block. Null and empty texts hold the end id only. Repeated doc_ids keep
-a row each, in the order of their texts' hash; null doc_ids come first.
+document before it in the block, which select() gives without unpacking the others. Null and empty
+texts hold the end id only. Repeated doc_ids keep a row each, in the order of their texts' hash; null
+doc_ids come first. Texts of any length are written whole; an empty table gives an empty file. Other
+columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_IDS, SAMPLE = 1 << 20, 64
-SCHEMA = "shard long, block int, first long, n_docs int, n_ids long, doc_ids binary, nulls binary, width int, ids binary, low_bits int, low binary, high binary, samples binary"
+SCHEMA = "shard long, block int, first long, n_docs int, n_ids long, n_nulls int, id_base long, id_low_bits int, id_low binary, id_high binary, id_samples binary, width int, ids binary, low_bits int, low binary, high binary, samples binary"
 
 
 class EliasFano:
@@ -80,6 +83,29 @@ class EliasFano:
                 size *= 2
         return ((place - i) << self.low_bits) | int(self._low(np.array([i]))[0])
 
+    def select_all(self, i: np.ndarray) -> np.ndarray:
+        """The values of rising positions i: the bits between their first and last sample are read once."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        first = int(i[0]) // SAMPLE
+        at = int(self.samples[first]) >> 3
+        after = int(i[-1]) // SAMPLE + 1
+        end = (int(self.samples[after]) >> 3) + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at:end], bitorder="little")) + (at << 3)
+        ones = ones[np.searchsorted(ones, int(self.samples[first])) :]
+        return ((ones[i - first * SAMPLE] - i) << self.low_bits) | self._low(i)
+
+    def below(self, value: int) -> int:
+        """How many values are smaller, by bisection with select()."""
+        low, high = 0, self.n
+        while low < high:
+            mid = (low + high) // 2
+            if self.select(mid) < value:
+                low = mid + 1
+            else:
+                high = mid
+        return low
+
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         i = np.arange(self.n)
@@ -101,7 +127,8 @@ class Encoder:
     PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-/:-@\[-`{-~]*)\Z")
     ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-    CACHE, LONGEST = 700_000, 48
+    #: Entries of each of the four tables, with keys of at most LONGEST characters: some 40 MB each.
+    CACHE, LONGEST = 200_000, 48
 
     def __init__(self, path: str):
         import json
@@ -215,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
     """Encode docs(doc_id, text) and write a token file in ascending order of doc_id."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = slim.repartitionByRange(spread, "doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    ranged = slim.repartitionByRange(spread, "doc_id", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -227,13 +254,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
         def row() -> pa.RecordBatch:
             lengths = np.array([len(x) // enc.width for x in ids], np.int64)
             low_bits, low, high, samples = EliasFano.of(np.cumsum(lengths)).parts()
-            cells = {"shard": shard, "block": block, "first": first, "n_docs": len(ids), "n_ids": int(lengths.sum()), "doc_ids": np.array([x or 0 for x in names], "<i8").tobytes(), "nulls": bytes(x is None for x in names), "width": enc.width, "ids": b"".join(ids), "low_bits": low_bits, "low": low, "high": high, "samples": samples}
+            known = [x for x in names if x is not None]
+            base = known[0] if known else 0
+            id_parts = dict(zip(("id_low_bits", "id_low", "id_high", "id_samples"), EliasFano.of(np.array([x - base for x in known], np.int64)).parts(), strict=True))
+            cells = {"shard": shard, "block": block, "first": first, "n_docs": len(ids), "n_ids": int(lengths.sum()), "n_nulls": len(ids) - len(known), "id_base": base, **id_parts, "width": enc.width, "ids": b"".join(ids), "low_bits": low_bits, "low": low, "high": high, "samples": samples}
             return pa.RecordBatch.from_pylist([cells], schema)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 for name, found in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
+                    # ids of a block lie within 62 bits of each other
+                    if ids and name is not None and next((name - x >= 1 << 62 for x in names if x is not None), False):
+                        yield row()
+                        first, block, size = first + size, block + 1, 0
+                        ids.clear()
+                        names.clear()
                     ids.append(found + end)
                     names.append(name)
                     size += len(ids[-1]) // enc.width
@@ -262,19 +298,68 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "shard").withColumn("start", F.col("shard_start") + F.col("first"))
 
 
+def _codes(x: dict) -> tuple[EliasFano, EliasFano]:
+    ends = EliasFano(x["low_bits"], x["low"], x["high"], x["samples"], x["n_docs"])
+    return ends, EliasFano(x["id_low_bits"], x["id_low"], x["id_high"], x["id_samples"], x["n_docs"] - x["n_nulls"])
+
+
+PARTS = ["start", "n_docs", "n_nulls", "id_base", "id_low_bits", "id_low", "id_high", "id_samples", "low_bits", "low", "high", "samples"]
+
+
 def documents_of(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document of read_tokens()."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document of read_tokens()."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {k: batch.column(i)[r].as_py() for i, k in enumerate(batch.schema.names)}
-                ends = EliasFano(x["low_bits"], x["low"], x["high"], x["samples"], x["n_docs"]).all()
+                code, names = _codes(x)
+                ends = code.select_all(np.arange(x["n_docs"]))
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(x["ids"], "<u2" if x["width"] == 2 else "<u4").astype("<u4")
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                names = pa.array(np.frombuffer(x["doc_ids"], "<i8"), mask=np.frombuffer(x["nulls"], np.uint8).astype(bool))
+                names = np.concatenate([np.zeros(x["n_nulls"], np.int64), names.select_all(np.arange(names.n)) + x["id_base"]])
+                names = pa.array(names, mask=np.arange(x["n_docs"]) < x["n_nulls"])
                 yield pa.RecordBatch.from_arrays([names, pa.array(starts + x["start"]), pa.array(ends - starts), pa.array(np.array(sums, np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    need = ["start", "n_docs", "doc_ids", "nulls", "width", "ids", "low_bits", "low", "high", "samples"]
-    return blocks.select(*need).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select(*PARTS, "width", "ids").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def offsets_of(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens) of the documents with a doc_id of wanted(doc_id), by select in their blocks alone; no ids are read.
+
+    Repeated doc_ids give a row each; null ones are not looked up.
+    """
+    # one number a shard, and shards are tasks of the writing job: a bounded table
+    spans = sorted((r["first"], r["shard"]) for r in blocks.filter("n_docs > n_nulls").groupBy("shard").agg(F.min("id_base").alias("first")).collect())
+    froms, shards = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+    ids = wanted.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("_want")).distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # shards are ranges of doc_id: an id lies in the last one that starts before it, or in any that start with it
+        for batch in batches:
+            want = np.asarray(batch.column(0))
+            low, high = np.maximum(np.searchsorted(froms, want, "left") - 1, 0), np.searchsorted(froms, want, "right")
+            n = np.maximum(high - low, 0)
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(shards[at]), pa.array(np.repeat(want, n))], ["shard", "_want"])
+
+    shard = ids.mapInArrow(near, "shard long, _want long")
+    lists = shard.groupBy("shard").agg(F.array_sort(F.collect_list("_want")).alias("_wanted"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = {k: batch.column(i)[r].as_py() for i, k in enumerate(batch.schema.names)}
+                ends, names = _codes(x)
+                out = []
+                for want in x["_wanted"]:
+                    at = names.below(want - x["id_base"]) if names.n else 0
+                    while at < names.n and names.select(at) == want - x["id_base"]:
+                        k = at + x["n_nulls"]
+                        begin = ends.select(k - 1) if k else 0
+                        out.append((want, begin + x["start"], ends.select(k) - begin))
+                        at += 1
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["doc_id", "start", "n_tokens"])
+
+    return blocks.join(lists, "shard").select(*PARTS, "_wanted").mapInArrow(rows, "doc_id long, start long, n_tokens long")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -169,11 +172,22 @@ def test_token_file_round_trip(spark, odd, tmp_path):
         start += len(ids)
 
 
+def test_offsets_by_select(spark, tmp_path):
+    rows = [(i // 2 * 7 - 3000, " ".join(words(i, i % 40))) for i in range(900)] + [(None, "no id"), (9, None), (2**62, "far"), (-(2**62), "far")]
+    tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), block_ids=500)
+    blocks = tokenfile.read_tokens(spark, str(tmp_path / "t"))
+    want = spark.createDataFrame([(x,) for x in (-3000, 0, 4, 9, 123, -(2**62), 2**62, None)], "doc_id long")
+    known = sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in tokenfile.documents_of(blocks).collect() if r["doc_id"] in (-3000, 0, 4, 9, 123, -(2**62), 2**62))
+    assert sorted(map(tuple, tokenfile.offsets_of(blocks, want).collect())) == known and len(known) == 5
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 1000])
 def test_elias_fano(n):
     v = np.cumsum(np.random.default_rng(n).integers(0, 900, n))
     ef = tokenfile.EliasFano.of(v)
     assert ef.all().tolist() == v.tolist() == [ef.select(i) for i in range(n)]
+    some = np.unique(np.random.default_rng(1).integers(0, n, 20))
+    assert ef.select_all(some).tolist() == v[some].tolist() and ef.below(int(v[n // 2])) == int((v < v[n // 2]).sum())
 
 
 def test_top_k_is_exact(spark):
@@ -194,23 +208,58 @@ def test_top_k_is_exact(spark):
     topk.SEND_BYTES = 64 << 20
 
 
+def test_top_k_of_huge_components(spark):
+    rng = random.Random(9)
+    huge = [1e10, -1e10, 3.7e9, 1e300, -1e300, 1e307, 2.5]
+    rows = [(i, [rng.choice(huge) * rng.random() if i % 3 == 0 else rng.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(300, [float("inf")] + [1.0] * 5)]
+    whole = {i: [math.floor(Fraction(v) * 256) for v in x] for i, x in rows[:-1]}
+    want = []
+    for q in (0, 50, 100):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], y)), j) for j, y in whole.items() if j != q)[:5]
+        want += [(q, k + 1, j, min(max(-v, -(2**63) + 1), 2**63 - 1)) for k, (v, j) in enumerate(s)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 50 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 def test_top_k_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SMALL}/embeddings.parquet'")
     assert sorted(map(tuple, queries.op5_top_k(spark, SMALL).collect())) == sorted(con.execute(queries.ORACLE_SQL["op5_top_k"]).fetchall())
 
 
+CONTRACT = {
+    "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+}
+
+
 def test_secrets(spark, odd):
     texts = ["é PassWord = 'abc123x' token: abc", "api_key:  xxxxxx AKIA" + "A" * 16, "AKIASHORT " + "0f" * 12 + " " + "0f" * 11, "ſecret=abcdefgh", "ghp_" + "a" * 36, "-----BEGIN RSA PRIVATE KEY-----", None, ""]
+    rng, cells = random.Random(6), ["password", "Secret", "api", "_", "KEY", "=", ": ", "'", "AKIA", "ABCD0123" * 2, "0f" * 11, "9", "abcdef", " ", "é", "token"]
+    texts += ["".join(rng.choice(cells) for _ in range(rng.randint(1, 40))) for _ in range(400)] + ["x " * (3 << 20) + "token=abcdef"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in secrets.digest(df).collect()}
     for i, x in enumerate(texts):
-        spans = sorted((a, n, b) for n, rule in enumerate(secrets.RULES) for a, b in rule.spans(x or ""))
-        base = [(secrets.RULES[n].kind, a, b) for a, n, b in spans if n < 3]
+        spans = sorted((m.start(), n, m.end()) for n, (p, ok) in enumerate(CONTRACT.values()) for m in re.finditer(p, x or "") if ok(m))
+        base = [(list(CONTRACT)[n], a, b) for a, n, b in spans]
         assert got[i]["base_sha256"] == secrets.digest_of(base)
-        assert got[i]["spans"] == ",".join(f"{secrets.RULES[n].kind}:{a}:{b}" for a, n, b in spans)
-    assert [got[i]["n_assign"] for i in range(4)] == [1, 1, 0, 0] and got[1]["n_access"] == 1 and got[2]["n_hex"] == 1
-    assert secrets.digest(odd).count() == odd.count()
+        assert [got[i][f"n_{k}"] for k in CONTRACT] == [sum(b[0] == k for b in base) for k in CONTRACT]
+        every = sorted((a, n, b) for n, rule in enumerate(secrets.RULES) for a, b in rule.spans(x or ""))
+        assert got[i]["spans"] == ",".join(f"{secrets.RULES[n].kind}:{a}:{b}" for a, n, b in every)
+    assert secrets.digest(odd).count() == odd.count() and secrets.digest(df.limit(0)).count() == 0
+
+
+def test_trigram_queries_hold_for_every_match():
+    patterns = [r.pattern.pattern for r in secrets.RULES] + [r"ab(cd|ef)?gh", r"(one|two[0-9]+|three)x{2,}end", r"a.b*cde+f", r"(?:[xX]yz){3}", r"é(ü|ß)nn", r"q(w(e|r)t)+y", r"^abc$", r"(?i)kelvin", r"\d{4}-\d\d"]
+    rng, letters = random.Random(2), "abcdefghxyzqwertn-=_:.09AKIé ü"
+    for p in patterns:
+        rule = secrets.Rule("x", p)
+        hits = [m[0] for _ in range(300) for m in re.finditer(p, "".join(rng.choice([*letters, "one", "two3", "three", "xx", "end", "xyzxyzxyz", "abgh", "abcdgh", "qwet", "y", "kelvin", "ghp_", "password=", "eyJ", "AKIA"]) for _ in range(30)))]
+        for text in hits:
+            assert secrets.holds(rule.query, text.encode().lower()), (p, text)
+    assert secrets.Rule("x", r"[0-9a-f]+").query is None and secrets.Rule("x", r"(?i)kelvin").query is None
+    assert secrets.grams_of(secrets.Rule("x", r"ab(cd|ef)?gh").query) == {b"abc", b"bcd", b"cdg", b"dgh", b"abe", b"bef", b"efg", b"fgh", b"abg", b"bgh"}
 
 
 def test_quality(spark, odd):
@@ -226,6 +275,66 @@ def test_quality(spark, odd):
     assert {r["score"] for r in quality.with_score(odd, none, ["doc_id"]).collect()} == {0.5}
 
 
+def test_gradients_and_convolution_by_brute_force():
+    rng = np.random.default_rng(3)
+    model = {"embed": rng.normal(0, 0.5, (quality.SYMBOLS, quality.EMBED)), "filters": rng.normal(0, 0.3, (quality.WIDTH * quality.EMBED, quality.FILTERS)), "bias": rng.normal(0, 0.1, quality.FILTERS), "out": rng.normal(0, 0.1, 3 * quality.FILTERS), "out_bias": np.array(0.1)}
+    texts = [rng.integers(32, 127, n).astype(np.uint8).tobytes() for n in (0, 5, 256, 257, 900, 70_000)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def plain(text: bytes, model: dict) -> float:
+        pooled = []
+        for k in range(max(1, -(-(len(text) - (quality.CHUNK - quality.STEP)) // quality.STEP))):
+            chunk = [*text[k * quality.STEP : k * quality.STEP + quality.CHUNK]]
+            x = model["embed"][chunk + [quality.SYMBOLS - 1] * (quality.CHUNK - len(chunk))]
+            conv = [x[i : i + quality.WIDTH].ravel() @ model["filters"] for i in range(quality.CHUNK - quality.WIDTH + 1)]
+            pooled.append(np.maximum(np.max(conv, 0) + model["bias"], 0))
+        return float(np.concatenate([np.mean(pooled, 0), np.max(pooled, 0), np.min(pooled, 0)]) @ model["out"] + model["out_bias"])
+
+    assert np.allclose(quality.predict(model, data, offsets), [1 / (1 + math.exp(-plain(t, model))) for t in texts], atol=1e-4)
+    labels, weight = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 2, 1])
+    x, firsts = quality._chunks(data[: offsets[5]], offsets[:6])
+    grad = quality.gradients(model, x, firsts, labels, weight)
+    loss = lambda m: sum(w * math.log(1 + math.exp(-z if y else z)) for z, y, w in zip([plain(t, m) for t in texts[:5]], labels, weight)) / 5
+    for name in ("filters", "embed", "bias", "out", "out_bias"):
+        at = np.unravel_index(int(np.abs(grad[name]).argmax()), np.shape(grad[name]))
+        up, down = (model | {name: model[name] + d * (np.arange(model[name].size).reshape(model[name].shape) == np.ravel_multi_index(at, model[name].shape) if model[name].ndim else 1)} for d in (1e-5, -1e-5))
+        assert float(np.asarray(grad[name])[at]) == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=0.02, abs=1e-5), name
+
+
+CLASHES = ("_print_text", "_count_text", "_hit_text", "_hits", "_scored_text", "_scan_text", "fp", "k1", "key", "place")
+
+
+def test_clashing_names_empty_tables_and_long_texts(spark, tmp_path):
+    """All operators on a table whose columns have the names of helper columns, with a text over a slice, and on no rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e", "s1"), (2, None, None), (3, "", "s1"), (None, "no id here", "s2"), (4, "twice the same", "s2"), (4, "twice the same", "s2"), (5, "lorem ipsum dolor sit " * 150_000, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in CLASHES})
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    none = quality.train(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
+    piece, byte = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+
+    def files(d, n=[0]):  # noqa: B006
+        n[0] += 1
+        tokenfile.write_tokens(d, str(tmp_path / f"f{n[0]}"), byte)
+        return tokenfile.documents_of(tokenfile.read_tokens(spark, str(tmp_path / f"f{n[0]}")))
+
+    each = {
+        "op1": lambda d: decontaminate.with_hits(d, bench, d.columns), "op1 clean": lambda d: decontaminate.decontaminated(d, bench), "op2": mixing.mixed, "op3": lambda d: tokencount.with_counts(d, piece, d.columns), "op4": files,
+        "op6": lambda d: secrets.with_secrets(d, d.columns), "op7": lambda d: quality.with_score(d, none, d.columns), "op8": simhash.near_duplicates, "op10": sharding.sharded,
+    }
+    for name, op in each.items():
+        assert op(docs).count() == len(rows), name
+        assert op(docs.limit(0)).count() == 0, name
+    for op in (mixing.applied, simhash.deduplicated):
+        assert op(docs).columns == docs.columns and op(docs.limit(0)).count() == 0
+    assert passages.repeated(docs).count() == 0
+    got = {r["doc_id"]: r for r in tokencount.with_counts(docs, piece, ["doc_id"]).collect()}
+    assert got[5]["n_bytes"] == 150_000 * 22 and got[5]["over_limit"]
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(vectors, lambda v: v % 50 == 0).count() == 0
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for k in range(200):
