@@ -237,7 +237,12 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
 
 
 def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs of marked(id, text): Jaccard similarity of the shingle sets."""
+    """A check of pairs of marked(id, text): Jaccard similarity of the shingle sets.
+
+    Sets' sizes in 256 parts of the hash space bound the common shingles from above; most pairs that are
+    not alike go on these alone, and only the others meet with their sets.
+    """
+    alike = lambda same, n: same >= least * (n - same)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
@@ -248,21 +253,37 @@ def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame],
             for batch in batches:
                 for at, end, data, offsets in text_slices(batch, "text"):
                     words, firsts = word_hashes(data, offsets)
-                    sets = [np.unique(row_shingles(words[i:j], width)).tobytes() for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary())], ["id", "s"])
+                    sets = [np.unique((row_shingles(words[i:j], width) >> np.uint64(32)).astype("<u4")) for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
+                    sizes = [np.bincount(x >> 24, minlength=256) for x in sets]
+                    # of sets too large for bytes: none, and so no bound
+                    parts = [x.astype(np.uint8).tobytes() if x.max() < 256 else b"" for x in sizes]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(list(map(len, sets)), pa.int32()), pa.array(parts, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "p", "s"])
+
+        def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+                most = np.minimum(np.asarray(batch.column(2)), np.asarray(batch.column(3))).astype(np.int64)
+                x, y = batch.column(4), batch.column(5)
+                both = np.array([bool(len(u)) and bool(len(v)) for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)], bool)
+                if both.any():
+                    x, y = (np.frombuffer(b"".join(z.filter(pa.array(both)).to_pylist()), np.uint8).reshape(-1, 256) for z in (x, y))
+                    most[both] = np.minimum(x, y).sum(1, dtype=np.int64)
+                ok = pa.array(alike(most, n), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], ["a", "b"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ok = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(same >= least * (len(x) + len(y) - same))
+                    x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                    ok.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-        sets = kept(texts.mapInArrow(shingles, "id long, s binary"))
-        left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+        sets = written(texts.mapInArrow(shingles, "id long, n int, p binary, s binary"), "simhash-sets")
+        side = lambda of, *names: sets.select(F.col("id").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in names))
+        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b")
+        met = sized.join(side("a", "n", "p"), "a").join(side("b", "n", "p"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(may_be, "a long, b long")
+        return kept(met).join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
     return verify
 
@@ -278,7 +299,8 @@ def deduplicated(docs: DataFrame, distance: int = 14, width: int = 5, least: flo
 
     Texts are linked if their fingerprints differ by at most ``distance`` bits and their shingle sets
     have a Jaccard similarity of ``least`` or more; only equal texts (by a 64-bit hash of text and
-    fingerprint) go without a check. Empty texts form one class.
+    fingerprint) go without a check. Empty texts form one class, and null texts with them. Repeated rows are
+    one class. Columns may have any names; an empty table gives no rows.
     """
     columns = docs.columns
     fp, of_text, component, order, of, first_of = name_apart(docs, "fp", "of_text", "component", "order", "of", "first_of")
