@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import text as t
 
@@ -36,28 +41,51 @@ def metadata_error(missing: DataFrame, shown: int = 3) -> DataFrame:
     return missing.agg(F.count(F.lit(1)).alias("n")).crossJoin(first).filter("n > 0")
 
 
-def nested_arrays(contexts: DataFrame, names: list[str], depth: int = 12) -> DataFrame:
-    """M2: (query_id, ordinal, name, item): the elements of every array of these names, at any depth.
-
-    contexts(query_id, context as JSON). Nesting up to ``depth`` levels of objects and arrays; siblings
-    in the order of their keys, as VARIANT stores them.
+def _named_items(context: str | None, names: list[str]) -> Iterator[tuple[str, dict]]:
+    """(name, item) of the objects in arrays of these names: an object's own arrays, then what its other keys hold."""
+    try:
+        open_ = [json.loads(context)] if context is not None else []
+    except ValueError:
+        return
+    while open_:
+        value = open_.pop()
+        if isinstance(value, dict):
+            own = [n for n in names if isinstance(value.get(n), list)]
+            for name in own:
+                for item in value[name]:
+                    if isinstance(item, dict):
+                        yield name, item
+            value = [x for k, x in value.items() if k not in own]
+        if isinstance(value, list):
+            open_ += [x for x in reversed(value) if isinstance(x, dict | list)]
+
+
+def nested_arrays(contexts: DataFrame, names: list[str]) -> DataFrame:
+    """M2: (query_id, ordinal, name, item): the objects of every array of these names, at any depth.
+
+    contexts(query_id, context as JSON). In the order of arrival: keys as the JSON has them, arrays of
+    these names before what lies deeper. A null or broken context has none.
     """
-    level = contexts.select("query_id", F.parse_json("context").alias("v"), F.lit("").alias("path"), F.lit(None).cast("string").alias("name"))
-    spark, found = contexts.sparkSession, None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_nested")
-        rows = spark.sql("SELECT n.query_id, n.name AS parent, n.path, e.pos, e.key, e.value FROM _nested n, LATERAL variant_explode(n.v) e")
-        here = rows.select("query_id", F.col("value").alias("v"), F.concat("path", F.lpad(F.col("pos").cast("string"), 6, "0"), F.lit("/")).alias("path"), F.when(F.col("key").isin(names), F.col("key")).alias("name"), "parent")
-        items = here.filter(F.col("parent").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")).select("query_id", F.col("parent").alias("name"), "path", F.to_json("v").alias("item"))
-        found = items if found is None else found.unionByName(items)
-        level = here.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)") & (F.col("parent").isNull() | F.col("name").isNotNull())).select("query_id", "v", "path", "name")
-    ordinal = F.row_number().over(W.partitionBy("query_id").orderBy("path"))
-    return found.select("query_id", ordinal.alias("ordinal"), "name", "item")
-
-
-def flatten_context_sources(contexts: DataFrame, depth: int = 12) -> DataFrame:
+    key = contexts.select("query_id").schema.fields
+    schema = T.StructType([*key, T.StructField("ordinal", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("item", T.StringType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, ordinal, name, item = [], [], [], []
+            for i, context in enumerate(batch.column(1).to_pylist()):
+                for k, (n, x) in enumerate(_named_items(context, names)):
+                    row.append(i)
+                    ordinal.append(k + 1)
+                    name.append(n)
+                    item.append(json.dumps(x, ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(ordinal, pa.int32()), pa.array(name, pa.string()), pa.array(item, pa.string())], schema.names)
+
+    return contexts.select("query_id", "context").mapInArrow(walk, schema)
+
+
+def flatten_context_sources(contexts: DataFrame) -> DataFrame:
     """M2: (query_id, ordinal, id, text, in_context) of every source record."""
-    rows = nested_arrays(contexts, ["sources"], depth)
+    rows = nested_arrays(contexts, ["sources"])
     r = F.from_json("item", "id string, text string, in_context boolean")
     return rows.select("query_id", "ordinal", r.alias("r")).select("query_id", "ordinal", "r.*")
 
@@ -95,10 +123,10 @@ def merge_contexts(records: DataFrame) -> DataFrame:
     return rows.filter("_n = 1").withColumn("in_context", F.col("_any")).drop("_any", "_n")
 
 
-def extract_step_evidence(contexts: DataFrame, rows: int = STEP_ROWS, chars: int = STEP_CHARS, depth: int = 12) -> DataFrame:
+def extract_step_evidence(contexts: DataFrame, rows: int = STEP_ROWS, chars: int = STEP_CHARS) -> DataFrame:
     """M8: sources and reports with text and id of each step: first of each id, so many rows and characters."""
     r = F.from_json("item", "id string, human_readable_id string, text string, content string, summary string, full_content string, in_context boolean")
-    flat = nested_arrays(contexts, ["sources", "reports"], depth).select("query_id", "ordinal", "name", r.alias("r"))
+    flat = nested_arrays(contexts, ["sources", "reports"]).select("query_id", "ordinal", "name", r.alias("r"))
     full = lambda *c: F.coalesce(*[F.nullif(F.col(f"r.{x}"), F.lit("")) for x in c], F.lit(""))
     cells = flat.filter(F.coalesce("r.in_context", F.lit(True))).select("query_id", "ordinal", full("id", "human_readable_id").alias("source_id"), F.when(F.col("name") == "sources", "text_unit").otherwise("community_report").alias("source_type"), t.strip(full("text", "content", "summary", "full_content")).alias("text")).filter("source_id <> '' and text <> ''")
     one = cells.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "source_id").orderBy("ordinal"))).filter("_n = 1")
@@ -120,7 +148,7 @@ def align_citations(answers: DataFrame, mapping: DataFrame) -> DataFrame:
     cites = F.regexp_extract_all("answer", F.lit(r"\[(E\d+)\]"), F.lit(1))
     shown = lambda c: F.coalesce(F.concat(F.lit("["), F.get(F.map_values(F.map_filter("_map", lambda k, _: k == c)), F.lit(0)), F.lit("]")), F.lit(UNMAPPED))
     rows = answers.join(maps, "question_id", "left").withColumn("_map", F.coalesce("_map", F.create_map().cast("map<string,string>")))
-    done = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(cites), shown(F.get(cites, i))).otherwise(""))), "")
+    done = t.let(cites, lambda found: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(found), shown(F.get(found, i))).otherwise(""))), ""))
     return rows.withColumn("answer", done).drop("_map")
 
 
@@ -132,8 +160,7 @@ def context_source_count(contexts: DataFrame, sources: DataFrame) -> DataFrame:
 
 def context_summary(contexts: DataFrame) -> DataFrame:
     """(query_id, key, type, items) of each top-level key of a context."""
-    contexts.select("query_id", F.parse_json("context").alias("v")).createOrReplaceTempView("_summary")
-    rows = contexts.sparkSession.sql("SELECT s.query_id, e.key, e.value FROM _summary s, LATERAL variant_explode(s.v) e")
+    rows = contexts.sparkSession.sql("SELECT s.query_id, e.key, e.value FROM {s} s, LATERAL variant_explode(s.v) e", s=contexts.select("query_id", F.parse_json("context").alias("v")))
     kind = F.regexp_extract(F.schema_of_variant("value"), "^([A-Z]+)", 1)
     n = F.when(kind == "ARRAY", F.size(F.from_json(F.to_json("value"), "array<string>"))).when(kind == "OBJECT", F.size(F.from_json(F.to_json("value"), "map<string,string>")))
     return rows.select("query_id", "key", kind.alias("type"), n.alias("items"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.ordering import numbered
+
 SUMMARY, DESCRIPTION, LINK, RECENT = 400, 300, 160, 12
 
 
@@ -20,8 +22,7 @@ def top_regions(communities: DataFrame, reports: DataFrame) -> DataFrame:
     top = communities.crossJoin(F.broadcast(low)).filter(F.col("level") == F.col("_low")).drop("_low")
     r = reports.groupBy("community").agg(F.max(F.struct("title", "summary", "rank")).alias("r"))
     rows = top.withColumnRenamed("title", "_title").join(r, "community", "left")
-    # one row a region of the top level
-    return rows.select((F.row_number().over(W.orderBy("community")) - 1).alias("region"), "community", F.coalesce("r.title", "_title").alias("title"), F.round("r.rank", 1).alias("rank"), clip(F.col("r.summary"), SUMMARY).alias("summary"), F.coalesce(F.size("entity_ids"), F.lit(0)).alias("members"), "entity_ids")
+    return numbered(rows, ["community"], "_nth").select((F.col("_nth") - 1).cast("int").alias("region"), "community", F.coalesce("r.title", "_title").alias("title"), F.round("r.rank", 1).alias("rank"), clip(F.col("r.summary"), SUMMARY).alias("summary"), F.coalesce(F.size("entity_ids"), F.lit(0)).alias("members"), "entity_ids")
 
 
 def graph_nodes(entities: DataFrame, regions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.sources.scratch import kept
 
 CONTENT_TYPES = ["all", "diagnostic", "procedure", "specification", "general"]
 CJK = "[㐀-䶿一-鿿]"
@@ -60,15 +61,21 @@ def normalize_question(text: Column) -> Column:
 def dedupe_questions(generated: DataFrame, per_document: int, rounds: int = 3) -> DataFrame:
     """Q8: over rounds, the first of each normalised question over all documents, so many a document.
 
-    generated(round, document_id, position, question). A document that has reached its target in earlier
-    rounds is not asked again; within a round it may be given more, as the generator was.
+    generated(round, document_id, position, question). A round asks the documents that are short of their
+    target after the rounds before, and takes what no accepted question equals; it may give a document more
+    than its target, as the generator may. What a document that is not asked would give claims nothing.
     """
-    rows = generated.filter(F.col("round") <= rounds).withColumn("_norm", normalize_question(F.col("question"))).filter("_norm <> ''")
-    order = ["round", "document_id", "position"]
-    one = rows.withColumn("_n", F.row_number().over(W.partitionBy("_norm").orderBy(*order))).filter("_n = 1")
-    by = one.groupBy("document_id", "round").agg(F.count(F.lit(1)).alias("_got"))
-    before = by.withColumn("_before", F.sum("_got").over(W.partitionBy("document_id").orderBy("round")) - F.col("_got")).select("document_id", "round", "_before")
-    return one.join(before, ["document_id", "round"]).filter(F.col("_before") < per_document).drop("_n", "_norm", "_before")
+    rows = kept(generated.withColumn("_norm", normalize_question(F.col("question"))).filter("_norm <> ''"))
+    accepted = None
+    for k in range(1, rounds + 1):
+        asked = rows.filter(F.col("round") == k)
+        if accepted is not None:
+            full = accepted.groupBy("document_id").agg(F.count(F.lit(1)).alias("_got")).filter(F.col("_got") >= per_document)
+            asked = asked.join(full, "document_id", "left_anti").join(accepted.select("_norm"), "_norm", "left_anti").select(*rows.columns)
+        first = F.row_number().over(W.partitionBy("_norm").orderBy("document_id", "position"))
+        new = asked.withColumn("_n", first).filter("_n = 1").drop("_n")
+        accepted = kept(new if accepted is None else accepted.unionByName(new))
+    return accepted.drop("_norm")
 
 
 def validate_generated(rows: DataFrame, samples: DataFrame) -> DataFrame:

@@ -273,11 +273,10 @@ def r5_choose_answer(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.choose_answer(a).select("query_id", "answer", "status")
 
 
-@query("SELECT conv_id, turn, conv_id % 3 = 0 OR turn % 5 = 1 AS comparison FROM conversations WHERE NOT regexp_matches(text, '(?i)compar|differ|versus|both|in common|vs')")
+@query(rf"SELECT conv_id, turn, regexp_matches(text || CASE WHEN conv_id % 3 = 0 THEN ' Which one differs? compared' WHEN turn % 5 = 1 THEN '兩者' ELSE '' END, '{t.COMPARISON}') AS comparison FROM conversations")
 def r6_is_comparison(spark: SparkSession, d: str) -> DataFrame:
     tail = F.when(F.col("conv_id") % 3 == 0, " Which one differs? compared").when(F.col("turn") % 5 == 1, "兩者").otherwise("")
-    rows = table(spark, d, "conversations").filter(~F.col("text").rlike("(?i)compar|differ|versus|both|in common|vs"))
-    return rows.select("conv_id", "turn", t.is_comparison(F.concat("text", tail)).alias("comparison"))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.is_comparison(F.concat("text", tail)).alias("comparison"))
 
 
 @query("SELECT user_id AS question_id, event_id AS step, row_number() OVER (PARTITION BY user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) % 5 ORDER BY event_id) > 1 AS duplicate FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.operators.ordering import numbered
 from docloom.operators import evidence as ev
 from docloom.operators import metrics, passages, prepare, questions, sampling, variants
 from docloom.plans import views as v
@@ -76,11 +77,7 @@ def s4_read_query_log(spark: SparkSession, d: str) -> DataFrame:
 def s5_question_set(spark: SparkSession, d: str) -> DataFrame:
     """Written as one JSON object a conversation, read back as question rows, numbered over all."""
     path = scratch(spark, "sets")
-    from pyspark.sql import Window as W
-
-    n = v.qa(spark, d).withColumn("number", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    offsets = n.groupBy("conv_id").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.sum("c").over(W.orderBy("conv_id")) - F.col("c"))
-    rows = n.join(offsets, "conv_id").select("conv_id", F.struct((F.col("number") + F.col("before")).cast("int").alias("number"), "question", F.col("answer").alias("expected_answer")).alias("q"))
+    rows = numbered(v.qa(spark, d), ["conv_id", "turn"], "number").select("conv_id", F.struct(F.col("number").cast("int").alias("number"), "question", F.col("answer").alias("expected_answer")).alias("q"))
     rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("q")).alias("questions")).select("questions").write.json(path)
     return tables.question_rows(spark.read.schema(tables.QUESTION_SET_SCHEMA).json(path)).select("number", "question", "expected_answer")
 
@@ -393,11 +390,13 @@ def v4_question_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each question retrieves four pages of one document (by its conversation)."""
+    """Each question retrieves 24 pages in a row, from a place that its conversation gives."""
     cat = variants.variant_catalog(v.catalog(spark, d))
-    pages = v.pages(spark, d).select("document_id", "page", "text").join(cat, ["document_id", "page"], "left").withColumn("slot", F.col("page") % 97)
-    q = v.qa(spark, d).select(F.col("question_id").alias("query_id"), (F.col("conv_id") % 97).cast("int").alias("slot"))
-    rows = q.join(pages, "slot").select("query_id", F.col("page").alias("ordinal"), F.concat_ws("-", "document_id", "page").alias("key"), "document_id", "page", F.coalesce("variant", F.lit("")).alias("variant"), "text", F.lit("").alias("compare_text"))
+    pages = v.pages(spark, d).select("document_id", "page", "text").join(cat, ["document_id", "page"], "left")
+    last = pages.agg(F.max("page")).first()[0] or 0
+    first = (F.col("conv_id") * 31) % (last + 1)
+    q = v.qa(spark, d).select(F.col("question_id").alias("query_id"), F.explode(F.sequence(first, first + 23)).alias("page"))
+    rows = q.join(pages, "page").select("query_id", F.col("page").alias("ordinal"), F.concat_ws("-", "document_id", "page").alias("key"), "document_id", "page", F.coalesce("variant", F.lit("")).alias("variant"), "text", F.lit("").alias("compare_text"))
     return rows, _asked(spark, d), cat
 
 
@@ -444,15 +443,17 @@ def q2_classify_content(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", t.classify_content(F.concat("text", tail)).alias("content_type"))
 
 
-@query("SELECT doc_id, doc_id % 5 = 0 AND 3 / (3 + len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) + 1) >= 0.2 AS contents FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 3 / (3 + len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) + 1) >= 0.2 ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' END AS contents FROM documents")
 def q3_table_of_contents(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Contents\na ..... 1\nb ..... 2\nc .....\n"), "text")).otherwise(F.col("text"))
-    return table(spark, d, "documents").filter("trim(text) <> ''").select("doc_id", t.is_table_of_contents(text).alias("contents"))
+    return table(spark, d, "documents").select("doc_id", t.is_table_of_contents(text).alias("contents"))
 
 
-@query("WITH " + v.CHUNKS + r" SELECT chunk_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS character_count FROM chunks WHERE section_id IN ('en', 'de') AND page BETWEEN 100 AND 700 AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 500")
+@query("WITH " + v.CHUNKS + r" SELECT chunk_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS character_count FROM chunks WHERE section_id IN ('en', 'de') AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 500")
 def q4_scan_sources(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.scan_sources(v.chunks(spark, d), ["en", "de"], 100, 700, "all", 500).select("chunk_id", F.col("character_count").cast("long").alias("character_count"))
+    chunks = v.chunks(spark, d)
+    last = chunks.agg(F.max("page")).first()[0]
+    return sampling.scan_sources(chunks, ["en", "de"], 0, last, "all", 500).select("chunk_id", F.col("character_count").cast("long").alias("character_count"))
 
 
 @query("WITH " + v.CHUNKS + " SELECT chunk_id FROM chunks ORDER BY md5('7:' || chunk_id), chunk_id LIMIT 50")
@@ -584,7 +585,7 @@ def e10_recent_manual(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH a AS (SELECT conv_id, turn FROM conversations WHERE role = 'user') SELECT 'id' AS kind, conv_id || '-' || turn AS value FROM a WHERE conv_id % 10 = 0")
 def e11_check_edit(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.concat_ws(" ", "text", F.concat_ws("x", "conv_id", "turn")).alias("question"))
-    return questions.check_edit(c, c.filter("conv_id % 10 <> 0")).filter("kind <> 'duplicate'")
+    return questions.check_edit(c, c.filter("conv_id % 10 <> 0"))
 
 
 @query("SELECT o_orderkey AS question_id, 'Doc: a' AS document_id, 2 AS n_pages FROM orders WHERE o_orderkey % 3 <> 0")
@@ -709,7 +710,7 @@ def _contexts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS ordinal, conv_id || '-' || turn AS id FROM conversations")
 def m2_flatten_context_sources(spark: SparkSession, d: str) -> DataFrame:
-    return ev.flatten_context_sources(_contexts(spark, d), 6).select("query_id", "ordinal", "id")
+    return ev.flatten_context_sources(_contexts(spark, d)).select("query_id", "ordinal", "id")
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -729,7 +730,7 @@ def m3_resolve_evidence(spark: SparkSession, d: str) -> DataFrame:
     docs, units = _index(spark, d)
     meta, _ = ev.build_source_metadata(docs, units)
     none = spark.createDataFrame([], "document_id string, page int, variant string")
-    return ev.resolve_evidence(ev.flatten_context_sources(_contexts(spark, d), 6), units, meta, none).select("query_id", "rank", "text_unit_id")
+    return ev.resolve_evidence(ev.flatten_context_sources(_contexts(spark, d)), units, meta, none).select("query_id", "rank", "text_unit_id")
 
 
 @query("SELECT DISTINCT conv_id AS query_id, 'r1' AS context_id, 1 AS rank FROM conversations WHERE conv_id % 2 = 0")
@@ -758,7 +759,7 @@ def m7_merge_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id AS query_id, count(*) FILTER (turn % 5 <> 4 AND trim(text) <> '') + 1 AS n FROM conversations GROUP BY 1")
 def m8_extract_step_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return ev.extract_step_evidence(_contexts(spark, d), rows=1000, depth=6).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return ev.extract_step_evidence(_contexts(spark, d), rows=1000).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH f AS (SELECT l_suppkey AS question_id, l_partkey, min(l_orderkey * 10 + l_linenumber) AS first_at FROM lineitem GROUP BY 1, 2) SELECT question_id, CAST(l_partkey AS VARCHAR) AS source_id, 'E' || row_number() OVER (PARTITION BY question_id ORDER BY first_at, CAST(l_partkey AS VARCHAR)) AS citation_id FROM f")
@@ -776,7 +777,7 @@ def m10_align_citations(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id AS query_id, count(DISTINCT turn) FILTER (turn % 5 <> 4) AS source_count FROM conversations GROUP BY 1")
 def m11_context_source_count(spark: SparkSession, d: str) -> DataFrame:
     c = _contexts(spark, d)
-    return ev.context_source_count(c, ev.flatten_context_sources(c, 6))
+    return ev.context_source_count(c, ev.flatten_context_sources(c))
 
 
 @query("SELECT conv_id AS query_id, 'steps' AS key, 'ARRAY' AS type, CAST(count(DISTINCT turn // 2) AS INTEGER) AS items FROM conversations GROUP BY 1 UNION ALL SELECT DISTINCT conv_id, 'reports', 'ARRAY', 1 FROM conversations")

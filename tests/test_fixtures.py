@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import costs, metrics, prepare, sampling, variants
+from docloom.operators import costs, evidence, metrics, ordering, prepare, sampling, variants
 
 
 def one(spark, column):
@@ -90,3 +90,29 @@ def test_sample_needs_enough_rows(spark):
 
 def test_normalised_questions(spark):
     assert one(spark, sampling.normalize_question(F.lit("ＡＢ c, Straße?"))) == "abcstrasse"
+
+
+def test_sources_of_any_depth_in_the_order_of_arrival(spark):
+    deep = '{"sources": [{"id": "deep"}]}'
+    for _ in range(40):
+        deep = '{"x": [' + deep + "]}"
+    rows = [("a", '{"zeta": {"sources": [{"id": "1"}, 5]}, "alpha": [{"sources": [{"id": "2"}]}], "sources": [{"id": "0"}]}'), ("b", deep), ("c", None), ("d", "{broken")]
+    got = evidence.flatten_context_sources(spark.createDataFrame(rows, "query_id string, context string")).collect()
+    assert sorted((r["query_id"], r["ordinal"], r["id"]) for r in got) == [("a", 1, "0"), ("a", 2, "1"), ("a", 3, "2"), ("b", 1, "deep")]
+
+
+def test_a_document_that_is_not_asked_claims_no_question(spark):
+    rows = [(1, "A", 1, "q1"), (2, "A", 1, "same"), (3, "B", 1, "same"), (1, "C", 1, "Q1!"), (2, "C", 1, "other")]
+    got = sampling.dedupe_questions(spark.createDataFrame(rows, "round int, document_id string, position int, question string"), 1).collect()
+    assert sorted((r["document_id"], r["question"]) for r in got) == [("A", "q1"), ("B", "same"), ("C", "other")]
+
+
+def test_numbers_over_all_ranges(spark):
+    got = ordering.numbered(spark.range(1000).repartition(7), ["id"], "n").collect()
+    assert sorted((r["id"], r["n"]) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_trigrams_and_folios_of_long_texts(spark):
+    text, lines = " ".join(f"w{i % 7000}" for i in range(20_000)), "\n".join(["Title", "12", *(f"line {i}" for i in range(20_000))])
+    r = spark.createDataFrame([(text, lines)], "a string, b string").select(F.size(t.trigrams(F.col("a"))).alias("n"), t.strip_leading_folio(F.col("b")).alias("s")).first()
+    assert r["n"] == 7000 and r["s"] == lines.replace("\n12\n", "\n\n", 1)
