@@ -127,8 +127,8 @@ class Encoder:
     PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,40})([!-/:-@\[-`{-~]*)\Z")
     ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]")
-    #: Entries of each of the four tables, with keys of at most LONGEST characters: some 40 MB each.
-    CACHE, LONGEST = 200_000, 48
+    #: Entries of each of the four tables, with keys of at most LONGEST characters: some 80 MB each.
+    CACHE, LONGEST = 400_000, 48
 
     def __init__(self, path: str):
         import json
@@ -249,7 +249,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
         end, first, block = enc._bytes([end_id]), 0, 0
         ids: list[bytes] = []
         names: list[int | None] = []
-        size = 0
+        size, lowest = 0, None  # ids, and the first doc_id, of the block
 
         def row() -> pa.RecordBatch:
             lengths = np.array([len(x) // enc.width for x in ids], np.int64)
@@ -265,17 +265,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
                 part = batch.slice(i, 500)
                 for name, found in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     # ids of a block lie within 62 bits of each other
-                    if ids and name is not None and next((name - x >= 1 << 62 for x in names if x is not None), False):
-                        yield row()
-                        first, block, size = first + size, block + 1, 0
-                        ids.clear()
-                        names.clear()
+                    if name is not None:
+                        lowest = name if lowest is None else lowest
+                        if name - lowest >= 1 << 62:
+                            yield row()
+                            first, block, size, lowest = first + size, block + 1, 0, name
+                            ids.clear()
+                            names.clear()
                     ids.append(found + end)
                     names.append(name)
                     size += len(ids[-1]) // enc.width
                     if size >= block_ids:
                         yield row()
-                        first, block, size = first + size, block + 1, 0
+                        first, block, size, lowest = first + size, block + 1, 0, None
                         ids.clear()
                         names.clear()
         if ids:
