@@ -22,7 +22,9 @@ If a member of a group repeats no passage of its representative, it may still re
 the representative's, so among each one's six nearest shingles before c, or after it, that the
 representative lacks, one is common. Members meet again in groups of representative and such a shingle,
 in rounds until no group has two documents, so no pair is lost; all but the rows of repeated text stand
-alone and go.
+alone and go. Once no more than a share of 1 / ``REST`` of the first round's windows is left, groups of at
+most ``SETTLE`` members are settled in a task: in order, every member meets those that nothing links to it
+yet. Larger groups take further rounds.
 
 Words: runs of anything but white space, ASCII lower case. Null, empty and short texts have no
 windows. Texts of any length are cut whole. Repeats within one document, and rows that repeat one
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import kept, mix, ngrams, text_slices, word_hashes, written
 
 WIDTH, LEAST_WORDS, SIMILARITY, HASHES, TOKEN, RUN = 5, 50, 0.8, 1, 14, 24
-REACH, SEND_IDS, BLOCK, MARGIN, FEW = 65_535, 2_000_000, 512, 128, 20_000
+REACH, SEND_IDS, BLOCK, MARGIN, FEW, REST, SETTLE = 65_535, 2_000_000, 512, 128, 20_000, 10, 64
 
 
 def _sliding(x: np.ndarray, t: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -135,10 +137,10 @@ def windows(docs: DataFrame, hashes: int = HASHES, token: int = TOKEN, run: int
 
 
 def members(found: DataFrame) -> DataFrame:
-    """(key, doc_id, place): windows whose key stands in two documents or more."""
+    """(key, doc_id, place, n): windows whose key stands in two documents or more; n: how many share it."""
     # most keys stand in one document: those go first, on the keys and ids alone
-    ids = found.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter(F.col("last") != F.col("head")).select(F.col("key").alias("_key"))
-    return found.join(ids, found.key == F.col("_key"), "left_semi").select("key", "doc_id", "place")
+    ids = found.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter(F.col("last") != F.col("head")).select(F.col("key").alias("_key"), "n")
+    return found.join(ids, found.key == F.col("_key")).select("key", "doc_id", "place", "n")
 
 
 def met_with_heads(rest: DataFrame) -> DataFrame:
@@ -296,7 +298,9 @@ def compared(pairs: DataFrame, blocks: DataFrame, least_words: int, width: int,
         around = total[np.minimum(c + least_words - width + 1, len(x))] - total[np.maximum(c + token - least_words, 0)]
         for i in [] if same_doc else np.flatnonzero(~ok & (around > least_words - width + 1 - most)):
             near = y[max(0, c2[i] + token - least_words) : c2[i] + least_words - width + 1]
-            lack[i] = _lacking(~np.isin(x, near), token, width, least_words, most, c[i : i + 1])[0]
+            lo = max(0, c[i] + token - least_words)
+            own = _lacking(~np.isin(x[lo : c[i] + least_words - width + 1], near), token, width, least_words, most, c[i : i + 1] - lo)[0]
+            lack[i] = np.where(own >= 0, own + lo, -1)
         return spans, ok, lack
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +331,46 @@ def compared(pairs: DataFrame, blocks: DataFrame, least_words: int, width: int,
 SPAN = ("start_word", "end_word", "other_start", "other_end", "n_words", "similarity")
 
 
+def settled(rest: DataFrame, size: int, blocks: DataFrame, least_words: int, width: int, similarity: float, token: int = TOKEN) -> DataFrame:
+    """(doc_id, other_id, passage): verified passages that link the members of the small groups of ``rest``, of ``size`` rows.
+
+    A member brings the shingles within MARGIN of its minimum, and a task's groups have some 1,000 members together.
+    """
+    need = least_words - width + 1 - int((1 - similarity) / (1 + similarity) * (least_words - width + 1) + 1e-9)
+    cells = blocks.toDF("_doc", "_block", "cells")
+    rows = rest.withColumn("block", block_of("place")).join(cells, (F.col("doc_id") == F.col("_doc")) & (F.col("block") == F.col("_block")))
+    start, first = (F.greatest(F.lit(0), x - MARGIN).cast("int") for x in (F.col("block") * BLOCK, F.expr("shiftrightunsigned(place, 32)")))
+    near = rows.select(F.pmod("key", F.lit(1 + size // 1000)).alias("part"), "key", "doc_id", "place", first.alias("first"), F.col("cells").substr(4 * (first - start) + 1, F.lit(4 * (2 * MARGIN + token))).alias("cells"))
+
+    def settle(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
+        doc, first = (np.asarray(part[k]).astype(np.int64) for k in ("doc_id", "first"))
+        place, key = np.asarray(part["place"]).view(np.uint64), np.asarray(part["key"])
+        texts = [np.frombuffer(x.as_buffer(), "<u4") for x in part["cells"]]
+        c = (place >> np.uint64(32)).astype(np.int64) - first
+        before, after = (((place >> np.uint64(k)) & np.uint64(REACH)).astype(np.int64) for k in (16, 0))
+        around = [x[max(0, k + token - least_words) : k + least_words - width + 1].tolist() for x, k in zip(texts, c.tolist(), strict=True)]
+        sets = list(map(set, around))
+        of, out = list(range(len(doc))), []
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for j in range(lo, hi):
+                for i in range(j + 1, hi):
+                    # a passage of least length has that many common shingles around the minimum
+                    if of[i] == of[j] or doc[i] == doc[j] or sum(map(sets[j].__contains__, around[i])) < need:
+                        continue
+                    x, y = texts[i], texts[j]
+                    back, on = min(before[i], before[j]), min(after[i], after[j])
+                    for s in passages_of(x, y, np.isin(x, y), np.isin(y, x), int(c[i] - c[j]), [int(c[i])], int(c[i] - back), int(c[i] + on) + token, least_words, width, similarity):
+                        out.append((doc[i], doc[j], s[0] + first[i], s[1] + first[i], s[2] + first[j], s[3] + first[j], s[4], s[5]))
+                        was, now = of[i], of[j]
+                        of[lo:hi] = [now if k == was else k for k in of[lo:hi]]
+        return pa.table({n: pa.array([x[k] for x in out], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(("doc_id", "other_id", *SPAN))})
+
+    fields = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n in ("doc_id", "other_id", *SPAN))
+    return near.groupBy("part").applyInArrow(settle, fields).distinct()
+
+
 def regrouped(seen: DataFrame) -> DataFrame:
     """(key, doc_id, place): windows of groups of which a member repeats nothing of the first one, by what they have and it lacks."""
     rows = seen.select("doc_id", "other_id", F.explode("seeds").alias("s")).select("doc_id", "other_id", "s.*")
@@ -345,8 +389,9 @@ def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WOR
     rest = kept(members(windows(docs, hashes)))
     blocks = written(shingle_blocks(docs, rest.select("doc_id", block_of("place").alias("block")).distinct(), width), "passages")
     out, size = None, rest.count()
+    late = max(FEW, size // REST)
     while out is None or size:
-        # the last rounds have few rows: one partition then, which needs no shuffles
+        # rounds of few rows run in one partition, which needs no shuffles
         few = (lambda df: kept(df).coalesce(1)) if size <= FEW else (lambda df: df)
         met, near = few(met_with_heads(few(rest))), blocks
         if size <= FEW:
@@ -357,4 +402,9 @@ def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WOR
         out = found if out is None else out.unionByName(found)
         rest = kept(members(regrouped(seen.coalesce(1) if size <= FEW else seen)))
         size = rest.count()
+        if 0 < size <= late:
+            small = rest.filter(F.col("n") <= SETTLE)
+            out = out.unionByName(written(settled(small, size, blocks, least_words, width, similarity), "passages-settled"))
+            rest = rest.filter(F.col("n") > SETTLE)
+            size = rest.count()
     return out.distinct()

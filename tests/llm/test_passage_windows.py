@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import numpy as np
 
 from docloom.llm import passages
@@ -74,8 +76,10 @@ def alike(a: list[str], b: list[str]) -> bool:
     return False
 
 
-def test_edited_passages_of_brute_force_are_in_one_class(spark):
-    """Groups of copies of a passage of 50 to 90 words, each with up to four words changed, put in or left out."""
+@pytest.mark.parametrize("settle", [1, passages.SETTLE])
+def test_edited_passages_of_brute_force_are_in_one_class(spark, monkeypatch, settle):
+    """Groups of copies of a passage of 50 to 90 words, each with up to four words changed, put in or left out; by rounds, and settled."""
+    monkeypatch.setattr(passages, "SETTLE", settle)
     rng, texts = random.Random(11), []
     for g in range(14):
         base = words(5000 + g, rng.randint(50, 90))
