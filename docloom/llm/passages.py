@@ -136,11 +136,17 @@ def windows(docs: DataFrame, hashes: int = HASHES, token: int = TOKEN, run: int
     return rows.mapInArrow(cut, "key long, doc_id long, place long")
 
 
-def members(found: DataFrame) -> DataFrame:
-    """(key, doc_id, place, n): windows whose key stands in two documents or more; n: how many share it."""
+def members(found: DataFrame, once: bool = False) -> DataFrame:
+    """(key, doc_id, place, n): windows whose key stands in two documents or more; n: how many share it.
+
+    ``once``: of groups of the same members (by count, ends and a 64-bit hash of all) one is enough.
+    """
     # most keys stand in one document: those go first, on the keys and ids alone
-    ids = found.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter(F.col("last") != F.col("head")).select(F.col("key").alias("_key"), "n")
-    return found.join(ids, found.key == F.col("_key")).select("key", "doc_id", "place", "n")
+    sums = [F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *([F.bit_xor(F.xxhash64("doc_id", "place")).alias("all")] if once else [])]
+    ids = found.groupBy("key").agg(*sums).filter(F.col("last") != F.col("head"))
+    if once:
+        ids = ids.groupBy("head", "last", "n", "all").agg(F.min("key").alias("key"))
+    return found.join(ids.select(F.col("key").alias("_key"), "n"), found.key == F.col("_key")).select("key", "doc_id", "place", "n")
 
 
 def met_with_heads(rest: DataFrame) -> DataFrame:
@@ -400,7 +406,7 @@ def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WOR
         seen = written(compared(met, near, least_words, width, similarity), "passages-met")
         found = seen.select("doc_id", "other_id", F.inline("found"))
         out = found if out is None else out.unionByName(found)
-        rest = kept(members(regrouped(seen.coalesce(1) if size <= FEW else seen)))
+        rest = kept(members(regrouped(seen.coalesce(1) if size <= FEW else seen), once=True))
         size = rest.count()
         if 0 < size <= late:
             small = rest.filter(F.col("n") <= SETTLE)
