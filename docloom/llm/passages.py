@@ -139,14 +139,16 @@ def windows(docs: DataFrame, hashes: int = HASHES, token: int = TOKEN, run: int
 def members(found: DataFrame, once: bool = False) -> DataFrame:
     """(key, doc_id, place, n): windows whose key stands in two documents or more; n: how many share it.
 
-    ``once``: of groups of the same members (by count, ends and a 64-bit hash of all) one is enough.
+    ``once``: of groups of the same members (by count, ends and a 64-bit hash of all) one is enough; with
+    ``first``, the smallest hash of a member.
     """
     # most keys stand in one document: those go first, on the keys and ids alone
-    sums = [F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *([F.bit_xor(F.xxhash64("doc_id", "place")).alias("all")] if once else [])]
+    sums = [F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *([F.bit_xor(F.xxhash64("doc_id", "place")).alias("all"), F.min(F.xxhash64("doc_id", "place")).alias("first")] if once else [])]
     ids = found.groupBy("key").agg(*sums).filter(F.col("last") != F.col("head"))
     if once:
-        ids = ids.groupBy("head", "last", "n", "all").agg(F.min("key").alias("key"))
-    return found.join(ids.select(F.col("key").alias("_key"), "n"), found.key == F.col("_key")).select("key", "doc_id", "place", "n")
+        ids = ids.groupBy("first", "last", "n", "all").agg(F.min("key").alias("key"))
+    names = ["n", *(["first"] if once else [])]
+    return found.join(ids.select(F.col("key").alias("_key"), *names), found.key == F.col("_key")).select("key", "doc_id", "place", *names)
 
 
 def met_with_heads(rest: DataFrame) -> DataFrame:
@@ -340,24 +342,26 @@ SPAN = ("start_word", "end_word", "other_start", "other_end", "n_words", "simila
 def settled(rest: DataFrame, size: int, blocks: DataFrame, least_words: int, width: int, similarity: float, token: int = TOKEN) -> DataFrame:
     """(doc_id, other_id, passage): verified passages that link the members of the small groups of ``rest``, of ``size`` rows.
 
-    A member brings the shingles within MARGIN of its minimum, and a task's groups have some 1,000 members together.
+    A member brings the shingles within MARGIN of its minimum, and a task's groups have some 1,000 members
+    together. Groups whose member of the smallest hash is the same come to one task, which compares two windows only once.
     """
     need = least_words - width + 1 - int((1 - similarity) / (1 + similarity) * (least_words - width + 1) + 1e-9)
     cells = blocks.toDF("_doc", "_block", "cells")
     rows = rest.withColumn("block", block_of("place")).join(cells, (F.col("doc_id") == F.col("_doc")) & (F.col("block") == F.col("_block")))
-    start, first = (F.greatest(F.lit(0), x - MARGIN).cast("int") for x in (F.col("block") * BLOCK, F.expr("shiftrightunsigned(place, 32)")))
-    near = rows.select(F.pmod("key", F.lit(1 + size // 1000)).alias("part"), "key", "doc_id", "place", first.alias("first"), F.col("cells").substr(4 * (first - start) + 1, F.lit(4 * (2 * MARGIN + token))).alias("cells"))
+    start, begin = (F.greatest(F.lit(0), x - MARGIN).cast("int") for x in (F.col("block") * BLOCK, F.expr("shiftrightunsigned(place, 32)")))
+    near = rows.select(F.pmod("first", F.lit(1 + size // 1000)).alias("part"), "key", "doc_id", "place", begin.alias("begin"), F.col("cells").substr(4 * (begin - start) + 1, F.lit(4 * (2 * MARGIN + token))).alias("cells"))
 
     def settle(part: pa.Table) -> pa.Table:
         part = part.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
-        doc, first = (np.asarray(part[k]).astype(np.int64) for k in ("doc_id", "first"))
+        doc, begin = (np.asarray(part[k]).astype(np.int64) for k in ("doc_id", "begin"))
         place, key = np.asarray(part["place"]).view(np.uint64), np.asarray(part["key"])
         texts = [np.frombuffer(x.as_buffer(), "<u4") for x in part["cells"]]
-        c = (place >> np.uint64(32)).astype(np.int64) - first
+        c = (place >> np.uint64(32)).astype(np.int64) - begin
         before, after = (((place >> np.uint64(k)) & np.uint64(REACH)).astype(np.int64) for k in (16, 0))
         around = [x[max(0, k + token - least_words) : k + least_words - width + 1].tolist() for x, k in zip(texts, c.tolist(), strict=True)]
         sets = list(map(set, around))
-        of, out = list(range(len(doc))), []
+        of, out, seen = list(range(len(doc))), [], {}
+        own = list(zip(doc.tolist(), place.tolist(), strict=True))
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             for j in range(lo, hi):
@@ -365,10 +369,14 @@ def settled(rest: DataFrame, size: int, blocks: DataFrame, least_words: int, wid
                     # a passage of least length has that many common shingles around the minimum
                     if of[i] == of[j] or doc[i] == doc[j] or sum(map(sets[j].__contains__, around[i])) < need:
                         continue
-                    x, y = texts[i], texts[j]
-                    back, on = min(before[i], before[j]), min(after[i], after[j])
-                    for s in passages_of(x, y, np.isin(x, y), np.isin(y, x), int(c[i] - c[j]), [int(c[i])], int(c[i] - back), int(c[i] + on) + token, least_words, width, similarity):
-                        out.append((doc[i], doc[j], s[0] + first[i], s[1] + first[i], s[2] + first[j], s[3] + first[j], s[4], s[5]))
+                    linked = seen.get((own[i], own[j]))
+                    if linked is None:
+                        x, y = texts[i], texts[j]
+                        back, on = min(before[i], before[j]), min(after[i], after[j])
+                        found = passages_of(x, y, np.isin(x, y), np.isin(y, x), int(c[i] - c[j]), [int(c[i])], int(c[i] - back), int(c[i] + on) + token, least_words, width, similarity)
+                        out += [(doc[i], doc[j], s[0] + begin[i], s[1] + begin[i], s[2] + begin[j], s[3] + begin[j], s[4], s[5]) for s in found]
+                        linked = seen[own[i], own[j]] = bool(found)
+                    if linked:
                         was, now = of[i], of[j]
                         of[lo:hi] = [now if k == was else k for k in of[lo:hi]]
         return pa.table({n: pa.array([x[k] for x in out], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(("doc_id", "other_id", *SPAN))})
