@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
 import numpy as np
+import pytest
 
 from docloom.llm import passages
 
