@@ -266,16 +266,19 @@ def _shortest(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, seed: int, diagona
 
 def _lacking(out: np.ndarray, token: int, width: int, least_words: int, most: int, c: np.ndarray) -> np.ndarray:
     """Shingle positions of a block, by seed: the ``most`` nearest on either side that are marked ``out``, else -1."""
-    where = np.append(np.flatnonzero(out), [-1])
-    found = np.full((len(c), 2 * most), -1)
-    first, last = c + token - least_words, c + least_words - width
-    before, after = np.searchsorted(where[:-1], c), np.searchsorted(where[:-1], c + token - width, "right")
-    for k in range(most):
-        left = where[np.maximum(before - 1 - k, -1)]
-        found[:, k] = np.where((before - 1 - k >= 0) & (left >= first), left, -1)
-        right = where[np.minimum(after + k, len(where) - 1)]
-        found[:, most + k] = np.where((right >= 0) & (right <= last), right, -1)
-    return found
+    where, k = np.append(np.flatnonzero(out), [-1]), np.arange(most)
+    left = where[np.maximum(np.searchsorted(where[:-1], c)[:, None] - 1 - k, -1)]
+    right = where[np.minimum(np.searchsorted(where[:-1], c + token - width, "right")[:, None] + k, len(where) - 1)]
+    first, last = (c + token - least_words)[:, None], (c + least_words - width)[:, None]
+    return np.concatenate([np.where(left >= first, left, -1), np.where(right <= last, right, -1)], 1)
+
+
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x stand in y; for arrays as short as these, one sort and a search in it beat np.isin."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    y = np.sort(y)
+    return np.take(y, np.searchsorted(y, x), mode="clip") == x
 
 
 def compared(pairs: DataFrame, blocks: DataFrame, least_words: int, width: int, similarity: float, token: int = TOKEN) -> DataFrame:
@@ -292,7 +295,7 @@ def compared(pairs: DataFrame, blocks: DataFrame, least_words: int, width: int,
         if len(x) == len(y) and (x == y).all():
             in_x = in_y = np.ones(len(x), bool)
         else:
-            in_x, in_y = np.isin(x, y), np.isin(y, x)
+            in_x, in_y = _held(x, y), _held(y, x)
         before, after = (np.minimum(low(place >> np.uint64(k)), low(head_place >> np.uint64(k))) for k in (16, 0))
         spans, ok = [], np.zeros(len(c), bool)
         for d in [] if same_doc else np.unique(c - c2).tolist():
@@ -307,7 +310,7 @@ def compared(pairs: DataFrame, blocks: DataFrame, least_words: int, width: int,
         for i in [] if same_doc else np.flatnonzero(~ok & (around > least_words - width + 1 - most)):
             near = y[max(0, c2[i] + token - least_words) : c2[i] + least_words - width + 1]
             lo = max(0, c[i] + token - least_words)
-            own = _lacking(~np.isin(x[lo : c[i] + least_words - width + 1], near), token, width, least_words, most, c[i : i + 1] - lo)[0]
+            own = _lacking(~_held(x[lo : c[i] + least_words - width + 1], near), token, width, least_words, most, c[i : i + 1] - lo)[0]
             lack[i] = np.where(own >= 0, own + lo, -1)
         return spans, ok, lack
 
@@ -373,7 +376,7 @@ def settled(rest: DataFrame, size: int, blocks: DataFrame, least_words: int, wid
                     if linked is None:
                         x, y = texts[i], texts[j]
                         back, on = min(before[i], before[j]), min(after[i], after[j])
-                        found = passages_of(x, y, np.isin(x, y), np.isin(y, x), int(c[i] - c[j]), [int(c[i])], int(c[i] - back), int(c[i] + on) + token, least_words, width, similarity)
+                        found = passages_of(x, y, _held(x, y), _held(y, x), int(c[i] - c[j]), [int(c[i])], int(c[i] - back), int(c[i] + on) + token, least_words, width, similarity)
                         out += [(doc[i], doc[j], s[0] + begin[i], s[1] + begin[i], s[2] + begin[j], s[3] + begin[j], s[4], s[5]) for s in found]
                         linked = seen[own[i], own[j]] = bool(found)
                     if linked:

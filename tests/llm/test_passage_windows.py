@@ -119,3 +119,16 @@ def test_null_empty_repeated_and_periodic_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key int")
     assert {(r["doc_id"], r["other_id"]) for r in passages.repeated(df).collect()} <= {(4, 3)}
     assert passages.repeated(df.limit(0)).count() == 0
+
+
+def test_membership_and_lacking_shingles_by_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        x, y = (rng.integers(0, 40, rng.integers(0, 60)).astype("<u4") for _ in range(2))
+        assert passages._held(x, y).tolist() == [v in set(y.tolist()) for v in x.tolist()]
+        out, c = rng.random(120) < rng.choice([0.0, 0.1, 1.0]), rng.integers(0, 106, 4)
+        where = np.flatnonzero(out).tolist()
+        for row, at in zip(passages._lacking(out, 14, 5, 50, 6, c).tolist(), c.tolist(), strict=True):
+            before = [g for g in reversed(where) if at + 14 - 50 <= g < at][:6]
+            after = [g for g in where if at + 14 - 5 < g <= at + 50 - 5][:6]
+            assert row == before + [-1] * (6 - len(before)) + after + [-1] * (6 - len(after))
