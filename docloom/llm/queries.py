@@ -1,4 +1,4 @@
-"""The ten operators' queries over the given tables, and the SQL of those that SQL can express."""
+"""The operators' queries over the given tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, mixing, passages, quality, secrets, sharding, simhash, tokencount, tokenfile, topk
+from docloom.llm import decontaminate, mixing, passages, periodic, quality, secrets, sharding, simhash, tokencount, tokenfile, topk
 from docloom.llm.common import scratch, table
 
 
@@ -57,7 +57,37 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_token_file, op5_top_k, op6_secrets, op7_quality, op8_simhash, op9_passages, op10_shards)}
+def _damaged_words(doc_id: F.Column, text: F.Column) -> F.Column:
+    """Of every tenth document or so, by the checksum of its id, the words from one on repeat with a period; others stay."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w: F.Column) -> F.Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.when(n > 0, F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p)))).otherwise(w), " ")
+
+    return F.when(h % 10 == 0, F.element_at(F.transform(F.array(words), repeated), 1)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _damaged_words(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.with_runs(docs, ["doc_id"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return (
+        found.withColumn("best", best)
+        .select(
+            "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.length")).alias("length"), F.col("best.period").alias("period"),
+            F.floor(-1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+            F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+            F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_token_file, op5_top_k, op6_secrets, op7_quality, op8_simhash, op9_passages, op10_shards, op11_periodic_runs)}
 
 ORACLE_SQL = {
     "op5_top_k": """
