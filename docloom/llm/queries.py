@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, mixing, passages, periodic, quality, secrets, sharding, simhash, tokencount, tokenfile, topk
+from docloom.llm import decontaminate, mixing, neighbours, passages, periodic, quality, secrets, sharding, simhash, tokencount, tokenfile, topk
 from docloom.llm.common import scratch, table
 
 
@@ -87,7 +87,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_token_file, op5_top_k, op6_secrets, op7_quality, op8_simhash, op9_passages, op10_shards, op11_periodic_runs)}
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_token_file, op5_top_k, op6_secrets, op7_quality, op8_simhash, op9_passages, op10_shards, op11_periodic_runs, op12_neighbours)}
 
 ORACLE_SQL = {
     "op5_top_k": """
