@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, mixing, neighbours, passages, periodic, quality, secrets, sharding, simhash, tokencount, tokenfile, topk
+from docloom.llm import decontaminate, mixing, neighbours, passages, periodic, quality, repair, secrets, sharding, simhash, tokencount, tokenfile, topk
 from docloom.llm.common import scratch, table
 
 
@@ -91,9 +91,44 @@ def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_token_file, op5_top_k, op6_secrets, op7_quality, op8_simhash, op9_passages, op10_shards, op11_periodic_runs, op12_neighbours)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return repair.repairs(repair.damaged(talks), talks)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_token_file, op5_top_k, op6_secrets, op7_quality, op8_simhash, op9_passages, op10_shards, op11_periodic_runs, op12_neighbours, op13_conversation_repair)}
+
+def _repair_sql() -> str:
+    """Damage, faults and the cheapest edits as a recursion over rows. Inserting is left out: deleting the row that it would pair with costs less."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"
+    white = r"\x20\x09-\x0D"
+    state = lambda s, cost, letter, line: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': {s}.t{line}}}"
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    stay = "CASE WHEN fault IN ('b', 'd') THEN 1000000 WHEN fault = 't' THEN 5 ELSE 0 END"
+    keep = lambda s, i: state(s, f"{stay} + CASE WHEN i = '{i}' THEN 0 ELSE 1000000 END", "K", " || chr(10) || role || ':' || text")
+    turned = lambda s, role: state(s, f"{stay} + 1", "R", f" || chr(10) || '{role}:' || text")
+    best = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+    gone = lambda s: state(s, 2, "D", "")
+    return f"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+     h AS (SELECT *, {crc} % 20 AS d FROM base),
+     damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(2) c(i) WHERE d <> 0 AND (c.i = 0 OR d = 3)),
+     laid AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+     rows_ AS (SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^{white}]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][{white}]*\\z') THEN 't' ELSE '' END AS fault FROM laid),
+     counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last FROM rows_ GROUP BY 1),
+     dp AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': '', 't': ''}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM counts
+         UNION ALL SELECT dp.conv_id, rows_.n, {gone('s0')}, {best(gone('s1'), keep('s0', 's'))}, {best(gone('s2'), *(x for s in ('s0', 's1', 's3') for x in (keep(s, 'u'), turned(s, 'user'))))}, {best(gone('s3'), keep('s2', 'a'), turned('s2', 'assistant'))}
+         FROM dp JOIN rows_ ON rows_.conv_id IS NOT DISTINCT FROM dp.conv_id AND rows_.n = dp.n + 1),
+     ends AS (SELECT counts.*, {best('s0', 's3')} AS x FROM counts JOIN dp ON counts.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.n = counts.last),
+     ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit, sha256(substr(coalesce(x.t, ''), 2)) AS repaired_sha256
+FROM ids LEFT JOIN ends ON ids.conv_id IS NOT DISTINCT FROM ends.conv_id"""
+
 
 ORACLE_SQL = {
+    "op13_conversation_repair": _repair_sql(),
     "op5_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
            FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
