@@ -13,6 +13,7 @@ from docloom.plans import views as v
 from docloom.plans.registry import query
 from docloom.sources import tables
 from docloom.sources.scratch import scratch, table
+from docloom.sources.store import DocumentStore
 from docloom.streaming import logs as streams
 
 
@@ -820,15 +821,15 @@ def l2_stream_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + v.CHUNKS + " SELECT chunk_id, CASE WHEN document_id IN (SELECT document_id FROM chunks WHERE section_id = 'fr') THEN 9 ELSE sectioning_version END AS sectioning_version FROM chunks")
 def l3_stream_replace_documents(spark: SparkSession, d: str) -> DataFrame:
-    base, out, new = (scratch(spark, x) for x in ("stored", "refreshed", "changed"))
-    cols = ["document_id", "chunk_id", "section_id", "sectioning_version"]
-    c = v.chunks(spark, d).select(*cols)
-    c.write.parquet(base)
-    c.join(c.filter("section_id = 'fr'").select("document_id").distinct(), "document_id", "left_semi").withColumn("sectioning_version", F.lit(9)).coalesce(1).write.parquet(new)
-    stored = spark.read.parquet(base)
-    job = streams.stream_replace_documents(spark.readStream.schema(stored.schema).parquet(new), lambda: stored, lambda df, n: df.write.mode("overwrite").parquet(out), scratch(spark, "l3-check"))
-    job.awaitTermination()
-    return spark.read.parquet(out).select("chunk_id", "sectioning_version")
+    """Changed documents come in files of some of their rows each, a file a micro-batch; newer versions win."""
+    new = scratch(spark, "changed")
+    c = v.chunks(spark, d).select("document_id", "chunk_id", "section_id", "sectioning_version", F.lit(1).alias("run"))
+    store = DocumentStore.create(c, scratch(spark, "store"), stamp="run", buckets=8)
+    changed = c.filter("section_id = 'fr'").select("document_id").distinct()
+    c.join(changed, "document_id", "left_semi").withColumn("sectioning_version", F.lit(9)).withColumn("run", F.lit(2)).repartition(3).write.parquet(new)
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(new)
+    streams.stream_replace_documents(stream, store, scratch(spark, "l3-check")).awaitTermination()
+    return store.read().select("chunk_id", "sectioning_version")
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS query_id FROM events")

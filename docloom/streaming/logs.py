@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.sources.tables import LOG_SCHEMA, replace_documents
+from docloom.sources.store import DocumentStore
+from docloom.sources.tables import LOG_SCHEMA
 
 # ---- fixed values: lines of the console log ----
 PIPELINE = r"(?U)Starting pipeline with workflows:\s*(.+)"
@@ -45,13 +44,13 @@ def stream_cost(log: DataFrame, window: str = "1 hour", late: str = "10 minutes"
     return rows.groupBy(F.window("started_at", window), "method").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.avg("duration_seconds").alias("average_seconds"))
 
 
-def stream_replace_documents(stream: DataFrame, read_old: Callable[[], DataFrame], write_new: Callable[[DataFrame, int], None], checkpoint: str):
-    """L3: each micro-batch of re-processed rows replaces its documents in the stored table."""
-
-    def apply(batch: DataFrame, n: int) -> None:
-        write_new(replace_documents(read_old(), batch), n)
+def stream_replace_documents(stream: DataFrame, store: DocumentStore, checkpoint: str, source: str = "stream"):
+    """L3: each micro-batch of re-processed rows replaces its documents in the store.
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch that comes again after a failure changes nothing. Where a document's rows may be spread over
+    batches, the store needs a ``stamp``.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, n: store.replace(batch, source, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_dedupe(log: DataFrame, late: str = "1 day") -> DataFrame:
