@@ -29,45 +29,47 @@ def group_members(blocks: DataFrame) -> DataFrame:
 
 
 def group_passages(blocks: DataFrame) -> DataFrame:
-    """One row a group: locations (sorted), n_pages, text of the earliest location."""
+    """One row a group: n_pages, first (its earliest document_id and page) and the text there."""
     return groups_of(group_members(blocks))
 
 
+def pages_of(members: DataFrame) -> DataFrame:
+    """(group, document_id, page, text): one row a page of each group, with its first passage there."""
+    return members.groupBy("group", "document_id", "page").agg(F.min_by("text", "ordinal").alias("text"))
+
+
 def groups_of(members: DataFrame) -> DataFrame:
-    out = members.groupBy("group").agg(F.array_sort(F.collect_set(F.struct("document_id", "page"))).alias("locations"), F.min_by("text", F.struct("document_id", "page", "ordinal")).alias("text"))
-    return out.select("group", "locations", F.size("locations").alias("n_pages"), "text")
+    place = F.struct("document_id", "page")
+    return pages_of(members).groupBy("group").agg(F.count(F.lit(1)).alias("n_pages"), F.min(place).alias("first"), F.min_by("text", place).alias("text"))
 
 
-def passage_groups_cached(blocks: DataFrame, stamps: DataFrame, cached: DataFrame, cached_stamps: DataFrame) -> DataFrame:
-    """D3: the cached groups if the set of (document_id, stamp) is the same, else groups of the blocks."""
-    key = ["document_id", "stamp"]
-    changed = stamps.select(*key).exceptAll(cached_stamps.select(*key)).unionAll(cached_stamps.select(*key).exceptAll(stamps.select(*key)))
-    return group_passages(blocks).select("locations", "n_pages", "text") if changed.head(1) else cached
+def with_locations(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Groups with ``locations``, the sorted pages in one cell: for groups known to be small enough for one."""
+    cells = pages_of(members).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("document_id", "page"))).alias("locations"))
+    return groups.join(cells, "group")
 
 
-def used_groups(answers: DataFrame, cites: DataFrame, groups: DataFrame) -> DataFrame:
+def used_groups(answers: DataFrame, cites: DataFrame, groups: DataFrame, places: DataFrame) -> DataFrame:
     """(question_id, group): cited groups that a sentence of the answer is built on.
 
-    answers(question_id, answer), cites(question_id, document_id, page), groups(group, locations, text).
+    answers(question_id, answer), cites(question_id, document_id, page), groups(group, text), places(group, document_id, page).
     """
     parts = F.split(t.strip_citations(F.col("answer")), r"(?U)(?<=[.!?。])\s+|\n+")
     words = answers.select("question_id", F.explode(parts).alias("s")).select("question_id", t.content_words(F.col("s")).alias("words")).filter(F.size("words") >= 3)
     words = words.withColumn("words", F.array_distinct("words"))
-    at = groups.select("group", F.explode("locations").alias("l")).select("group", "l.document_id", "l.page")
-    cited = cites.join(at, ["document_id", "page"]).select("question_id", "group").distinct()
+    cited = cites.join(places.select("group", "document_id", "page"), ["document_id", "page"]).select("question_id", "group").distinct()
     own = groups.select("group", F.array_distinct(t.content_words(F.col("text"))).alias("passage"))
     met = cited.join(own, "group").join(words, "question_id")
     return met.filter(F.size(F.array_intersect("words", "passage")) / F.size("words") >= ANSWER_SHARE).select("question_id", "group").distinct()
 
 
-def expansion_locations(used: DataFrame, groups: DataFrame, cites: DataFrame, variants: DataFrame, named: DataFrame) -> DataFrame:
+def expansion_locations(used: DataFrame, places: DataFrame, cites: DataFrame, variants: DataFrame, named: DataFrame) -> DataFrame:
     """(question_id, document_id, page, group): the other pages of used groups, one variant a document.
 
-    variants(document_id, page, variant); named(question_id, document_id, variant): if a question names
+    places(group, document_id, page); variants(document_id, page, variant); named(question_id, document_id, variant): if a question names
     variants of a document only those count, else the variant of the group's first page there.
     """
-    at = groups.select("group", F.explode("locations").alias("l")).select("group", "l.document_id", "l.page")
-    rows = used.join(at, "group").join(variants, ["document_id", "page"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
+    rows = used.join(places.select("group", "document_id", "page"), "group").join(variants, ["document_id", "page"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
     many = variants.groupBy("document_id").agg(F.count_distinct("variant").alias("_n")).filter("_n >= 2").select("document_id", F.lit(True).alias("_many"))
     asks = named.groupBy("question_id", "document_id").agg(F.collect_set("variant").alias("_asked"))
     rows = rows.join(many, "document_id", "left").join(asks, ["question_id", "document_id"], "left")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from docloom.functions import text as t
 from docloom.operators.ordering import numbered
 from docloom.operators import evidence as ev
-from docloom.operators import metrics, passages, prepare, questions, sampling, variants
+from docloom.operators import metrics, passage_store, passages, prepare, questions, sampling, variants
 from docloom.plans import views as v
 from docloom.plans.registry import query
 from docloom.sources import tables
-from docloom.sources.scratch import scratch, table
+from docloom.sources.scratch import kept, scratch, table
 from docloom.sources.store import DocumentStore
 from docloom.streaming import logs as streams
 
@@ -285,13 +285,20 @@ grams AS MATERIALIZED (SELECT id, document_id, page, size, unnest(g) AS gram FRO
 links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.id <> b.id AND a.size <= b.size AND (a.document_id <> b.document_id OR a.page <> b.page) WHERE a.size >= 0.6 * b.size GROUP BY a.id, b.id, a.size HAVING count(*) / a.size >= 0.9)"""
 
 
-@query(f"""WITH RECURSIVE {PASSAGES}, both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS id, a AS other FROM both_ UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON e.a = r.other),
-grp AS (SELECT id, min(other) AS gid FROM reach GROUP BY 1)
-SELECT count(DISTINCT (document_id, page)) AS n_pages, arg_min(text, (document_id, page, ordinal)) AS text, min((document_id, page)).page AS first_page, min((document_id, page)).document_id AS first_document FROM grp JOIN items USING (id) GROUP BY gid HAVING count(DISTINCT (document_id, page)) > 1""".replace("min((document_id, page)).page", "arg_min(page, (document_id, page))").replace("min((document_id, page)).document_id", "min(document_id)"))
+GROUPED = f"""{PASSAGES}, both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS id, a AS other FROM both_ UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON e.a = r.other),
+grp AS (SELECT id, min(other) AS gid FROM reach GROUP BY 1), places AS (SELECT DISTINCT gid, document_id, page FROM grp JOIN items USING (id)),
+grouped AS (SELECT gid, count(DISTINCT (document_id, page)) AS n_pages, arg_min(text, (document_id, page, ordinal)) AS text, arg_min(page, (document_id, page)) AS first_page, min(document_id) AS first_document FROM grp JOIN items USING (id) GROUP BY gid HAVING count(DISTINCT (document_id, page)) > 1)"""
+GROUPS_SQL = f"WITH RECURSIVE {GROUPED} SELECT n_pages, text, first_page, first_document FROM grouped"
+
+
+def _group_rows(groups: DataFrame) -> DataFrame:
+    return groups.select("n_pages", "text", F.col("first.page").alias("first_page"), F.col("first.document_id").alias("first_document"))
+
+
+@query(GROUPS_SQL)
 def d2_group_passages(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: passages that stand on two pages or more."""
-    groups = passages.group_passages(v.blocks(spark, d))
-    return groups.select(F.col("n_pages").cast("long").alias("n_pages"), "text", F.col("locations")[0]["page"].alias("first_page"), F.col("locations")[0]["document_id"].alias("first_document"))
+    return _group_rows(passages.group_passages(v.blocks(spark, d)))
 
 
 @query(f"WITH {v.BLOCKS} SELECT document_id, page, ordinal, len({content_sql('text')}) AS n_words FROM blocks")
@@ -305,56 +312,71 @@ def v9_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return v.blocks(spark, d).select("document_id", "page", "ordinal", F.length(c).cast("long").alias("n_chars"), F.size(t.trigrams(c)).cast("long").alias("n_grams"))
 
 
-@query()
+@query(GROUPS_SQL)
 def d3_passage_groups_cached(spark: SparkSession, d: str) -> DataFrame:
-    """Stamps are the same, so the stored groups are read, not made again."""
-    stamps = table(spark, d, "documents").groupBy(F.col("source").alias("document_id")).agg(F.sum("n_chars").cast("string").alias("stamp"))
-    path = scratch(spark, "groups")
-    passages.group_passages(v.blocks(spark, d)).select("locations", "n_pages", "text").write.parquet(path)
-    return passages.passage_groups_cached(v.blocks(spark, d), stamps, spark.read.parquet(path), stamps)
+    """Groups of an earlier state, brought up to date: some documents are new, some changed, one is gone, others stay."""
+    now, root = v.blocks(spark, d), scratch(spark, "groups")
+    kind = F.crc32(F.col("document_id").cast("binary")) % 4
+    stamps = now.select("document_id").distinct().withColumn("stamp", F.lit("2"))
+    text = F.when((kind == 1) & (F.col("page") % 2 == 0), F.concat(F.lit("earlier wording "), "text")).otherwise(F.col("text"))
+    gone = now.filter(kind == 2).withColumn("document_id", F.lit("gone"))
+    was = now.filter(kind != 0).withColumn("text", text).unionByName(gone)
+    before = stamps.filter(kind != 0).withColumn("stamp", F.when(kind == 1, "1").otherwise("2")).unionByName(spark.createDataFrame([("gone", "1")], "document_id string, stamp string"))
+    passage_store.passage_groups_cached(was, before, root)
+    return _group_rows(passage_store.passage_groups_cached(now, stamps, root))
+
+
+@query(rf"""WITH s AS (SELECT doc_id AS question_id, unnest(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+')) AS s FROM documents), w AS (SELECT question_id, {content_sql('s')} AS words FROM s), c AS (SELECT doc_id AS question_id, {content_sql('text')} AS cited FROM documents), p AS (SELECT item_id, {content_sql('text')} AS passage, list_sort({content_sql('text')})[1] AS place FROM benchmark)
+SELECT DISTINCT question_id, item_id AS "group" FROM p JOIN (SELECT question_id, unnest(cited) AS place FROM c) USING (place) JOIN w USING (question_id) WHERE len(words) >= 3 AND len(list_intersect(words, passage)) / len(words) >= 0.7""")
+def d4_used_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items are passages of a document named by their first word; a text cites the documents of all its words."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    groups = items.select(F.col("item_id").alias("group"), "text")
+    places = items.select(F.col("item_id").alias("group"), F.array_min(t.content_words(F.col("text"))).alias("document_id"), F.lit(0).alias("page"))
+    answers = docs.select(F.col("doc_id").alias("question_id"), F.col("text").alias("answer"))
+    cites = docs.select(F.col("doc_id").alias("question_id"), F.explode(F.array_distinct(t.content_words(F.col("text")))).alias("document_id"), F.lit(0).alias("page"))
+    return passages.used_groups(answers, cites, groups, places)
 
 
-def _contaminated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as passages at every document; the documents' texts as answers."""
-    docs = table(spark, d, "documents")
-    groups = table(spark, d, "benchmark").select(F.col("item_id").alias("group"), F.array(F.struct(F.lit("bench").alias("document_id"), F.lit(0).alias("page"))).alias("locations"), "text")
-    answers = docs.select(F.col("doc_id").alias("question_id"), F.col("text").alias("answer"))
-    return answers, groups
+#: A question asks for all groups whose first page it cites; where that page's number is even it names a variant.
+EXPANSION = f"""{GROUPED}, {v.TAGS}, used AS (SELECT first_document || '-' || first_page AS question_id, gid, first_document AS cited_document, first_page AS cited_page FROM grouped),
+spots AS (SELECT question_id, gid, document_id, page, coalesce(variant, '') AS variant, cited_document, cited_page FROM used JOIN places USING (gid) LEFT JOIN catalog USING (document_id, page)),
+many AS (SELECT document_id FROM catalog WHERE variant <> '' GROUP BY 1 HAVING count(DISTINCT variant) >= 2), one AS (SELECT *, arg_min(variant, page) OVER (PARTITION BY question_id, gid, document_id) AS own FROM spots),
+expanded AS (SELECT DISTINCT question_id, document_id, page FROM one WHERE (document_id NOT IN (SELECT document_id FROM many) OR CASE WHEN cited_page % 2 = 0 AND EXISTS (SELECT 1 FROM catalog c WHERE c.document_id = one.document_id AND c.variant = 'EN WITH TAG') THEN variant = 'EN WITH TAG' ELSE variant = own END) AND (document_id, page) <> (cited_document, cited_page))"""
 
 
-@query(rf"""WITH s AS (SELECT doc_id AS question_id, unnest(string_split_regex(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+')) AS s FROM documents), w AS (SELECT question_id, {content_sql('s')} AS words FROM s), p AS (SELECT item_id, {content_sql('text')} AS passage FROM benchmark)
-SELECT DISTINCT question_id, item_id AS "group" FROM w, p WHERE len(words) >= 3 AND len(list_intersect(words, passage)) / len(words) >= 0.7""")
-def d4_used_groups(spark: SparkSession, d: str) -> DataFrame:
-    answers, groups = _contaminated(spark, d)
-    cites = answers.select("question_id", F.lit("bench").alias("document_id"), F.lit(0).alias("page"))
-    return passages.used_groups(answers, cites, groups)
+def _expansion(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(groups, pages, what each question cites, the other pages)."""
+    members = kept(passages.group_members(v.blocks(spark, d)))
+    groups, places = passages.groups_of(members), passages.pages_of(members)
+    question = F.concat_ws("-", "first.document_id", "first.page")
+    used = groups.select(question.alias("question_id"), "group")
+    cites = groups.select(question.alias("question_id"), "first.document_id", "first.page").distinct()
+    tags = variants.variant_catalog(v.catalog(spark, d)).withColumn("page", F.col("page").cast("long"))
+    named = cites.filter("page % 2 = 0").select("question_id").crossJoin(tags.filter("variant = 'EN WITH TAG'").select("document_id", "variant").distinct())
+    return groups, places, cites, kept(passages.expansion_locations(used, places, cites, tags, named))
 
 
-@query()
+@query(f"WITH RECURSIVE {EXPANSION} SELECT question_id, document_id, page FROM expanded")
 def d5_expansion_locations(spark: SparkSession, d: str) -> DataFrame:
-    """Each group is used by a question that cites its first page."""
-    from docloom.sources.scratch import kept
-
-    groups = kept(passages.group_passages(v.blocks(spark, d)))
-    used = groups.select(F.col("group").alias("question_id"), "group")
-    cites = groups.select(F.col("group").alias("question_id"), F.col("locations")[0]["document_id"].alias("document_id"), F.col("locations")[0]["page"].alias("page"))
-    named = spark.createDataFrame([], "question_id long, document_id string, variant string")
-    return passages.expansion_locations(used, groups, cites, variants.variant_catalog(v.catalog(spark, d)), named).select("question_id", "document_id", "page")
+    """Each group is used by the question that cites its first page; every other question names a variant."""
+    return _expansion(spark, d)[3].select("question_id", "document_id", "page")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EXPANSION}, found AS (SELECT DISTINCT question_id, cited_document AS document_id, cited_page AS page, 1 AS rank FROM used UNION ALL SELECT question_id, arg_max(document_id, (document_id, page)), arg_max(page, (document_id, page)), 2 FROM expanded WHERE page % 3 = 0 GROUP BY 1)
+SELECT question_id, rank, 'E' || rank AS evidence_id, document_id, page, CASE WHEN rank = 2 THEN 'duplicate_passage' ELSE '' END AS added_by FROM found
+UNION ALL SELECT question_id, rank, 'E' || rank, document_id, page, 'duplicate_passage' FROM (SELECT question_id, CAST(l.last + row_number() OVER (PARTITION BY question_id ORDER BY e.document_id, e.page) AS INTEGER) AS rank, e.document_id, e.page FROM expanded e JOIN (SELECT question_id, max(rank) AS last FROM found GROUP BY 1) l USING (question_id) WHERE (question_id, e.document_id, e.page) NOT IN (SELECT (question_id, document_id, page) FROM found))""")
 def d6_duplicate_citations(spark: SparkSession, d: str) -> DataFrame:
-    from docloom.sources.scratch import kept
-
-    groups = kept(passages.group_passages(v.blocks(spark, d)))
-    first = F.col("locations")[0]
-    found = groups.select(F.col("group").alias("question_id"), F.lit(1).alias("rank"), F.lit("E1").alias("evidence_id"), F.lit("1").alias("context_id"), first["document_id"].alias("document_id"), first["page"].alias("page"), F.lit("u").alias("text_unit_id"), "text", F.lit("text_unit").alias("source_type"), F.lit("").alias("added_by"))
-    cites = found.select("question_id", "document_id", "page")
-    used = groups.select(F.col("group").alias("question_id"), "group")
-    places = passages.expansion_locations(used, groups, cites, variants.variant_catalog(v.catalog(spark, d)), spark.createDataFrame([], "question_id long, document_id string, variant string"))
-    meta = v.pages(spark, d).select(F.concat_ws("-", "document_id", "page").alias("text_unit_id"), "document_id", F.col("page").cast("long").alias("page"), "text")
+    """A question's evidence is the page that it cites, and for some a page retrieved but not cited."""
+    groups, _, cites, others = _expansion(spark, d)
+    second = others.filter("page % 3 = 0").groupBy("question_id").agg(F.max(F.struct("document_id", "page")).alias("x")).select("question_id", "x.document_id", "x.page")
+    rows = cites.withColumn("rank", F.lit(1)).unionByName(second.withColumn("rank", F.lit(2)))
+    found = rows.select("question_id", "rank", F.concat(F.lit("E"), "rank").alias("evidence_id"), F.col("page").cast("string").alias("context_id"), "document_id", "page", F.lit("u").alias("text_unit_id"), F.lit("").alias("text"), F.lit("text_unit").alias("source_type"), F.lit("").alias("added_by"))
+    pages = v.pages(spark, d).select("document_id", F.col("page").cast("long").alias("page"), "text")
+    # two units a page: the one without the passage comes first by its id
+    meta = pages.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.concat_ws("-", "document_id", "page", "half").alias("text_unit_id"), "document_id", "page", F.when(F.col("half") == 1, F.col("text")).otherwise("").alias("text"))
     short = meta.select("text_unit_id", F.col("page").cast("string").alias("context_id"))
-    return passages.with_duplicate_citations(found, places, groups, meta, short).select("question_id", "rank", "evidence_id", "document_id", "page", "added_by")
+    return passages.with_duplicate_citations(found, others, groups, meta, short).select("question_id", "rank", "evidence_id", "document_id", "page", "added_by")
 
 
 @query(rf"""WITH n AS (SELECT source AS document_id, doc_id AS page, {comparable_sql('text')} AS n FROM documents), w AS MATERIALIZED (SELECT *, regexp_extract_all(n, {WORDS}) AS ws FROM n), s AS MATERIALIZED (SELECT document_id, page, {grams_sql('ws')} AS g FROM w), g AS MATERIALIZED (SELECT document_id, page, len(g) AS size, unnest(g) AS gram FROM s),

@@ -23,46 +23,62 @@ from pyspark.sql import types as T
 BUCKET = "store_bucket"
 
 
-class DocumentStore:
+class Manifests:
+    """Numbered JSON files below a root; the last one is the state. One is there as a whole or not at all."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    # ---- files of the store ----
-    def _fs(self, path: str):
+    def fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _names(self, path: str) -> list[str]:
-        fs, at = self._fs(path)
+    def names(self, path: str) -> list[str]:
+        fs, at = self.fs(f"{self.root}/{path}")
         return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
     def versions(self) -> list[int]:
-        return sorted(int(x.removesuffix(".json")) for x in self._names(f"{self.root}/manifests") if x.endswith(".json"))
+        return sorted(int(x.removesuffix(".json")) for x in self.names("manifests") if x.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """What a version (the last one) holds: its settings, the folder of each bucket and the last batch of each source."""
+    def read(self, version: int | None = None) -> dict:
         version = self.versions()[-1] if version is None else version
         text = self.spark.read.text(f"{self.root}/manifests/{version}.json", wholetext=True).head()[0]
-        return json.loads(text) | {"version": version}
+        return json.loads(text)
 
-    def _commit(self, manifest: dict) -> int:
-        version = manifest.pop("version")
-        fs, final = self._fs(f"{self.root}/manifests/{version}.json")
-        _, draft = self._fs(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
-        if fs.exists(final):
-            raise RuntimeError(f"version {version} was written meanwhile")
+    def commit(self, state: dict) -> int:
+        """The state as the next version."""
+        version = max(self.versions(), default=-1) + 1
+        fs, final = self.fs(f"{self.root}/manifests/{version}.json")
+        _, draft = self.fs(f"{self.root}/manifests/.draft-{uuid.uuid4().hex}")
         out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.write(bytearray(json.dumps(state), "utf-8"))
         out.close()
-        if not fs.rename(draft, final):
+        if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"version {version} was written meanwhile")
         return version
 
+    def delete(self, path: str) -> None:
+        fs, at = self.fs(f"{self.root}/{path}")
+        fs.delete(at, True)
+
+
+class DocumentStore:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.files = Manifests(spark, root)
+
+    def versions(self) -> list[int]:
+        return self.files.versions()
+
+    def manifest(self, version: int | None = None) -> dict:
+        """What a version (the last one) holds: its settings, the folder of each bucket and the last batch of each source."""
+        return self.files.read(version)
+
     def _write(self, rows: DataFrame) -> dict[str, str]:
         """The rows in new folders: bucket -> folder below the root."""
         place = f"data/{uuid.uuid4().hex}"
         rows.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.root}/{place}")
-        return {x.partition("=")[2]: f"{place}/{x}" for x in self._names(f"{self.root}/{place}") if x.startswith(f"{BUCKET}=")}
+        return {x.partition("=")[2]: f"{place}/{x}" for x in self.files.names(place) if x.startswith(f"{BUCKET}=")}
 
     # ---- tables ----
     @classmethod
@@ -73,9 +89,9 @@ class DocumentStore:
             raise ValueError("there is a store already")
         if BUCKET in rows.columns:
             raise ValueError(f"{BUCKET} is the store's own column")
-        settings = {"version": 0, "key": key, "stamp": stamp, "gone": gone, "buckets": buckets, "schema": rows.schema.json(), "folders": {}, "batches": {}}
+        settings = {"key": key, "stamp": stamp, "gone": gone, "buckets": buckets, "schema": rows.schema.json(), "folders": {}, "batches": {}}
         settings["folders"] = store._write(store._newest(settings, store._placed(settings, rows)))
-        store._commit(settings)
+        store.files.commit(settings)
         return store
 
     def _placed(self, settings: dict, rows: DataFrame) -> DataFrame:
@@ -102,47 +118,45 @@ class DocumentStore:
         """The buckets of the keys: as many as the store has, at most."""
         return [str(r[0]) for r in self._placed(settings, keys).select(BUCKET).distinct().collect()]
 
-    def _switch(self, settings: dict, touched: list[str], rows: DataFrame, batches: dict) -> int:
-        folders = {b: f for b, f in settings["folders"].items() if b not in touched} | self._write(rows)
-        return self._commit(settings | {"version": settings["version"] + 1, "folders": folders, "batches": settings["batches"] | batches})
+    def replace(self, rows: DataFrame, source: str | None = None, batch: int | None = None, gone: DataFrame | None = None, base: int | None = None) -> int:
+        """The documents of these rows in place of the stored ones; the version then. Batches of a source are applied once.
 
-    def replace(self, rows: DataFrame, source: str | None = None, batch: int | None = None) -> int:
-        """The documents of these rows in place of the stored ones; the version then. Batches of a source are applied once."""
-        settings = self.manifest()
+        ``gone``: keys of documents that lose their stored rows, whether they have new ones or not; ``base``:
+        the version to change, the last one if not given.
+        """
+        base = self.versions()[-1] if base is None else base
+        settings = self.manifest(base)
         if source is not None and settings["batches"].get(source, -1) >= batch:
-            return settings["version"]
+            return base
+        key = settings["key"]
         columns = T.StructType.fromJson(json.loads(settings["schema"])).names
         rows = rows.select(*columns).persist()
         try:
-            touched = self._touched(settings, rows.select(settings["key"]))
+            own = rows.select(key)
+            own = (own if gone is None else own.unionByName(gone.select(key))).distinct().withColumnRenamed(key, "_key")
+            touched = self._touched(settings, own.withColumnRenamed("_key", key))
             if not touched:
-                return settings["version"]
+                return base
             new, old = self._placed(settings, rows), self._placed(settings, self._stored(settings, touched))
-            if settings["stamp"]:
+            if settings["stamp"] and gone is None:
                 both = self._newest(settings, old.unionByName(new))
             else:
-                key = settings["key"]
-                own = rows.select(F.col(key).alias("_key")).distinct()
                 both = old.join(own, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(new)
-            return self._switch(settings, touched, both, {source: batch} if source is not None else {})
+            folders = {b: f for b, f in settings["folders"].items() if b not in touched} | self._write(both)
+            batches = settings["batches"] | ({source: batch} if source is not None else {})
+            return self.files.commit(settings | {"folders": folders, "batches": batches})
         finally:
             rows.unpersist()
 
     def drop_documents(self, names: DataFrame) -> int:
         """Without the documents of names(key)."""
-        settings = self.manifest()
-        key = settings["key"]
-        touched = self._touched(settings, names.select(key))
-        own = names.select(F.col(key).alias("_key")).distinct()
-        left = self._placed(settings, self._stored(settings, touched)).join(own, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-        return self._switch(settings, touched, left, {}) if touched else settings["version"]
+        return self.replace(self._stored(self.manifest()).limit(0), gone=names)
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete manifests but the last ones, and folders that none of these names; how many folders went."""
         versions = self.versions()
         used = {f.rsplit("/", 1)[0] for v in versions[-keep:] for f in self.manifest(v)["folders"].values()}
-        gone = [f"data/{x}" for x in self._names(f"{self.root}/data") if f"data/{x}" not in used]
+        gone = [f"data/{x}" for x in self.files.names("data") if f"data/{x}" not in used]
         for path in [*(f"manifests/{v}.json" for v in versions[:-keep]), *gone]:
-            fs, at = self._fs(f"{self.root}/{path}")
-            fs.delete(at, True)
+            self.files.delete(path)
         return len(gone)
