@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators.similarity import hashed
+from docloom.operators.greedy import excluded
+from docloom.operators.similarity import hashed, similar_sets
+from docloom.sources.scratch import written
 
 # ---- fixed values ----
 TAG_LINE = r"^\[([A-Z0-9][A-Z0-9 &/+.\-]{0,46})\]$"
@@ -91,20 +93,21 @@ def select_sources(sources: DataFrame, questions: DataFrame, catalog: DataFrame)
     rows = rows.join(many, "document_id", "left")
     text = F.when(F.coalesce("compare_text", F.lit("")) != "", F.col("compare_text")).otherwise(F.col("text"))
     live = rows.filter(F.col("reason").isNull() & F.col("_many") & tagged).select("query_id", "key", "document_id", "page", "variant", "ordinal", hashed(t.trigrams(t.comparable(text, F.col("variant")))).alias("g"))
-    # a query's retrieved sources of one document are few (a search returns at most some hundred)
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("page", F.lit(10**9)).alias("p"), "ordinal", "key", "variant", "page", "g")))
-    lists = live.groupBy("query_id", "document_id").agg(order.alias("items"))
-    near = lambda a, b: (a["variant"] != b["variant"]) & F.coalesce(t.jaccard(a["g"], b["g"]) >= SIMILARITY, F.lit(False))
-    # in order: an item is dropped by the first kept one before it that is near
-    start = F.array().cast("array<struct<key:string,variant:string,page:int,g:array<bigint>,by_page:int,by_variant:string>>")
-
-    def step(done, x):
-        by = F.get(F.filter(done, lambda y: y["by_page"].isNull() & y["by_variant"].isNull() & near(y, x)), F.lit(0))
-        return F.array_append(done, F.struct(x["key"].alias("key"), x["variant"].alias("variant"), x["page"].cast("int").alias("page"), x["g"].alias("g"), by["page"].alias("by_page"), by["variant"].alias("by_variant")))
-
-    done = lists.select("query_id", "document_id", F.explode(F.aggregate("items", start, step)).alias("x")).filter(F.col("x.by_variant").isNotNull())
-    why = F.concat(F.lit("same passage as "), F.col("document_id"), F.lit(" p."), F.coalesce(F.col("x.by_page").cast("string"), F.lit("None")), F.lit(" ["), F.col("x.by_variant"), F.lit("]"))
-    drops = done.select("query_id", F.col("x.key").alias("key"), why.alias("_why"))
+    # sources of a query, document and variant with one set of words share their fate: each is excluded by what excludes the first
+    live = live.filter(F.size("g") > 0).withColumn("set", F.xxhash64(F.array_sort("g"))).withColumn("at", F.struct(F.coalesce("page", F.lit(10**9)).alias("p"), "ordinal", "key"))
+    scope = ["query_id", "document_id"]
+    live = written(live, "candidates")
+    classes = live.groupBy(*scope, "variant", "set").agg(F.min("at").alias("at"), F.min_by("page", "at").alias("page"))
+    sets = live.groupBy(*scope, "set").agg(F.first("g").alias("grams"))
+    near = similar_sets(sets.select(F.struct(*scope, "set").alias("id"), F.struct(*scope).alias("scope"), "grams"), SIMILARITY, SIMILARITY, "jaccard")
+    pairs = near.select("a.query_id", "a.document_id", F.col("a.set").alias("x"), F.col("b.set").alias("y"))
+    pairs = pairs.unionByName(pairs.select(*scope, F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.select(*scope, F.col("set").alias("x"), F.col("set").alias("y")))
+    whole = F.struct(*scope, "at", "variant", "set", "page")
+    first, later = classes.select(*scope, F.col("set").alias("x"), whole.alias("first")), classes.select(*scope, F.col("set").alias("y"), whole.alias("later"))
+    met = pairs.join(first, [*scope, "x"]).join(later, [*scope, "y"]).filter((F.col("first.variant") != F.col("later.variant")) & (F.col("first.at") < F.col("later.at")))
+    done = excluded(met).select("row.query_id", "row.document_id", "row.variant", "row.set", F.col("by.page").alias("by_page"), F.col("by.variant").alias("by_variant"))
+    why = F.concat(F.lit("same passage as "), F.col("document_id"), F.lit(" p."), F.coalesce(F.col("by_page").cast("string"), F.lit("None")), F.lit(" ["), F.col("by_variant"), F.lit("]"))
+    drops = live.join(done, [*scope, "variant", "set"]).select("query_id", "key", why.alias("_why")).dropDuplicates(["query_id", "key"])
     return rows.join(drops, ["query_id", "key"], "left").withColumn("reason", F.coalesce("reason", "_why")).select(*sources.columns, "reason")
 
 
@@ -112,8 +115,6 @@ def earliest_equivalent_pages(sources: DataFrame, catalog: DataFrame, bodies: Da
     """V6: (query_id, key, earlier_page): the first earlier page of another (allowed) variant with the same text."""
     pages = catalog.join(multi_variant(catalog), "document_id", "left_semi").join(bodies, ["document_id", "page"], "left")
     pages = pages.select("document_id", "page", "variant", hashed(t.trigrams(t.comparable(F.coalesce("text", F.lit("")), F.col("variant")))).alias("g")).filter(F.size("g") > 0)
-    from docloom.operators.similarity import similar_sets
-
     items = pages.select(F.struct("document_id", "page").alias("id"), F.col("document_id").alias("scope"), F.col("g").alias("grams"))
     links = similar_sets(items, SIMILARITY, SIMILARITY, "jaccard")
     pair = links.select(F.col("a.document_id").alias("document_id"), F.greatest("a.page", "b.page").alias("page"), F.least("a.page", "b.page").alias("earlier_page"))

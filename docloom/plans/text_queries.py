@@ -412,42 +412,72 @@ def v4_question_variants(spark: SparkSession, d: str) -> DataFrame:
     return variants.question_variants(_asked(spark, d), variants.variant_catalog(v.catalog(spark, d)))
 
 
-def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each question retrieves 24 pages in a row, from a place that its conversation gives."""
-    cat = variants.variant_catalog(v.catalog(spark, d))
-    pages = v.pages(spark, d).select("document_id", "page", "text").join(cat, ["document_id", "page"], "left")
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each question retrieves 24 manual pages in a row, from a place that its conversation gives: (sources, questions, catalog, pages)."""
+    headers, bodies = v.manual(spark, d)
+    cat = variants.variant_catalog(headers)
+    pages = kept(bodies.join(cat, ["document_id", "page"], "left"))
     last = pages.agg(F.max("page")).first()[0] or 0
     first = (F.col("conv_id") * 31) % (last + 1)
     q = v.qa(spark, d).select(F.col("question_id").alias("query_id"), F.explode(F.sequence(first, first + 23)).alias("page"))
     rows = q.join(pages, "page").select("query_id", F.col("page").alias("ordinal"), F.concat_ws("-", "document_id", "page").alias("key"), "document_id", "page", F.coalesce("variant", F.lit("")).alias("variant"), "text", F.lit("").alias("compare_text"))
-    return rows, _asked(spark, d), cat
+    return rows, _asked(spark, d), cat, pages.select("document_id", "page", "text")
+
+
+#: Sources as in _sources(), pairs of pages with near texts, and the fold in page order: a page goes if a kept earlier one excludes it.
+SELECTED = rf"""{v.QA}, {v.MANUAL}, many AS (SELECT document_id FROM catalog WHERE variant <> '' GROUP BY 1 HAVING count(DISTINCT variant) >= 2),
+pages AS (SELECT m.document_id, CAST(m.doc_id AS INTEGER) AS page, body AS text, coalesce(c.variant, '') AS variant FROM manual m JOIN catalog c ON c.document_id = m.document_id AND c.page = m.doc_id),
+sources AS (SELECT q.question_id AS query_id, p.page AS ordinal, p.document_id || '-' || p.page AS key, p.document_id, p.page, p.variant FROM qa q JOIN pages p ON p.page BETWEEN (q.conv_id * 31) % ((SELECT max(page) FROM pages) + 1) AND (q.conv_id * 31) % ((SELECT max(page) FROM pages) + 1) + 23),
+named AS (SELECT DISTINCT question_id AS query_id, document_id, variant FROM qa, catalog WHERE document_id IN (SELECT document_id FROM many) AND ((conv_id % 3 = 0 AND variant = 'EN WITH TAG') OR (conv_id % 3 = 1 AND variant = 'FR WITH TAG'))),
+marked AS (SELECT s.*, n.variant AS named, max(s.variant = n.variant) OVER (PARTITION BY s.query_id, s.document_id) AS hit FROM sources s LEFT JOIN named n ON n.query_id = s.query_id AND n.document_id = s.document_id),
+first_ AS (SELECT *, CASE WHEN variant <> '' AND hit AND variant <> named THEN 'question names ' || named END AS why FROM marked),
+cut AS MATERIALIZED (SELECT document_id, page, variant, regexp_extract_all({comparable_sql('text')}, {WORDS}) AS ws FROM pages WHERE variant <> '' AND document_id IN (SELECT document_id FROM many)),
+sets AS MATERIALIZED (SELECT document_id, page, variant, {grams_sql('ws')} AS g FROM cut), cells AS MATERIALIZED (SELECT document_id, page, variant, len(g) AS n, unnest(g) AS gram FROM sets),
+near AS MATERIALIZED (SELECT document_id, x, y, vx, vy FROM (SELECT a.document_id, a.page AS x, b.page AS y, any_value(a.variant) AS vx, any_value(b.variant) AS vy, any_value(a.n) + any_value(b.n) AS n, count(*) AS same FROM cells a JOIN cells b ON a.document_id = b.document_id AND a.gram = b.gram AND a.page < b.page AND a.variant <> b.variant GROUP BY 1, 2, 3) WHERE same / (n - same) >= 0.9),
+before AS (SELECT document_id, y AS page, list(x) AS xs FROM near GROUP BY 1, 2),
+live AS MATERIALIZED (SELECT f.query_id, f.document_id, f.page, coalesce(b.xs, []) AS xs, row_number() OVER (PARTITION BY f.query_id, f.document_id ORDER BY f.page) AS k FROM first_ f LEFT JOIN before b ON b.document_id = f.document_id AND b.page = f.page WHERE why IS NULL AND variant <> '' AND f.document_id IN (SELECT document_id FROM many)),
+fold AS (SELECT query_id, document_id, k, [page] AS kept, page, NULL::INTEGER AS gone_by FROM live WHERE k = 1
+  UNION ALL SELECT l.query_id, l.document_id, l.k, CASE WHEN len(list_intersect(f.kept, l.xs)) = 0 THEN list_append(f.kept, l.page) ELSE f.kept END, l.page, list_min(list_intersect(f.kept, l.xs)) FROM fold f JOIN live l ON l.query_id = f.query_id AND l.document_id = f.document_id AND l.k = f.k + 1),
+selected AS (SELECT s.*, coalesce(s.why, CASE WHEN f.gone_by IS NOT NULL THEN 'same passage as ' || s.document_id || ' p.' || f.gone_by || ' [' || p.variant || ']' END) AS reason FROM first_ s LEFT JOIN fold f ON f.query_id = s.query_id AND f.document_id = s.document_id AND f.page = s.page LEFT JOIN pages p ON p.document_id = s.document_id AND p.page = f.gone_by)"""
+
+
+@query(f"WITH RECURSIVE {SELECTED} SELECT query_id, key, variant, reason FROM selected")
+def v5_select_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows, asked, cat, _ = _sources(spark, d)
+    return variants.select_sources(rows, asked, cat).select("query_id", "key", "variant", "reason")
 
 
-@query()
-def v5_select_sources(spark: SparkSession, d: str) -> DataFrame:
-    return variants.select_sources(*_sources(spark, d)).select("query_id", "key", "variant", "reason")
+#: The first earlier page of another variant with the same text, of the named variants if there are any.
+EARLIER = "earlier AS (SELECT s.query_id, s.key, min(n.x) AS earlier_page FROM {sources} s JOIN near n ON n.document_id = s.document_id AND n.y = s.page LEFT JOIN named m ON m.query_id = s.query_id AND m.document_id = s.document_id WHERE s.variant <> '' AND (m.variant IS NULL OR m.variant = n.vx) GROUP BY 1, 2)"
 
 
-@query()
+@query(f"WITH RECURSIVE {SELECTED}, {EARLIER.format(sources='sources')} SELECT query_id, key, earlier_page FROM earlier")
 def v6_earliest_equivalent_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked, cat = _sources(spark, d)
-    return variants.earliest_equivalent_pages(rows, cat, v.pages(spark, d).select("document_id", "page", "text"), variants.question_variants(asked, cat))
+    rows, asked, cat, bodies = _sources(spark, d)
+    return variants.earliest_equivalent_pages(rows, cat, bodies, variants.question_variants(asked, cat))
 
 
-@query()
+#: Sources with those pages in their place, the first of each key.
+SWAPPED = """swapped AS (SELECT s.query_id, s.ordinal, coalesce(p.document_id || '-' || p.page, s.key) AS key, s.document_id, coalesce(p.page, s.page) AS page, CASE WHEN p.page IS NOT NULL THEN s.key END AS replaced_key FROM {sources} s LEFT JOIN earlier e ON e.query_id = s.query_id AND e.key = s.key LEFT JOIN pages p ON p.document_id = s.document_id AND p.page = e.earlier_page),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY ordinal, replaced_key IS NOT NULL) AS n FROM swapped),
+final AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ordinal, key) AS INTEGER) AS ordinal, key, document_id, page, replaced_key FROM one WHERE n = 1)"""
+
+
+def _units(bodies: DataFrame) -> DataFrame:
+    return bodies.withColumn("key", F.concat_ws("-", "document_id", "page"))
+
+
+@query(f"WITH RECURSIVE {SELECTED}, {EARLIER.format(sources='sources')}, {SWAPPED.format(sources='sources')} SELECT query_id, ordinal, key, page, replaced_key FROM final")
 def v7_replace_with_earliest(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, _ = _sources(spark, d)
-    earlier = rows.filter("page > 100").select("query_id", "key", (F.col("page") - 97).alias("earlier_page"))
-    units = v.pages(spark, d).select(F.concat_ws("-", "document_id", "page").alias("key"), "document_id", "page", "text")
-    return variants.replace_with_earliest(rows, earlier, units).select("query_id", "ordinal", "key", "page", "replaced_key")
+    rows, asked, cat, bodies = _sources(spark, d)
+    earlier = variants.earliest_equivalent_pages(rows, cat, bodies, variants.question_variants(asked, cat))
+    return variants.replace_with_earliest(rows, earlier, _units(bodies)).select("query_id", "ordinal", "key", "page", "replaced_key")
 
 
-@query()
+@query(f"WITH RECURSIVE {SELECTED}, stay AS (SELECT * FROM selected WHERE reason IS NULL), {EARLIER.format(sources='stay')}, {SWAPPED.format(sources='stay')} SELECT f.query_id, f.ordinal, f.key, nullif(p.variant, '') AS variant, f.replaced_key FROM final f LEFT JOIN pages p ON p.document_id = f.document_id AND p.page = f.page")
 def v8_select_context(spark: SparkSession, d: str) -> DataFrame:
-    rows, asked, cat = _sources(spark, d)
-    bodies = v.pages(spark, d).select("document_id", "page", "text")
-    units = bodies.withColumn("key", F.concat_ws("-", "document_id", "page"))
-    return variants.select_context(rows, asked, cat, bodies, units).select("query_id", "ordinal", "key", "variant", "replaced_key")
+    rows, asked, cat, bodies = _sources(spark, d)
+    return variants.select_context(rows, asked, cat, bodies, _units(bodies)).select("query_id", "ordinal", "key", "variant", "replaced_key")
 
 
 # ---- sampling ----

@@ -189,3 +189,18 @@ def generated(spark: SparkSession, d: str) -> DataFrame:
     """First words of documents as generated questions, in rounds."""
     words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ")
     return table(spark, d, "documents").select(F.expr("cast(doc_id % 3 + 1 as int)").alias("round"), F.col("source").alias("document_id"), F.col("doc_id").alias("position"), words.alias("question"))
+
+
+def manual(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, pages) of manuals with chapters for several variants: four pages in a row have one text, and stand in one document."""
+    docs = table(spark, d, "documents")
+    first = docs.select(F.col("doc_id").alias("_first"), F.col("source").alias("document_id"), F.col("text").alias("body"))
+    rows = docs.join(first, F.col("doc_id") - F.col("doc_id") % 4 == F.col("_first"))
+    head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("["), F.upper("lang"), F.lit(" WITH TAG]\n< Chapter "), F.expr("doc_id div 30"), F.lit(" >"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("< Chapter "), F.expr("doc_id div 30"), F.lit(" >"))).otherwise("")
+    page = F.col("doc_id").cast("int").alias("page")
+    return rows.select("document_id", page, head.alias("text")), rows.select("document_id", page, F.col("body").alias("text"))
+
+
+MANUAL = TAGS.replace("FROM documents)", "FROM manual)").replace("source AS document_id", "document_id")
+MANUAL = """manual AS (SELECT d.doc_id, d.lang, f.source AS document_id, f.text AS body FROM documents d JOIN documents f ON f.doc_id = d.doc_id - d.doc_id % 4),
+""" + MANUAL
