@@ -236,10 +236,16 @@ def c7_tag_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- routing and retrieval ----
-@query("SELECT p_partkey AS question_id, CASE WHEN p_name LIKE '%ring%' THEN p_name || chr(10) || 'Related manual terms: band; hoop' ELSE p_name END AS expanded FROM part")
+@query("""WITH k AS (SELECT split_part(p_name, ' ', 1) AS key, min(p_partkey) AS ordinal FROM part GROUP BY 1), a AS (SELECT ordinal, key, i AS position, CASE i WHEN 0 THEN upper(key) WHEN 1 THEN 'part ' || ordinal % 5 ELSE substr(key, 2) END AS term FROM k, range(3) t(i)),
+m AS (SELECT p_partkey, term, min((ordinal, position)) AS seen FROM part JOIN a ON contains(p_name, key) AND NOT contains(p_name, term) GROUP BY 1, 2), g AS (SELECT p_partkey, string_agg(term, '; ' ORDER BY seen) AS terms FROM m GROUP BY 1)
+SELECT p.p_partkey AS question_id, CASE WHEN terms IS NULL THEN p_name ELSE p_name || chr(10) || 'Related manual terms: ' || terms END AS expanded FROM part p LEFT JOIN g USING (p_partkey)""")
 def r1_expand_query(spark: SparkSession, d: str) -> DataFrame:
-    aliases = spark.createDataFrame([(0, "ring", 0, "band"), (0, "ring", 1, "ring"), (0, "ring", 2, "hoop"), (1, "nothing here", 0, "x")], "ordinal int, key string, position int, term string")
-    return retrieval.expand_query(table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question")), aliases).select("question_id", "expanded")
+    """First words of part names are keys, each with three terms (some of which several keys share)."""
+    part = table(spark, d, "part")
+    keys = part.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("key")).agg(F.min("p_partkey").alias("ordinal"))
+    terms = F.array(F.upper("key"), F.concat(F.lit("part "), F.col("ordinal") % 5), F.substring("key", 2, 10_000))
+    aliases = keys.select("ordinal", "key", F.posexplode(terms).alias("position", "term"))
+    return retrieval.expand_query(part.select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question")), aliases).select("question_id", "expanded")
 
 
 @query("SELECT doc_id, doc_id % 4 < 3 AS matches FROM documents")
