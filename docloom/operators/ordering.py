@@ -1,4 +1,8 @@
-"""Row numbers over a whole table, without one task that sees all rows."""
+"""Row numbers, neighbours and carried values in an order, without one task that sees all rows of a table or of a key.
+
+Rows are dealt to ranges of the order; windows run within a range, and what passes from range to range
+is one row for each range and key.
+"""
 
 from __future__ import annotations
 
@@ -21,3 +25,50 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     before = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _before long"))
     nth = F.row_number().over(W.partitionBy("_range").orderBy(*by))
     return placed.join(before, "_range").withColumn(name, F.col("_before") + nth).drop("_range", "_before")
+
+
+def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with ``_range``: the number of the range of (by, order) that a row is in; equal rows share one."""
+    return kept(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _met(rows: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of edges(_range, *by, ..) of their range and key."""
+    named = edges.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], *[c for c in edges.columns if c not in ("_range", *by)])
+    same = F.col("_range") == F.col("_r")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return rows.join(named, same, "left").drop("_r", *[f"_by{k}" for k in range(len(by))])
+
+
+def with_neighbours(ranged: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``_before`` and ``_after``: structs of ``columns`` of the row before and after in the order within a key; null at its ends."""
+    cell, at = F.struct(*columns), F.struct(*order)
+    edges = ranged.groupBy("_range", *by).agg(F.min_by(cell, at).alias("_first"), F.max_by(cell, at).alias("_last"))
+    across = W.partitionBy(*by).orderBy("_range")
+    edges = edges.select("_range", *by, F.lag("_last").over(across).alias("_from"), F.lead("_first").over(across).alias("_to"))
+    inside = W.partitionBy("_range", *by).orderBy(*order)
+    rows = ranged.withColumn("_before", F.lag(cell).over(inside)).withColumn("_after", F.lead(cell).over(inside))
+    return _met(rows, edges, by).withColumn("_before", F.coalesce("_before", "_from")).withColumn("_after", F.coalesce("_after", "_to")).drop("_from", "_to")
+
+
+def carried(ranged: DataFrame, by: list[str], order: list[str], value: str, name: str, own: bool = False) -> DataFrame:
+    """``name``: the last value that is not null, of the rows before within a key (``own``: and the row itself)."""
+    edges = ranged.groupBy("_range", *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    before = F.last("_end", True).over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    edges = edges.select("_range", *by, before.alias("_from"))
+    inside = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow if own else -1)
+    rows = ranged.withColumn(name, F.last(value, True).over(inside))
+    return _met(rows, edges, by).withColumn(name, F.coalesce(name, "_from")).drop("_from")
+
+
+def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str, size: str | None = None) -> DataFrame:
+    """``name``: 1, 2, .. in the order within each key; ``size``: a column for the number of rows of the key."""
+    ranged = placed(df, by, order)
+    edges = ranged.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"))
+    across = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(across.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select("_range", *by, before.alias("_from"), F.sum("_n").over(across).alias("_size"))
+    nth = F.row_number().over(W.partitionBy("_range", *by).orderBy(*order))
+    rows = _met(ranged.withColumn("_nth", nth), edges, by).withColumn(name, F.col("_from") + F.col("_nth"))
+    return (rows.withColumn(size, F.col("_size")) if size else rows).drop("_range", "_nth", "_from", "_size")

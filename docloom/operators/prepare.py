@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.operators.ordering import carried, placed, with_neighbours
 from docloom.sources.tables import replace_documents
 
 FORMAT_VERSION, CONTINUATION_PAGES = 1, 2
@@ -56,22 +58,27 @@ def select_page_range(pages: DataFrame, options: DataFrame) -> tuple[DataFrame,
 def split_sections(pages: DataFrame, carry: str | None = None) -> DataFrame:
     """P5: (document_id, page, block, heading, text); a page starts with the heading that the one before ended with.
 
-    Two levels: headings are found within each page; only one row a page enters the document's window.
-    ``carry``: a column that is true for pages whose headings are not carried on (failed pages).
+    Headings and blocks are found within a page's row; only the last heading of each page is carried on,
+    over ranges of pages. ``carry``: a column that is true for pages whose headings are not carried on
+    (failed pages).
     """
-    lines = pages.select("document_id", "page", F.posexplode(t.lines_of(F.coalesce("text", F.lit("")))).alias("line", "value"))
-    lines = lines.withColumn("value", F.col("value")).withColumn("head", t.is_section_heading(F.col("value")))
-    w = W.partitionBy("document_id", "page").orderBy("line")
-    lines = lines.withColumn("own", F.last(F.when(F.col("head"), t.strip(F.col("value"))), True).over(w)).withColumn("part", F.sum(F.col("head").cast("int")).over(w))
-    blocks = lines.groupBy("document_id", "page", "part").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("body"), F.max("own").alias("own"))
-    blocks = blocks.withColumn("text", t.strip(F.array_join(F.transform("body", lambda x: x["value"]), "\n")))
-    ends = lines.groupBy("document_id", "page").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("line"))).alias("end"))
-    if carry:
-        ends = ends.join(pages.filter(F.col(carry)).select("document_id", "page", F.lit(True).alias("_cut")), ["document_id", "page"], "left").withColumn("end", F.when(F.col("_cut").isNull(), F.col("end"))).drop("_cut")
-    before = ends.withColumn("before", F.last("end", True).over(W.partitionBy("document_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1))).select("document_id", "page", "before")
-    full = blocks.filter("text <> ''").join(before, ["document_id", "page"])
-    number = F.row_number().over(W.partitionBy("document_id", "page").orderBy("part"))
-    return full.select("document_id", "page", number.alias("block"), F.coalesce("own", "before", F.lit("")).alias("heading"), "text")
+    lines = lambda: t.lines_of(F.coalesce("text", F.lit("")))
+    last = t.let(F.filter(lines(), t.is_section_heading), lambda heads: F.get(heads, F.size(heads) - 1))
+    end = F.when(F.coalesce(F.col(carry), F.lit(False)), None).otherwise(last) if carry else last
+    key = ["document_id", "page"]
+    ends = pages.select(*key, t.strip(end).alias("end")).groupBy(*key).agg(F.max("end").alias("end"))
+    before = carried(placed(ends, ["document_id"], ["page"]), ["document_id"], ["page"], "end", "before").select(*key, "before")
+
+    def blocks(ls: Column) -> Column:
+        starts = t.let(F.filter(F.transform(ls, lambda x, i: F.when(t.is_section_heading(x), i)), lambda i: i.isNotNull()), lambda heads: F.when(F.get(heads, F.lit(0)) == 0, heads).otherwise(F.concat(F.array(F.lit(0)), heads)))
+        return t.let(starts, lambda at: F.transform(at, lambda a, k: F.struct(
+            F.when((k > 0) | t.is_section_heading(F.get(ls, a)), t.strip(F.get(ls, a))).alias("own"),
+            t.strip(F.array_join(F.slice(ls, a + 1, F.coalesce(F.get(at, k + 1), F.size(ls)) - a), "\n")).alias("text"),
+        )))
+
+    full = pages.select(*key, "text").join(before, key)
+    parts = full.select(*key, "before", F.posexplode(F.filter(t.let(lines(), blocks), lambda b: b["text"] != "")).alias("k", "b"))
+    return parts.select(*key, (F.col("k") + 1).alias("block"), F.coalesce("b.own", "before", F.lit("")).alias("heading"), F.col("b.text").alias("text"))
 
 
 def build_chunk_records(sections: DataFrame, project: str = "default", version: int = FORMAT_VERSION) -> DataFrame:
@@ -144,20 +151,25 @@ def merge_continuation(chunks: DataFrame) -> DataFrame:
     heading, and a merged record is full. So the row before decides, and no state is carried.
     """
     first_line = lambda c: F.get(F.filter(F.transform(t.lines_of(F.coalesce(c, F.lit(""))), t.strip), lambda x: x != ""), F.lit(0))
-    w = W.partitionBy("document_id").orderBy("page", "block_id")
     rows = chunks.withColumn("_first", F.coalesce(first_line(F.col("text")), F.lit(""))).withColumn("_name", t.strip(F.coalesce("section_name", F.lit(""))))
-    before = {c: F.lag(c).over(w) for c in ("section_id", "section_path", "page", "_first", "_name")}
-    joins = (
-        before["section_id"].eqNullSafe(F.col("section_id")) & before["section_path"].eqNullSafe(F.col("section_path"))
-        & F.contains(F.coalesce("section_path", F.lit("")), F.lit(" > ")) & (F.col("page") == before["page"] + 1) & (F.col("block_id") == "b01")
-        & (before["_first"] == before["_name"]) & (F.col("_first") != F.col("_name"))
-    )
-    marked = rows.withColumn("_joins", F.coalesce(joins, F.lit(False)))
-    marked = marked.withColumn("_next", F.lead("_joins", 1, False).over(w)).withColumn("_text", F.lead("text").over(w)).withColumn("_page", F.lead("page").over(w))
-    title = F.concat(F.col("document_id"), F.lit(" - Pages "), F.col("page"), F.lit(", "), F.col("_page"), F.lit(" - "), F.col("section_name"))
+    order = ["page", "block_id"]
+    met = with_neighbours(placed(rows, ["document_id"], order), ["document_id"], order, ["section_id", "section_path", "page", "block_id", "text", "_first", "_name"])
+
+    def joins(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        """Does the row b go on with the row a before it?"""
+        same = (
+            a("section_id").eqNullSafe(b("section_id")) & a("section_path").eqNullSafe(b("section_path"))
+            & F.contains(F.coalesce(b("section_path"), F.lit("")), F.lit(" > ")) & (b("page") == a("page") + 1) & (b("block_id") == "b01")
+            & (a("_first") == a("_name")) & (b("_first") != b("_name"))
+        )
+        return F.coalesce(same, F.lit(False))
+
+    before, after = (lambda c, side=side: F.col(f"{side}.{c}") for side in ("_before", "_after"))
+    marked = met.withColumn("_joins", F.col("_before").isNotNull() & joins(before, F.col)).withColumn("_next", F.col("_after").isNotNull() & joins(F.col, after))
+    title = F.concat(F.col("document_id"), F.lit(" - Pages "), F.col("page"), F.lit(", "), after("page"), F.lit(" - "), F.col("section_name"))
     out = marked.filter(~F.col("_joins"))
-    text = F.when(F.col("_next"), t.strip(F.concat_ws("\n\n", "text", "_text"))).otherwise(F.col("text"))
-    pages = F.when(F.col("_next"), F.array("page", "_page")).otherwise(F.array("page"))
+    text = F.when(F.col("_next"), t.strip(F.concat_ws("\n\n", F.col("text"), after("text")))).otherwise(F.col("text"))
+    pages = F.when(F.col("_next"), F.array("page", after("page"))).otherwise(F.array("page"))
     keep = [c for c in chunks.columns if c not in ("text", "pages", "title")]
     return out.select(*keep, text.alias("text"), pages.alias("pages"), F.when(F.col("_next"), title).otherwise(F.col("title") if "title" in chunks.columns else F.lit(None).cast("string")).alias("title"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 from docloom.operators.greedy import excluded
+from docloom.operators.ordering import carried, placed, with_neighbours
 from docloom.operators.similarity import hashed, similar_sets
 from docloom.sources.scratch import written
 
@@ -28,14 +29,12 @@ def header_tags(headers: DataFrame) -> DataFrame:
 
 
 def assign_variants(tags: DataFrame) -> DataFrame:
-    """V2: an untagged page has the tag of the page before while the chapter stays the same."""
-    w = W.partitionBy("document_id").orderBy("page")
-    before = F.lag("chapter").over(w)
-    starts = (F.col("variant") != "") | (F.col("chapter") == "") | ~F.col("chapter").eqNullSafe(before)
-    island = F.sum(starts.cast("int")).over(w)
-    rows = tags.withColumn("_island", island)
-    tag = F.first("variant").over(W.partitionBy("document_id", "_island").orderBy("page"))
-    return rows.withColumn("variant", tag).drop("_island")
+    """V2: an untagged page has the tag of the page before while the chapter stays the same; tags carry on over ranges of pages."""
+    by, order = ["document_id"], ["page"]
+    met = with_neighbours(placed(tags, by, order), by, order, ["chapter"])
+    starts = (F.col("variant") != "") | (F.col("chapter") == "") | ~F.col("chapter").eqNullSafe(F.col("_before.chapter"))
+    rows = carried(met.withColumn("_tag", F.when(starts, F.col("variant"))), by, order, "_tag", "_carried", own=True)
+    return rows.withColumn("variant", F.col("_carried")).select(*tags.columns)
 
 
 def variant_catalog(headers: DataFrame, stamps: DataFrame | None = None, old: DataFrame | None = None) -> DataFrame:

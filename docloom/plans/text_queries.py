@@ -155,36 +155,73 @@ def p2_select_page_range(spark: SparkSession, d: str) -> DataFrame:
     return prepare.select_page_range(pages, options)[0].select("document_id", "page")
 
 
-@query()
+@query(r"""WITH l AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, CASE WHEN doc_id % 4 = 0 THEN replace(text, chr(10), chr(10) || '12' || chr(10)) ELSE text END AS text FROM documents), s AS (SELECT *, string_split(text, chr(10)) AS ls FROM l),
+n AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: trim(ls[i]) <> '') AS full_ FROM s), d AS (SELECT *, list_transform(full_, lambda i: regexp_matches(trim(ls[i]), '^[0-9]{1,4}$')) AS num FROM n),
+h AS (SELECT *, full_[list_filter([2, 3], lambda p: num[p] AND (NOT num[p - 1] OR NOT coalesce(num[p + 1], true)))[1]] AS hit FROM d)
+SELECT document_id, page, CASE WHEN len(full_) = 0 THEN text ELSE regexp_replace(array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i = hit THEN '' ELSE ls[i] END), chr(10)), '^\s+|\s+$', '', 'g') END AS text FROM h""")
 def p3_strip_leading_folio(spark: SparkSession, d: str) -> DataFrame:
-    """A number is put after the first line of every fourth page."""
+    """A number is put after each line of every fourth page."""
     text = F.when(F.col("page") % 4 == 0, F.regexp_replace("text", "\n", "\n12\n")).otherwise(F.col("text"))
     return v.pages(spark, d).select("document_id", "page", t.strip_leading_folio(text).alias("text"))
 
 
-@query(r"""WITH """ + v.BLOCKS + r""", l AS (SELECT document_id, page, ordinal, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM blocks),
- w AS (SELECT *, string_split(t, ' ') AS ws FROM l)
-SELECT document_id, page, ordinal FROM w WHERE t <> '' AND length(t) <= 48 AND NOT regexp_matches(t, '^(?:[•·▪◦※*]|[-–—]|[0-9]+[.、．)]|[（(][0-9]+[）)])') AND NOT regexp_matches(t, '[。，、,;；：:!！?？]$')
- AND (regexp_matches(t, '^(?:第\s*[0-9一二三四五六七八九十百]+\s*[章節篇]|[0-9一二三四五六七八九十]+(?:[.、．][0-9一二三四五六七八九十]+)*[、.．)）])\s*\S+')
-  OR (regexp_matches(t, '^[A-Z][A-Za-z0-9+.-]*(?:\s+[A-Z][A-Za-z0-9+.-]*){1,4}$') AND lower(ws[1]) NOT IN ('after','before','do','for','from','how','if','in','on','the','this','to','use','when','with')
-      AND len(list_filter(ws[2:], lambda x: (regexp_matches(x[2:], '[A-Z]') AND regexp_matches(x[2:], '[a-z]')) OR regexp_matches(x, '^[^a-z]{2,5}$'))) > 0))""")
+def heading_sql(x: str) -> str:
+    """Is a line (trimmed, white space collapsed) a heading?"""
+    words = f"string_split({x}, ' ')"
+    return rf"""({x} <> '' AND length({x}) <= 48 AND NOT regexp_matches({x}, '^(?:[•·▪◦※*]|[-–—]|[0-9]+[.、．)]|[（(][0-9]+[）)])') AND NOT regexp_matches({x}, '[。，、,;；：:!！?？]$')
+ AND (regexp_matches({x}, '^(?:第\s*[0-9一二三四五六七八九十百]+\s*[章節篇]|[0-9一二三四五六七八九十]+(?:[.、．][0-9一二三四五六七八九十]+)*[、.．)）])\s*\S+')
+  OR (regexp_matches({x}, '{t.ACTION_HEADING}') AND NOT regexp_matches({x}, '[。，；;]'))
+  OR (regexp_matches({x}, '^[A-Z][A-Za-z0-9+.-]*(?:\s+[A-Z][A-Za-z0-9+.-]*){{1,4}}$') AND lower({words}[1]) NOT IN ('after','before','do','for','from','how','if','in','on','the','this','to','use','when','with')
+      AND len(list_filter({words}[2:], lambda w: (regexp_matches(w[2:], '[A-Z]') AND regexp_matches(w[2:], '[a-z]')) OR regexp_matches(w, '^[^a-z]{{2,5}}$'))) > 0)))"""
+
+
+#: Lines put on top of pages: headings of each kind, and lines that only look like some.
+HEADINGS = ["第 3 章 安裝", "Galaxy S25 AI", "如何使用", "一、準備", "• item", "設定：", "1. Step", "Smart View", "", "The AI"]
+
+
+def _headed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages, two in three with one of these lines on top and another one in the middle."""
+    line = lambda k: F.element_at(F.array(*map(F.lit, HEADINGS)), (k % len(HEADINGS) + 1).cast("int"))
+    text = F.when(F.col("page") % 3 > 0, F.concat(line(F.col("page")), F.lit("\n"), "text", F.lit("\n"), line(F.expr("page div 7")), F.lit("\nthe end\n"))).otherwise(F.col("text"))
+    return v.pages(spark, d).withColumn("text", text)
+
+
+_headings = "[" + ", ".join(f"'{h}'" for h in HEADINGS) + "]"
+HEADED = f"""headed AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, CASE WHEN doc_id % 3 > 0 THEN {_headings}[doc_id % {len(HEADINGS)} + 1] || chr(10) || text || chr(10) || {_headings}[doc_id // 7 % {len(HEADINGS)} + 1] || chr(10) || 'the end' || chr(10) ELSE text END AS text FROM documents),
+hl AS (SELECT document_id, page, unnest(range(0, len(l))) AS ordinal, unnest(l) AS text FROM (SELECT document_id, page, string_split(text, chr(10)) AS l FROM headed)),
+ht AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM hl), hh AS MATERIALIZED (SELECT *, {heading_sql('x')} AS head FROM ht)"""
+SECTIONS = rf"""{HEADED}, hp AS (SELECT *, sum(head::INT) OVER w AS part, last_value(CASE WHEN head THEN {strip_sql('text')} END IGNORE NULLS) OVER w AS own FROM hh WINDOW w AS (PARTITION BY document_id, page ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+hb AS (SELECT document_id, page, part, {strip_sql("string_agg(text, chr(10) ORDER BY ordinal)")} AS text, max(own) AS own FROM hp GROUP BY 1, 2, 3), he AS (SELECT document_id, page, arg_max(own, ordinal) FILTER (own IS NOT NULL) AS end_ FROM hp GROUP BY 1, 2),
+hf AS (SELECT document_id, page, last_value(end_ IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM he),
+sections AS (SELECT document_id, page, CAST(row_number() OVER (PARTITION BY document_id, page ORDER BY part) AS INTEGER) AS block, coalesce(own, before, '') AS heading, text FROM hb JOIN hf USING (document_id, page) WHERE text <> '')"""
+
+
+@query(f"WITH {HEADED} SELECT document_id, page, CAST(ordinal AS INTEGER) AS ordinal FROM hh WHERE head")
 def p4_section_headings(spark: SparkSession, d: str) -> DataFrame:
-    return v.blocks(spark, d).filter(t.is_section_heading(F.col("text"))).select("document_id", "page", "ordinal")
+    lines = _headed(spark, d).select("document_id", "page", F.posexplode(t.lines_of(F.col("text"))).alias("ordinal", "text"))
+    return lines.filter(t.is_section_heading(F.col("text"))).select("document_id", "page", "ordinal")
 
 
-@query()
+@query(f"WITH {SECTIONS} SELECT * FROM sections")
 def p5_split_sections(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("page") % 3 == 0, F.concat(F.lit("1. Setup of "), F.col("lang"), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
-    return prepare.split_sections(v.pages(spark, d).withColumn("text", text))
+    return prepare.split_sections(_headed(spark, d))
 
 
-@query()
+def identifier_sql(x: str, fallback: str) -> str:
+    """NFKC changes nothing in these texts."""
+    cut = rf"regexp_replace(regexp_replace(coalesce(nullif({x}, ''), {fallback}), '[^\p{{L}}\p{{M}}\p{{N}}_㐀-鿿-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return f"coalesce(nullif(left({cut}, 64), ''), {fallback})"
+
+
+@query(f"SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, {identifier_sql('string_split(text, chr(10))[1]', 'source')} AS section_id FROM documents")
 def p6_section_identifier(spark: SparkSession, d: str) -> DataFrame:
     head = F.regexp_extract("text", "^([^\n]*)", 1)
     return v.pages(spark, d).select("document_id", "page", t.section_identifier(head, F.col("document_id")).alias("section_id"))
 
 
-@query()
+@query(f"""WITH {SECTIONS}, r AS (SELECT *, document_id || '-p' || lpad(page::VARCHAR, 4, '0') || '-b' || lpad(block::VARCHAR, 2, '0') AS id, 'b' || lpad(block::VARCHAR, 2, '0') AS block_id FROM sections)
+SELECT id, id AS chunk_id, 'default' AS project_id, {identifier_sql('heading', 'document_id')} AS section_id, coalesce(nullif(heading, ''), document_id) AS section_name, document_id || CASE WHEN heading <> '' THEN ' > ' || heading ELSE '' END AS section_path,
+  document_id || ' - Page ' || page || CASE WHEN heading <> '' THEN ' - ' || heading ELSE '' END AS title, text, document_id, page, block_id, 1 AS sectioning_version FROM r""")
 def p7_build_chunk_records(spark: SparkSession, d: str) -> DataFrame:
     return prepare.build_chunk_records(p5_split_sections(spark, d))
 
