@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 from docloom.operators import metrics
 from docloom.operators.costs import aggregate_cost
+from docloom.operators.ordering import nearest_rank
+from docloom.sources.scratch import kept
 
 KEY = ["group_id", "dataset_id", "question_id"]
 SETTINGS = ["answer_model", "method", "response_type", "answer_reasoning_effort"]
 AVERAGES = ["source_score", "answer_em", "answer_f1", "answer_term_hit", "answer_term_coverage"]
-# ---- fixed values: (strategy, parameter, type, default, least, most) ----
+# ---- fixed values: strategies whose evidence has pages, routed and agentic groups, marks of results ----
+EVIDENCE_METHODS, AUTO, AGENTIC = ["local", "basic", "drift"], "auto", "agentic"
+NOT_COMPUTABLE = "不可計算："
+# ---- (strategy, parameter, type, default, least, most) ----
 PARAMETER_SPECS = [
     ("local", "community_level", "int", "2", 0.0, 10.0), ("local", "text_unit_prop", "float", "0.5", 0.0, 1.0),
     ("local", "community_prop", "float", "0.15", 0.0, 1.0), ("local", "conversation_history_max_turns", "int", "5", 0.0, 50.0),
@@ -82,25 +87,62 @@ def source_stats(results: DataFrame, totals: DataFrame, weight: float = 0.1, *by
     return totals.join(out, list(by), "left").select(*by, "average_source_score", F.when(F.col("question_count") > 0, F.coalesce("_sum", F.lit(0.0)) / F.col("question_count")).alias("combined_accuracy"))
 
 
-def p95_latency(column: str = "duration_seconds") -> F.Column:
-    """Nearest-rank 95th percentile of the known durations."""
-    return F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column}) FILTER (WHERE {column} IS NOT NULL)")
+def p95_latency(results: DataFrame, *by: str, column: str = "duration_seconds") -> DataFrame:
+    """(*by, p95_latency_seconds): nearest-rank 95th percentile of the known durations."""
+    return nearest_rank(results, list(by), column, 0.95, "p95_latency_seconds")
 
 
-def group_summary(results: DataFrame, totals: DataFrame, weight: float = 0.1, items: DataFrame | None = None, costs: DataFrame | None = None, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
+def counts_for_sources(method: Column) -> Column:
+    """Is a result measured against gold sources? Its group's strategy must map to pages: for routed groups the one that
+    was used, for agentic ones any text unit found; failed results and those marked as not computable don't count."""
+    ok = (F.coalesce("status", F.lit("")) != "failed") & ~F.startswith(F.coalesce("retrieval_metrics_status", F.lit("")), F.lit(NOT_COMPUTABLE))
+    used = F.when(method == AUTO, F.coalesce(F.col("effective_method").isin(EVIDENCE_METHODS), F.lit(False))).when(method == AGENTIC, F.coalesce("has_text_units", F.lit(False)))
+    return ok & F.coalesce(used, method.isin(EVIDENCE_METHODS), F.lit(False))
+
+
+def group_summary(results: DataFrame, totals: DataFrame, weight: float = 0.1, items: DataFrame | None = None, costs: DataFrame | None = None, judges: DataFrame | None = None, judge: bool = True, by: tuple[str, ...] = ("group_id",)) -> DataFrame:
     """One row a group (or group and set) of totals: counts, accuracies, latency and metric means; those
-    without results too. items: metrics.evaluate_questions() rows with the group; costs: query_cost() rows."""
+    without results too.
+
+    totals(*by, question_count[, method]). items: metrics.evaluate_questions() rows with the group; with a
+    ``method`` they count where counts_for_sources() says so, and ``retrieval_metrics_status`` tells why they
+    don't. costs: query_cost() rows with the group. judges(*by, question_id, model, score): means by judge and
+    questions on which judges differ. Without a judge accuracies are null. Results may have
+    search_step_count and agent_call_count; steps stand in where no search count is known.
+    """
     blank = t.strip(F.coalesce("actual_answer", F.lit(""))) == ""
-    out = results.groupBy(*by).agg(F.count_if(~blank).alias("answered"), *grade_aggregates(), F.sum(combined_grade(weight)).alias("_combined"), F.avg("duration_seconds").alias("average_latency_seconds"), p95_latency().alias("p95_latency_seconds"), *[F.avg(c).alias(f"average_{c}") for c in AVERAGES if c in results.columns])
-    rows = totals.join(out, list(by), "left")
+    have = set(results.columns)
+    extra = [F.avg(c).alias(n) for c, n in (("search_step_count", "_steps"), ("agent_call_count", "average_agent_model_calls")) if c in have]
+    out = results.groupBy(*by).agg(F.count_if(~blank).alias("answered"), *grade_aggregates(), F.sum(combined_grade(weight)).alias("_combined"), F.avg("duration_seconds").alias("average_latency_seconds"), *extra, *[F.avg(c).alias(f"average_{c}") for c in AVERAGES if c in have])
+    rows = totals.join(out, list(by), "left").join(p95_latency(results, *by), list(by), "left")
     n = F.col("question_count")
-    share = lambda c: F.when(n > 0, c / n)
+    share = lambda c: F.when((n > 0) & F.lit(judge), c / n)
     zero = {c: 0 for c in ("answered", "correct", "partial", "incorrect", "score_sum", "_combined")}
     rows = rows.na.fill(zero).withColumn("accuracy", share(F.col("correct"))).withColumn("score_accuracy", share(F.col("score_sum") / 2)).withColumn("combined_accuracy", share(F.col("_combined"))).drop("_combined")
     if items is not None:
-        rows = rows.join(metrics.source_metrics(items, *by), list(by), "left")
+        if "method" in totals.columns:
+            group = results.drop("method").join(totals.select(*by, "method"), list(by))
+            counted = kept(group.filter(counts_for_sources(F.col("method"))).select(*by, "question_id").distinct())
+            items = items.join(counted, [*by, "question_id"], "left_semi")
+            rows = rows.join(counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_counted")), list(by), "left")
+            mapped = F.col("method").isin([*EVIDENCE_METHODS, AUTO, AGENTIC])
+            none = F.when(F.col("method") == AGENTIC, "no_page_evidence").otherwise("no_results")
+            status = F.when(~mapped, "unsupported").when(F.col("_counted").isNull(), none).when(F.col("method") == AUTO, "computed_without_global").otherwise("computed")
+            rows = rows.withColumn("retrieval_metrics_status", status).drop("_counted")
+        rows = rows.join(metrics.source_metrics(items, *by), list(by), "left").na.fill({"no_evidence_count": 0})
     if costs is not None:
         rows = rows.join(aggregate_cost(costs, *by), list(by), "left")
+    searches = [c for c in ("average_search_count", "_steps") if c in rows.columns]
+    if searches:
+        rows = rows.withColumn("average_search_steps", F.coalesce(*searches)).drop("_steps")
+    if judges is not None:
+        known = judges.filter("score is not null")
+        means = known.groupBy(*by, "model").agg(F.round(F.avg("score"), 4).alias("mean"))
+        # the judges of a run are few
+        means = means.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "mean")))).alias("judge_average_scores"))
+        differ = known.groupBy(*by, "question_id").agg((F.min("score") < F.max("score")).alias("differ")).groupBy(*by).agg(F.count_if("differ").alias("judge_disagreement_count"))
+        rows = rows.join(means, list(by), "left").join(differ, list(by), "left").na.fill({"judge_disagreement_count": 0})
+        rows = rows.withColumn("judge_average_scores", F.coalesce("judge_average_scores", F.create_map().cast("map<string,double>")))
     return rows
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.operators.ordering import numbered
+from docloom.operators.ordering import numbered, numbered_within
 
 SUMMARY, DESCRIPTION, LINK, RECENT = 400, 300, 160, 12
 
@@ -80,12 +80,19 @@ def hubs(nodes: DataFrame, n: int = 8) -> DataFrame:
     return nodes.orderBy(F.desc("degree"), "id").limit(n)
 
 
-def neighbours(links: DataFrame, node: DataFrame | None = None) -> DataFrame:
-    """(position, other, weight, rank): both ends of each link, heaviest first; of some positions, if given."""
+def neighbours(links: DataFrame, node: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(position, other, weight, rank): both ends of each link, heaviest first; of some positions, if given.
+
+    With ``most``, each task keeps that many of a position before they meet; without, ranks pass over
+    ranges, so the links of a hub needn't fit one task either way.
+    """
     both = links.select(F.col("source_position").alias("position"), F.col("target_position").alias("other"), "weight").unionByName(links.select(F.col("target_position").alias("position"), F.col("source_position").alias("other"), "weight"))
     if node is not None:
         both = both.join(node.select("position").distinct(), "position", "left_semi")
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("position").orderBy(F.desc("weight"), "other")))
+    if most is None:
+        return numbered_within(both.withColumn("_heavy", -F.col("weight")), ["position"], ["_heavy", "other"], "rank").drop("_heavy")
+    rank = F.row_number().over(W.partitionBy("position").orderBy(F.desc("weight"), "other"))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
 def region_order(regions: DataFrame) -> DataFrame:

@@ -72,3 +72,44 @@ def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str, s
     nth = F.row_number().over(W.partitionBy("_range", *by).orderBy(*order))
     rows = _met(ranged.withColumn("_nth", nth), edges, by).withColumn(name, F.col("_from") + F.col("_nth"))
     return (rows.withColumn(size, F.col("_size")) if size else rows).drop("_range", "_nth", "_from", "_size")
+
+
+def _with_bounds(rows: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """rows(*by, _v) with their group's bounds(*by, n, lo, hi, rank), of those within them."""
+    named = bounds.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "n", "lo", "hi", "rank")
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    small = F.broadcast(named) if named.limit(10_001).count() <= 10_000 else named
+    return rows.join(small, same).filter(F.col("_v").between(F.col("lo"), F.col("hi")))
+
+
+def nearest_rank(df: DataFrame, by: list[str], column: str, share: float, name: str, few: int = 100_000, buckets: int = 4096) -> DataFrame:
+    """(*by, name): of each group the value at the rank ceil(share * count) of those that are known and finite.
+
+    Exact by rounds: a round counts a group's values in equal steps between its bounds and goes on within
+    the step that holds the rank, until the bounds meet or ``few`` values are left, which are sorted. No
+    round sends more than ``buckets`` counts a group and task, so a group of any size fits.
+    """
+    known = F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf"))
+    rows = df.select(*by, F.col(column).cast("double").alias("_v")).filter(known)
+    found = F.when(F.col("rank") <= 1, F.col("lo")).when((F.col("rank") == F.col("n")) | (F.col("lo") == F.col("hi")), F.col("hi"))
+    live = kept(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).withColumn("rank", F.ceil(F.col("n") * share)))
+    out = live.filter(found.isNotNull()).select(*by, found.alias(name))
+    while True:
+        live = live.filter(found.isNull())
+        small, large = live.filter(F.col("n") <= few), kept(live.filter(F.col("n") > few))
+        if small.head(1):
+            nth = F.row_number().over(W.partitionBy(*by).orderBy("_v"))
+            out = out.unionByName(_with_bounds(rows, small, by).withColumn("_nth", nth).filter("_nth = rank").select(*by, F.col("_v").alias(name)))
+        if not large.head(1):
+            return out
+        # halves, as the width of all doubles has no double; whole for widths that have no half
+        half, low = F.col("hi") / 2 - F.col("lo") / 2, F.col("lo")
+        part = F.when(half > 0, F.try_divide(F.col("_v") / 2 - low / 2, half)).otherwise(F.try_divide(F.col("_v") - low, F.col("hi") - low))
+        step = F.floor(part * buckets)
+        cells = _with_bounds(rows, large, by).groupBy(*by, F.least(step, F.lit(buckets - 1)).alias("_step")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.first("rank").alias("rank"))
+        upto = F.sum("n").over(W.partitionBy(*by).orderBy("_step"))
+        inside = cells.withColumn("_upto", upto).filter((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("n") < F.col("rank")))
+        live = kept(inside.select(*by, "n", "lo", "hi", (F.col("rank") - (F.col("_upto") - F.col("n"))).alias("rank")))
+        out = out.unionByName(live.filter(found.isNotNull()).select(*by, found.alias(name)))

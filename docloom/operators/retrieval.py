@@ -195,15 +195,24 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: tupl
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def local_expand(top: DataFrame, relationships: DataFrame, entity_units: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(each query's k heaviest relationships of its top entities, units linked to them in entity order).
+def local_expand(top: DataFrame, relationships: DataFrame, entity_units: DataFrame, k: int = 10, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(each query's k heaviest relationships of its top entities, the units linked to these in entity order).
 
     top(query_id, rank, entity_id), relationships(source, target, weight), entity_units(entity_id, unit_id).
+    Of a hub's relationships each task keeps the k heaviest before they meet, as no query can need more.
+    Units come with the rank of their first entity and the number of entities that have them; ``most``:
+    so many units of each query, by these.
     """
-    both = relationships.select(F.col("source").alias("entity_id"), "source", "target", "weight").unionByName(relationships.select(F.col("target").alias("entity_id"), "source", "target", "weight"))
-    edges = top.join(both, "entity_id").groupBy("query_id", "source", "target").agg(F.max("weight").alias("weight"))
+    both = relationships.select(F.col("source").alias("entity_id"), "source", "target", "weight").unionByName(relationships.filter("source <> target").select(F.col("target").alias("entity_id"), "source", "target", "weight"))
+    own = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("weight"), "source", "target"))
+    asked = both.join(top.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id", "source", "target").agg(F.max("weight").alias("weight"))
+    few = asked.withColumn("_n", own).filter(F.col("_n") <= k).drop("_n")
+    edges = top.select("query_id", "entity_id").join(few, "entity_id").groupBy("query_id", "source", "target").agg(F.max("weight").alias("weight"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "source", "target"))
-    units = top.join(entity_units, "entity_id").groupBy("query_id", "unit_id").agg(F.min("rank").alias("entity_rank"), F.count(F.lit(1)).alias("entities"))
+    units = top.join(entity_units.distinct(), "entity_id").groupBy("query_id", "unit_id").agg(F.min("rank").alias("entity_rank"), F.count(F.lit(1)).alias("entities"))
+    if most is not None:
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy("entity_rank", F.desc("entities"), "unit_id"))
+        units = units.withColumn("position", nth).filter(F.col("position") <= most)
     return edges.withColumn("rank", rank).filter(F.col("rank") <= k), units
 
 

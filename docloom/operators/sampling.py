@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.operators.ordering import numbered_within
 from docloom.sources.scratch import kept
 
 CONTENT_TYPES = ["all", "diagnostic", "procedure", "specification", "general"]
@@ -47,9 +48,8 @@ def sample_sources(chunks: DataFrame, n: int, seed: int) -> DataFrame:
 def representative_samples(chunks: DataFrame, questions: int) -> DataFrame:
     """Q6: up to min(24, max(12, 2 * questions)) rows of each document, evenly spaced in its order."""
     limit = min(24, max(12, 2 * questions))
-    w = W.partitionBy("document_id")
-    rows = chunks.withColumn("_k", F.row_number().over(w.orderBy("page", "block_id", "chunk_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(limit - 1), 0).cast("int"))
+    rows = numbered_within(chunks, ["document_id"], ["page", "block_id", "chunk_id"], "_k", "_n").withColumn("_k", F.col("_k") - 1)
+    at = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(limit - 1), 0).cast("long"))
     return rows.filter((F.col("_n") <= limit) | F.array_contains(at, F.col("_k"))).drop("_k", "_n")
 
 
@@ -104,8 +104,7 @@ def gold_from_sources(cited: DataFrame) -> DataFrame:
 
 def assign_question_ids(rows: DataFrame, existing: DataFrame | None = None, partition: str = "question_set_id") -> DataFrame:
     """Q11: ids Q0001.. by position; appended rows go on after the largest number in use."""
-    number = F.row_number().over(W.partitionBy(partition).orderBy("position"))
-    out = rows.withColumn("_n", number)
+    out = numbered_within(rows, [partition], ["position"], "_n")
     if existing is not None:
         last = existing.groupBy(partition).agg(F.max(F.regexp_extract("question_id", r"^Q(\d+)$", 1).try_cast("int")).alias("_last"))
         out = out.join(last, partition, "left").withColumn("_n", F.col("_n") + F.coalesce("_last", F.lit(0))).drop("_last")
@@ -120,7 +119,13 @@ def approved_questions(batch: DataFrame, updates: DataFrame) -> tuple[DataFrame,
     return out, out.filter("generation_status = 'approved'")
 
 
-def source_payload(samples: DataFrame, most: int = 2500, by: str = "document_id") -> DataFrame:
-    """Q13: one JSON list of sources, with their text cut, a batch or document."""
+def source_payload(samples: DataFrame, most: int = 2500, by: str = "document_id", batch: int = 200) -> DataFrame:
+    """Q13: (by, batch, sources): JSON lists of sources with their text cut, of up to ``batch`` each, numbered from 1.
+
+    In the order of the sample ids; a document of any size is as many rows as it needs.
+    """
     cell = F.struct("sample_id", "document_id", "page", "section_id", F.substring("text", 1, most).alias("text"))
-    return samples.groupBy(by).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", cell.alias("c")))), lambda x: x["c"])).alias("sources"))
+    rows = numbered_within(samples.select(by, "sample_id", cell.alias("_c")), [by], ["sample_id"], "_n")
+    number = F.floor((F.col("_n") - 1) / batch).cast("int") + 1
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_c"))), lambda x: x["_c"])
+    return rows.groupBy(by, number.alias("batch")).agg(F.to_json(cells).alias("sources"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import costs, experiments, graph, judges, retrieval
+from docloom.operators import costs, experiments, graph, judges, metrics, retrieval
 from docloom.plans import views as v
 from docloom.plans.registry import query
 from docloom.sources.scratch import table
@@ -122,15 +122,48 @@ COLUMNS = ["answered", "correct", "partial", "incorrect", "accuracy", "score_acc
 ROUND = ["accuracy", "score_accuracy", "combined_accuracy", "average_latency_seconds", "average_answer_em", "average_answer_f1"]
 
 
-@query(f"WITH {v.RESULTS} SELECT group_id, {SUMMARY} FROM combined GROUP BY 1")
+METHODS = {"1-URGENT": "basic", "2-HIGH": "auto", "3-MEDIUM": "agentic", "4-NOT SPECIFIED": "global", "5-LOW": "local"}
+_method = "CASE group_id " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in METHODS.items()) + " END"
+X6 = f"""{v.RESULTS}, {v.EVIDENCE}, {v.GOLD}, r AS (SELECT *, {_method} AS method, ['basic', 'global', 'local'][k % 3 + 1] AS effective_method FROM combined),
+e AS (SELECT DISTINCT ON (question_id, document_id, CASE WHEN pages = [] THEN [rank] ELSE pages END, pages = []) * FROM evidence ORDER BY rank),
+pg AS (SELECT question_id, document_id, list_distinct(flatten(list(pages))) AS gp FROM gold GROUP BY 1, 2),
+per AS (SELECT e.question_id, count(*) AS n, count(*) FILTER (len(list_intersect(e.pages, pg.gp)) > 0) AS hits, bool_or(pg.gp IS NOT NULL) AS dh FROM e LEFT JOIN pg USING (question_id, document_id) GROUP BY 1),
+g AS (SELECT question_id, bool_or(len(pages) > 0) AS paged FROM gold GROUP BY 1),
+counted AS (SELECT group_id, question_id FROM r WHERE k % 23 <> 0 AND CASE method WHEN 'auto' THEN effective_method <> 'global' WHEN 'agentic' THEN k % 2 = 0 ELSE method IN ('basic', 'local', 'drift') END),
+src AS (SELECT group_id, avg((coalesce(hits, 0) > 0)::INT) AS evidence_hit_rate, avg(CASE WHEN paged THEN CASE WHEN coalesce(n, 0) > 0 THEN hits / n ELSE 0 END END) AS evidence_precision, avg(coalesce(dh, false)::INT) AS document_hit_rate, count(*) FILTER (coalesce(n, 0) = 0) AS no_evidence_count FROM counted JOIN g USING (question_id) LEFT JOIN per USING (question_id) GROUP BY 1),
+j AS (SELECT group_id, question_id, unnest(['a', 'b', 'c']) AS model, unnest([k % 3, CASE WHEN k % 7 <> 0 THEN k % 5 / 2 END, NULL]) AS score FROM r),
+jm AS (SELECT group_id, round(avg(score) FILTER (model = 'a'), 4) AS judge_a, round(avg(score) FILTER (model = 'b'), 4) AS judge_b FROM j GROUP BY 1), jd AS (SELECT group_id, count(*) AS disagreements FROM (SELECT group_id, question_id FROM j WHERE score IS NOT NULL GROUP BY 1, 2 HAVING min(score) < max(score)) GROUP BY 1),
+c AS (SELECT group_id, round(avg(CASE WHEN method <> 'agentic' THEN CASE WHEN method = 'auto' THEN k % 3 + 1 ELSE 1 END END), 6) AS searches, round(avg(k % 4 + 1), 6) AS average_llm_call_count, round(avg((k % 2 = 0)::INT) FILTER (method = 'auto'), 6) AS first_choice_hit_rate, round(avg(k % 4) FILTER (method = 'agentic'), 6) AS steps, round(avg(k % 6) FILTER (method = 'agentic'), 6) AS average_agent_model_calls FROM r GROUP BY 1),
+s AS (SELECT group_id, method, {SUMMARY} FROM r GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {X6} SELECT s.* EXCLUDE (method), coalesce(c.searches, c.steps) AS average_search_steps, c.average_agent_model_calls, c.average_llm_call_count, c.first_choice_hit_rate, jm.judge_a, jm.judge_b, coalesce(jd.disagreements, 0) AS judge_disagreement_count,
+  round(evidence_hit_rate, 6) AS evidence_hit_rate, round(evidence_precision, 6) AS evidence_precision, round(document_hit_rate, 6) AS document_hit_rate, coalesce(no_evidence_count, 0) AS no_evidence_count,
+  CASE method WHEN 'global' THEN 'unsupported' WHEN 'auto' THEN 'computed_without_global' ELSE 'computed' END AS retrieval_metrics_status
+FROM s JOIN c USING (group_id) JOIN jm USING (group_id) LEFT JOIN jd USING (group_id) LEFT JOIN src USING (group_id)""")
 def x6_group_summary(spark: SparkSession, d: str) -> DataFrame:
-    r = experiments.with_grade(v.results(spark, d))
-    return rounded(experiments.group_summary(r, _totals(r, "group_id")), *ROUND).select("group_id", *COLUMNS)
+    """Groups of all kinds: plain, routed (some questions to global search), agentic (some without text units) and global."""
+    k = F.col("question_id")
+    method = F.element_at(F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair]), F.col("group_id"))
+    is_ = lambda m: method == m
+    r = experiments.with_grade(v.results(spark, d)).withColumns({
+        "effective_method": F.element_at(F.array(*map(F.lit, ("basic", "global", "local"))), (k % 3 + 1).cast("int")), "has_text_units": k % 2 == 0, "retrieval_metrics_status": F.lit(""),
+        "search_step_count": F.when(is_("agentic"), k % 4), "agent_call_count": F.when(is_("agentic"), k % 6),
+    })
+    totals = _totals(r, "group_id").withColumn("method", method)
+    items = metrics.evaluate_questions(r.select("question_id", F.lit("x").alias("method"), "duration_seconds"), v.evidence(spark, d), v.gold(spark, d)).join(r.select("question_id", "group_id"), "question_id")
+    spent = r.select("group_id", F.when(is_("auto"), k % 3 + 1).when(~is_("agentic"), F.lit(1)).alias("search_count"), (k % 4 + 1).alias("llm_call_count"), *[F.lit(None).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")], F.when(is_("auto"), F.lit("basic")).alias("first_method"), F.when(is_("auto"), k % 2 == 0).alias("first_choice_found"))
+    scores = F.array(F.struct(F.lit("a").alias("model"), (k % 3).cast("double").alias("score")), F.struct(F.lit("b").alias("model"), F.when(k % 7 != 0, k % 5 / 2).alias("score")), F.struct(F.lit("c").alias("model"), F.lit(None).cast("double").alias("score")))
+    panel = r.select("group_id", "question_id", F.inline(scores))
+    out = experiments.group_summary(r, totals, items=items, costs=spent, judges=panel)
+    more = ["average_search_steps", "average_agent_model_calls", "average_llm_call_count", "first_choice_hit_rate", "evidence_hit_rate", "evidence_precision", "document_hit_rate"]
+    cells = [F.try_element_at("judge_average_scores", F.lit(m)).alias(f"judge_{m}") for m in ("a", "b")]
+    return rounded(out, *ROUND, *more).select("group_id", *COLUMNS, *more, *cells, "judge_disagreement_count", "no_evidence_count", "retrieval_metrics_status")
 
 
 @query("WITH " + v.RESULTS + " SELECT group_id, quantile_disc(duration_seconds, 0.95) AS p95 FROM results GROUP BY 1")
 def x7_p95_latency(spark: SparkSession, d: str) -> DataFrame:
-    return v.results(spark, d).groupBy("group_id").agg(experiments.p95_latency().alias("p95"))
+    return experiments.p95_latency(v.results(spark, d), "group_id").withColumnRenamed("p95_latency_seconds", "p95")
 
 
 @query("WITH " + v.RESULTS + ", g AS (SELECT DISTINCT group_id FROM results), s AS (SELECT dataset_id, count(*) AS n FROM results GROUP BY 1), r AS (SELECT group_id, dataset_id, count(*) FILTER (actual_answer <> '') AS answered, count(*) FILTER (grade = 2) AS correct FROM results WHERE question_id % 2 = 0 GROUP BY 1, 2) SELECT g.group_id, s.dataset_id, n AS question_count, coalesce(answered, 0) AS answered, round(coalesce(correct, 0) / n, 6) AS accuracy FROM g CROSS JOIN s LEFT JOIN r ON r.group_id = g.group_id AND r.dataset_id = s.dataset_id")
@@ -300,12 +333,26 @@ def r8_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("WITH e AS (SELECT l_suppkey, l_partkey, count(*) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, 's' || l_suppkey, 'p' || l_partkey) AS n FROM e) SELECT l_suppkey AS query_id, 'p' || l_partkey AS target, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 5")
+def _local(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A query for each supplier finds it and the two next ones; parts are linked to suppliers, units are parts and their sizes."""
+    li = table(spark, d, "lineitem")
+    rel = li.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    top = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.posexplode(F.array(*[F.concat(F.lit("s"), F.col("s_suppkey") + i) for i in range(3)])).alias("rank", "entity_id")).withColumn("rank", F.col("rank") + 1)
+    units = li.select(F.concat(F.lit("s"), "l_suppkey").alias("entity_id"), F.concat(F.lit("u"), F.col("l_partkey") % 97).alias("unit_id"))
+    return retrieval.local_expand(top, rel, units, 5, most=20)
+
+
+LOCAL = """top AS (SELECT s_suppkey AS query_id, i + 1 AS rank, s_suppkey + i AS s FROM supplier, range(3) t(i))"""
+
+
+@query(f"WITH {LOCAL}, e AS (SELECT l_suppkey, l_partkey, count(*) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT query_id, 's' || l_suppkey AS source, 'p' || l_partkey AS target, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, 's' || l_suppkey, 'p' || l_partkey) AS n FROM top JOIN e ON e.l_suppkey = top.s) SELECT query_id, source, target, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 5")
 def r9_local_expand(spark: SparkSession, d: str) -> DataFrame:
-    rel = table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
-    top = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.lit(1).alias("rank"), F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
-    units = rel.select(F.col("source").alias("entity_id"), F.col("target").alias("unit_id"))
-    return retrieval.local_expand(top, rel, units, 5)[0].select("query_id", "target", "rank")
+    return _local(spark, d)[0].select("query_id", "source", "target", "rank")
+
+
+@query(f"WITH {LOCAL}, u AS (SELECT DISTINCT l_suppkey, 'u' || (l_partkey % 97) AS unit_id FROM lineitem), g AS (SELECT query_id, unit_id, CAST(min(rank) AS INTEGER) AS entity_rank, count(*) AS entities FROM top JOIN u ON u.l_suppkey = top.s GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY entity_rank, entities DESC, unit_id) AS INTEGER) AS position FROM g) SELECT * FROM r WHERE position <= 20")
+def r9_local_units(spark: SparkSession, d: str) -> DataFrame:
+    return _local(spark, d)[1].select("query_id", "unit_id", "entity_rank", "entities", "position")
 
 
 @query("WITH " + v.COMMUNITIES + " SELECT community, rank FROM reports WHERE level <= 1")
@@ -366,9 +413,9 @@ def g7_recent_queries(spark: SparkSession, d: str) -> DataFrame:
     return graph.recent_queries(v.log(spark, d))[1].select("ordinal", "method", "duration_seconds")
 
 
-@query("WITH " + LINKS + ", both_ AS (SELECT source_position AS position, target_position AS other, weight FROM links UNION ALL SELECT target_position, source_position, weight FROM links), h AS (SELECT position FROM entities ORDER BY coalesce(degree, 0) DESC, id LIMIT 8) SELECT position, other, weight FROM both_ WHERE position IN (SELECT position FROM h)")
+@query("WITH " + LINKS + ", both_ AS (SELECT source_position AS position, target_position AS other, weight FROM links UNION ALL SELECT target_position, source_position, weight FROM links), h AS (SELECT position FROM entities ORDER BY coalesce(degree, 0) DESC, id LIMIT 8) SELECT position, other, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY weight DESC, other) AS rank FROM both_ WHERE position IN (SELECT position FROM h)) WHERE rank <= 60")
 def g8_hub_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = v.entities(spark, d)
     nodes = graph.graph_nodes(e, graph.top_regions(*v.communities(spark, d)))
     top = graph.hubs(nodes).select("id").join(e.select("id", "position"), "id").select("position")
-    return graph.neighbours(graph.graph_links(v.relationships(spark, d), e), top).drop("rank")
+    return graph.neighbours(graph.graph_links(v.relationships(spark, d), e), top, 60)

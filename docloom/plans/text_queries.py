@@ -596,12 +596,11 @@ def q12_approved_questions(spark: SparkSession, d: str) -> DataFrame:
     return sampling.approved_questions(b, u)[1].select("question_id")
 
 
-@query("SELECT source AS document_id, count(*) AS n, sum(least(length(text), 50)) AS chars FROM documents GROUP BY 1")
+@query("WITH n AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) - 1) // 20 AS b FROM documents) SELECT source AS document_id, CAST(b + 1 AS INTEGER) AS batch, count(*) AS n, sum(least(length(text), 2500)) AS chars, min(CAST(doc_id AS VARCHAR)) AS first FROM n GROUP BY 1, 2")
 def q13_source_payload(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.col("lang").alias("section_id"), "text")
-    cells = F.from_json("sources", "array<struct<text:string>>")
-    out = sampling.source_payload(s, 50).withColumn("c", cells)
-    return out.select("document_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"])).alias("chars"))
+    out = sampling.source_payload(s, batch=20).withColumn("c", F.from_json("sources", "array<struct<sample_id:string,text:string>>"))
+    return out.select("document_id", "batch", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"])).alias("chars"), F.col("c")[0]["sample_id"].alias("first"))
 
 
 # ---- question sets ----
