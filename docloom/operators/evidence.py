@@ -42,7 +42,7 @@ def metadata_error(missing: DataFrame, shown: int = 3) -> DataFrame:
 
 
 def _named_items(context: str | None, names: list[str]) -> Iterator[tuple[str, dict]]:
-    """(name, item) of the objects in arrays of these names: an object's own arrays, then what its other keys hold."""
+    """(name, item) of the objects in arrays of these names: an object's own arrays, then what its keys of other names hold."""
     try:
         open_ = [json.loads(context)] if context is not None else []
     except ValueError:
@@ -55,7 +55,7 @@ def _named_items(context: str | None, names: list[str]) -> Iterator[tuple[str, d
                 for item in value[name]:
                     if isinstance(item, dict):
                         yield name, item
-            value = [x for k, x in value.items() if k not in own]
+            value = [x for k, x in value.items() if k not in names]
         if isinstance(value, list):
             open_ += [x for x in reversed(value) if isinstance(x, dict | list)]
 

@@ -556,12 +556,23 @@ def q6_representative_samples(spark: SparkSession, d: str) -> DataFrame:
     return sampling.representative_samples(v.chunks(spark, d), 5).select("chunk_id")
 
 
-@query()
+def folded_sql(x: str) -> str:
+    """normalize_question() of texts without compatibility characters."""
+    return rf"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+@query(f"WITH {v.QA} SELECT question_id, {folded_sql('question')} AS normalized FROM qa")
 def q7_normalize_question(spark: SparkSession, d: str) -> DataFrame:
     return v.qa(spark, d).select("question_id", sampling.normalize_question(F.col("question")).alias("normalized"))
 
 
-@query()
+_first = "SELECT round, document_id, position, question, norm FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY document_id, position) AS n FROM g WHERE round = {k}{more}) WHERE n = 1"
+_more = " AND document_id NOT IN (SELECT document_id FROM {a} GROUP BY 1 HAVING count(*) >= 5) AND norm NOT IN (SELECT norm FROM {a})"
+
+
+@query(rf"""WITH w AS (SELECT CAST(doc_id % 3 + 1 AS INTEGER) AS round, source AS document_id, doc_id AS position, array_to_string(string_split_regex(text, '\s+')[1:2], ' ') AS question FROM documents), g AS MATERIALIZED (SELECT *, {folded_sql('question')} AS norm FROM w WHERE {folded_sql('question')} <> ''),
+a1 AS MATERIALIZED ({_first.format(k=1, more='')}), a2 AS MATERIALIZED (SELECT * FROM a1 UNION ALL {_first.format(k=2, more=_more.format(a='a1'))}), a3 AS (SELECT * FROM a2 UNION ALL {_first.format(k=3, more=_more.format(a='a2'))})
+SELECT round, document_id, position, question FROM a3""")
 def q8_dedupe_questions(spark: SparkSession, d: str) -> DataFrame:
     return sampling.dedupe_questions(v.generated(spark, d), 5).select("round", "document_id", "position", "question")
 
@@ -671,9 +682,13 @@ def e10_recent_manual(spark: SparkSession, d: str) -> DataFrame:
     return questions.recent_manual(v.log(spark, d)).select("query_id", "question")
 
 
-@query("WITH a AS (SELECT conv_id, turn FROM conversations WHERE role = 'user') SELECT 'id' AS kind, conv_id || '-' || turn AS value FROM a WHERE conv_id % 10 = 0")
+@query(f"""WITH u AS (SELECT conv_id, conv_id || '-' || turn AS question_id, CASE WHEN conv_id % 7 = 0 THEN ' Again?? ' || conv_id % 3 WHEN conv_id % 11 = 0 THEN ' ?! ' ELSE text END AS question FROM conversations WHERE role = 'user'), n AS (SELECT *, {folded_sql('question')} AS n FROM u WHERE conv_id % 10 <> 0)
+SELECT 'id' AS kind, question_id AS value FROM u WHERE conv_id % 10 = 0 UNION ALL SELECT 'blank', question_id FROM n WHERE n = '' UNION ALL SELECT 'duplicate', n FROM n WHERE n <> '' GROUP BY n HAVING count(*) > 1""")
 def e11_check_edit(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.concat_ws(" ", "text", F.concat_ws("x", "conv_id", "turn")).alias("question"))
+    """An edit that loses questions, repeats some and leaves some without a letter."""
+    k = F.col("conv_id")
+    question = F.when(k % 7 == 0, F.concat(F.lit(" Again?? "), k % 3)).when(k % 11 == 0, " ?! ").otherwise(F.col("text"))
+    c = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("question_id"), question.alias("question"))
     return questions.check_edit(c, c.filter("conv_id % 10 <> 0"))
 
 
@@ -890,6 +905,22 @@ def l1_workflow_progress(spark: SparkSession, d: str) -> DataFrame:
     return streams.workflow_progress(lines.unionByName(start)).select("run_id", "completed", "total")
 
 
+@query("SELECT user_id AS run_id, CAST(count(DISTINCT event_type) FILTER (event_type IN ('view', 'click', 'signup')) AS INTEGER) AS completed, 3 AS total, round(count(DISTINCT event_type) FILTER (event_type IN ('view', 'click', 'signup')) / 3, 6) AS fraction FROM events GROUP BY 1")
+def l1_stream_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines as a stream of several files; the last row of each run."""
+    e = table(spark, d, "events")
+    lines = e.select(F.col("user_id").alias("run_id"), (F.col("event_id") + 1).alias("line_no"), F.concat(F.lit("Workflow complete: "), "event_type").alias("line"))
+    start = e.select(F.col("user_id").alias("run_id")).distinct().select("run_id", F.lit(0).cast("long").alias("line_no"), F.lit("Starting pipeline with workflows: view, click, signup").alias("line"))
+    path, out = scratch(spark, "console"), scratch(spark, "progress")
+    lines.unionByName(start).repartition(3, "line_no").write.parquet(path)
+    stream = spark.readStream.schema("run_id bigint, line_no bigint, line string").option("maxFilesPerTrigger", 1).parquet(path)
+    rows = streams.workflow_progress(stream)
+    job = rows.writeStream.outputMode("update").foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).option("checkpointLocation", scratch(spark, "l1-check")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    last = spark.read.parquet(out).groupBy("run_id").agg(F.max_by(F.struct("completed", "total", "fraction"), "batch").alias("x"))
+    return last.select("run_id", "x.completed", "x.total", F.round("x.fraction", 6).alias("fraction"))
+
+
 def _log_files(spark: SparkSession, d: str) -> str:
     path = scratch(spark, "stream-log")
     v.log(spark, d).select(F.col("query_id").cast("string"), "method", "status", "started_at", "duration_seconds").write.json(path)

@@ -17,19 +17,32 @@ ITEM = r"(?U)^\s*(\d+)\s*/\s*(\d+)\s"
 # ---- end of fixed values ----
 
 
-def workflow_progress(lines: DataFrame) -> DataFrame:
-    """L1: lines(run_id, line_no, line) to completed and total workflows, the current one and the fraction done."""
+def _parsed(lines: DataFrame) -> DataFrame:
+    """What each console line says: a list of workflows, one that starts or ends, or items done."""
     got = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
-    rows = lines.select("run_id", "line_no", got(PIPELINE).alias("names"), got(START).alias("start"), got(END).alias("end"), F.regexp_extract("line", ITEM, 1).try_cast("double").alias("done"), F.regexp_extract("line", ITEM, 2).try_cast("double").alias("of"))
+    return lines.select("run_id", F.col("line_no").cast("long").alias("line_no"), got(PIPELINE).alias("names"), got(START).alias("start"), got(END).alias("end"), F.regexp_extract("line", ITEM, 1).try_cast("double").alias("done"), F.regexp_extract("line", ITEM, 2).try_cast("double").alias("of"))
+
+
+def workflow_progress(lines: DataFrame) -> DataFrame:
+    """L1: lines(run_id, line_no, line) to completed and total workflows, the current one and the fraction done.
+
+    One aggregation of the last line of each kind, so it holds for a table and for a stream (in update
+    mode: the rows of runs with new lines, for the lines so far, in whatever order they came). The state
+    of a run is some values and the names of its workflows.
+    """
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
-    last = rows.groupBy("run_id").agg(F.max_by("names", at("names")).alias("names"), F.max_by("start", at("start")).alias("start"), F.max(at("start")).alias("start_at"), F.max(at("end")).alias("end_at"), F.collect_set("end").alias("ended"))
+    item = F.col("done").isNotNull() & F.col("start").isNull() & F.col("end").isNull() & F.col("names").isNull()
+    part = F.when(F.col("of") > 0, F.least(F.try_divide("done", "of"), F.lit(1.0))).otherwise(0.0)
+    last = _parsed(lines).groupBy("run_id").agg(
+        F.max_by("names", at("names")).alias("names"), F.max_by("start", at("start")).alias("start"), F.max(at("start")).alias("start_at"), F.max(at("end")).alias("end_at"), F.collect_set("end").alias("ended"),
+        F.max_by(part, F.when(item, F.col("line_no"))).alias("share"), F.max(F.when(item, F.col("line_no"))).alias("item_at"),
+    )
     last = last.withColumn("current", F.when(F.col("start_at") > F.coalesce("end_at", F.lit(-1)), F.col("start")))
-    items = rows.filter("done is not null and start is null and end is null and names is null").join(last.select("run_id", "start_at", "current"), "run_id").filter("current is not null and line_no > start_at")
-    share = items.groupBy("run_id").agg(F.max_by(F.when(F.col("of") > 0, F.least(F.col("done") / F.col("of"), F.lit(1.0))).otherwise(0.0), "line_no").alias("share"))
     names = F.filter(F.transform(F.split("names", ","), lambda x: F.trim(x)), lambda x: x != "")
-    out = last.join(share, "run_id", "left").withColumn("w", F.coalesce(names, F.array().cast("array<string>")))
+    out = last.withColumn("w", F.coalesce(names, F.array().cast("array<string>")))
+    share = F.when(F.col("current").isNotNull() & (F.col("item_at") > F.col("start_at")), F.col("share")).otherwise(0.0)
     total, done = F.size("w"), F.size(F.array_intersect(F.array_distinct("w"), "ended"))
-    fraction = F.when(total > 0, F.least((done + F.coalesce("share", F.lit(0.0))) / total, F.lit(1.0))).otherwise(0.0)
+    fraction = F.when(total > 0, F.least(F.try_divide(done + F.coalesce(share, F.lit(0.0)), total), F.lit(1.0))).otherwise(0.0)
     return out.select("run_id", F.when(total > 0, done).otherwise(0).alias("completed"), total.alias("total"), "current", fraction.alias("fraction"))
 
 
