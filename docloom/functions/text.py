@@ -104,15 +104,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 # ---- headings and page furniture ----
 def is_section_heading(line: Column) -> Column:
-    value = collapse(line)
-    words = F.split(value, " ")
-    rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    brand = F.exists(rest, lambda w: w.rlike("^.(?=.*[A-Z])(?=.*[a-z])") | w.rlike("^[^a-z]{2,5}$"))
-    latin = value.rlike(LATIN_HEADING) & ~F.lower(words[0]).isin(HEADING_STOP_WORDS) & brand
-    action = value.rlike(ACTION_HEADING) & ~value.rlike("[。，；;]")
-    closed = value.rlike("[" + "".join(CLOSING) + "]$")
-    plain = (value != "") & (F.length(value) <= 48) & ~value.rlike(BULLET) & ~closed
-    return F.coalesce(plain & (value.rlike(NUMBERED_HEADING) | latin | action), F.lit(False))
+    """Is a line a heading? Short lines only, so its parts are looked at in this order."""
+
+    def of(value: Column) -> Column:
+        words = F.split(value, " ")
+        rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+        brand = F.exists(rest, lambda w: w.rlike("^.(?=.*[A-Z])(?=.*[a-z])") | w.rlike("^[^a-z]{2,5}$"))
+        latin = value.rlike(LATIN_HEADING) & ~F.lower(words[0]).isin(HEADING_STOP_WORDS) & brand
+        action = value.rlike(ACTION_HEADING) & ~value.rlike("[。，；;]")
+        closed = value.rlike("[" + "".join(CLOSING) + "]$")
+        plain = (value != "") & (F.length(value) <= 48) & ~value.rlike(BULLET) & ~closed
+        return F.coalesce(plain & (value.rlike(NUMBERED_HEADING) | latin | action), F.lit(False))
+
+    return let(collapse(line), of)
 
 
 def strip_leading_folio(text: Column) -> Column:

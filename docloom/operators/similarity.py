@@ -8,7 +8,6 @@ if they share an element of their prefixes; candidates meet on that and are then
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.operators.components import components
@@ -26,17 +25,22 @@ def similar_sets(sets: DataFrame, share: float, ratio: float, by: str) -> DataFr
     scope = ["scope"] if "scope" in sets.columns else []
     sets = kept(sets.filter(F.size("grams") > 0).withColumn("n", F.size("grams")))
     cells = sets.select("id", "n", *scope, F.explode("grams").alias("gram"))
-    often = cells.groupBy("gram", *scope).agg(F.count(F.lit(1)).alias("often"))
-    ranked = cells.join(often, ["gram", *scope]).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("often", "gram")))
+    often = cells.groupBy("gram", *scope).agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # elements of one set alone come first in its order: they take up room in a prefix and meet nothing
+    shared = cells.join(often, ["gram", *scope]).groupBy("id", "n", *scope).agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("order"))
+    alone = F.col("n") - F.size("order")
     low = share * ratio if by == "containment" else share
-    prefix = lambda x: F.col("n") - F.ceil(F.round(F.col("n") * x, 9)) + 1
-    # an element of one set alone takes up room in a prefix but meets nothing
-    index = kept(ranked.filter((F.col("often") > 1) & (F.col("rank") <= prefix(low))))
+    prefix = lambda x: (F.col("n") - F.ceil(F.round(F.col("n") * x, 9)) + 1).cast("int")
+    first = shared.withColumn("_alone", alone).withColumn("_first", F.slice("order", F.lit(1), F.greatest(prefix(low) - F.col("_alone"), F.lit(0))))
+    index = kept(first.select("id", "n", *scope, "_alone", F.posexplode("_first").alias("k", "x")).select("id", "n", *scope, F.col("x.gram").alias("gram"), (F.col("k") + 1 + F.col("_alone")).alias("rank")))
     probe = index.filter(F.col("rank") <= prefix(share))
-    a = probe.select(*scope, "gram", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    b = index.select(*scope, "gram", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    a = probe.select(*scope, "gram", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rank").alias("r_a"))
+    b = index.select(*scope, "gram", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rank").alias("r_b"))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = a.join(b, [*scope, "gram"]).filter(smaller & (F.col("n_a") >= ratio * F.col("n_b"))).select("a", "b").distinct()
+    # after the first common element no more can be shared than the shorter rest
+    need = share * F.col("n_a") if by == "containment" else share / (1 + share) * (F.col("n_a") + F.col("n_b"))
+    enough = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) >= need - 1e-6
+    met = a.join(b, [*scope, "gram"]).filter(smaller & (F.col("n_a") >= ratio * F.col("n_b")) & enough).select("a", "b").distinct()
     left, right = (sets.select(F.col("id").alias(x), F.col("grams").alias(f"g_{x}")) for x in "ab")
     same = F.size(F.array_intersect("g_a", "g_b"))
     whole = F.size("g_a") if by == "containment" else F.size("g_a") + F.size("g_b") - same
