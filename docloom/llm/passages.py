@@ -27,8 +27,8 @@ most ``SETTLE`` members are settled in a task: in order, every member meets thos
 yet. Larger groups take further rounds.
 
 Words: runs of anything but white space, ASCII lower case. Null, empty and short texts have no
-windows. Texts of any length are cut whole. Repeats within one document, and rows that repeat one
-doc_id, are not reported; rows without doc_id take no part. Other columns, of any name, are ignored.
+windows. Texts of any length are cut whole. Repeats within one document, or between rows of one doc_id,
+are not reported; other repeats of each of these rows are. Rows without doc_id take no part. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -398,11 +398,44 @@ def regrouped(seen: DataFrame) -> DataFrame:
     return again.select("doc_id", "place", "other_id", "head_place", F.explode("lack").alias("g")).select(F.xxhash64("other_id", "head_place", "g").alias("key"), "doc_id", "place").distinct()
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(docs with an id for each text, (_row, _own) of the ids that stand for a repeated doc_id, or None).
+
+    Rows that share a doc_id but not their text are documents of their own until the results are named.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    twice = kept(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_own")))
+    if not twice.head(1):
+        return rows, None
+    same = F.col("doc_id") == F.col("_own")
+    row = F.xxhash64("doc_id", "text")
+    named = kept(rows.join(twice, same).select(row.alias("_row"), F.col("doc_id").alias("_own")).distinct())
+    single = rows.join(twice, same, "left_anti")
+    return single.unionByName(rows.join(twice, same, "left_semi").select(row.alias("doc_id"), "text").dropDuplicates(["doc_id"])), named
+
+
+def named_again(found: DataFrame, names: DataFrame) -> DataFrame:
+    """Passages with doc_ids in place of the rows' ids, the smaller one as the other; none within one doc_id."""
+    for c in ("doc_id", "other_id"):
+        found = found.join(names, F.col(c) == F.col("_row"), "left").withColumn(c, F.coalesce("_own", c)).drop("_row", "_own")
+    swap = F.col("doc_id") < F.col("other_id")
+    pairs = {"doc_id": "other_id", "start_word": "other_start", "end_word": "other_end"}
+    turned = {a: F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in (pairs | {b: a for a, b in pairs.items()}).items()}
+    return found.filter("doc_id <> other_id").select(*[turned.get(c, F.col(c)).alias(c) for c in found.columns]).distinct()
+
+
 def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORDS, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, other_id, start_word, end_word, other_start, other_end, n_words, similarity).
 
-    A passage of doc_id that repeats one of other_id, a representative of its class; ends exclusive.
+    A passage of doc_id that repeats one of other_id, a representative of its class; ends exclusive. Rows
+    that share a doc_id are looked at text by text.
     """
+    docs, names = apart(docs)
+    found = _repeated(docs, hashes, least_words, width, similarity)
+    return found if names is None else named_again(found, names)
+
+
+def _repeated(docs: DataFrame, hashes: int, least_words: int, width: int, similarity: float) -> DataFrame:
     rest = kept(members(windows(docs, hashes)))
     blocks = written(shingle_blocks(docs, rest.select("doc_id", block_of("place").alias("block")).distinct(), width), "passages")
     out, size = None, rest.count()

@@ -52,3 +52,16 @@ def test_near_copies_beyond_eight_bits_are_found(spark):
             rows += [(len(rows), a), (len(rows) + 1, b)]
     left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in left) == [*range(0, 40, 2)]
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Each of two texts of one doc_id is compared: every exact copy is found, and nothing within the doc_id."""
+    rows = []
+    for k in range(20):
+        shared = words(3000 + k, 60)
+        one, two = [*words(1 + k, 30), *shared], [*words(100 + k, 80), *(words(200 + k, 30) if k % 2 else shared)]
+        if not k % 2:
+            one = words(300 + k, 90)
+        rows += [(2 * k, " ".join(one)), (2 * k, " ".join(two)), (2 * k, " ".join(two)), (2 * k + 1, " ".join([*shared, *words(400 + k, 20)]))]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(20)}
