@@ -5,9 +5,10 @@ more of them. Nodes are dealt to shards of about SHARD by a hash. Each shard's t
 come in growing batches; a greedy search with a beam over the graph so far proposes neighbours, and a
 node keeps the nearest of them, then the nearest that no kept one is ALPHA times nearer to than the node
 itself, until it has DEGREE edges. The edges are also put in the other way round, and nodes with too many
-are pruned by the same rule. Blocks of queries search every shard with a beam; the nodes of the beam get
-their exact cosine in double precision on the vectors as they came, and the shards' best are merged. The index is a
-written table, one row a shard, so a lost executor costs one shard.
+are pruned by the same rule. A second pass repeats this on the whole graph, searches start at ENTRIES
+nodes, and every node is reached from them. Blocks of queries search every shard with a beam; the nodes
+of the beam get their exact cosine in double precision on the vectors as they came, and the shards' best
+are merged. The index is a written table, one row a shard, so a lost executor costs one shard.
 
 Vectors that are null, empty or zero or hold null, NaN or infinite components take no part, nor do
 vectors of another length than the query's. Repeated vec_ids are rows of their own; a row is no candidate
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import kept, written
 
-#: Nodes of a shard (about), edges of a node, width of the beams, relaxation of the pruning rule.
-SHARD, DEGREE, BEAM, ALPHA = 4096, 32, 64, 1.2
-#: Beam entries whose edges are followed at once, points that search together, and a block of queries.
-AT_ONCE, BATCH, QUERY_BLOCK, SEND_BYTES = 4, 512, 512, 64 << 20
+#: Nodes of a shard (about), edges of a node, width of the beams of the build and of searches, relaxation of the pruning rule.
+SHARD, DEGREE, BEAM, WIDE, ALPHA = 4096, 32, 64, 192, 1.2
+#: Beam entries whose edges are followed at once, nodes where a search starts, points that search together, and a block of queries.
+AT_ONCE, ENTRIES, BATCH, QUERY_BLOCK, SEND_BYTES = 4, 32, 512, 512, 64 << 20
 
 
 def valid(x: Column) -> Column:
@@ -44,14 +45,17 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def beam(points: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def beam(points: np.ndarray, edges: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, similarities), best first, of a greedy search for each row of q; node -1 where there are fewer."""
     nodes = np.full((len(q), width), -1, np.int32)
     score = np.full((len(q), width), -np.inf, np.float32)
     followed = np.zeros((len(q), width), bool)
-    nodes[:, 0], score[:, 0] = entry, q @ points[entry]
+    entries = entries[:width]
+    begin = q @ points[entries].T
+    order = np.argsort(-begin, 1, kind="stable")
+    nodes[:, : len(entries)], score[:, : len(entries)] = entries[order], np.take_along_axis(begin, order, 1)
     seen = np.zeros((len(q), len(points)), bool)
-    seen[:, entry] = True
+    seen[:, entries] = True
     live = np.arange(len(q))
     while len(live):
         open_ = ~followed[live] & (nodes[live] >= 0)
@@ -108,19 +112,19 @@ def pruned(points: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
     return out
 
 
-def graph(points: np.ndarray) -> tuple[np.ndarray, int]:
-    """(edges: DEGREE nodes or -1 of each point, the node where searches start) for points of length 1."""
+def graph(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges: nodes or -1 of each point, the nodes where searches start) for points of length 1.
+
+    Two passes over the points: the second one searches the whole graph. Nodes that no path reaches then get
+    an edge from the nearest that has one, so rows may be a little wider than DEGREE.
+    """
     n = len(points)
-    entry = int(np.argmax(points @ points.mean(0)))
+    middle = int(np.argmax(points @ points.mean(0)))
     edges = np.full((n, DEGREE), -1, np.int32)
     order = np.random.default_rng(1).permutation(n)
-    order = np.concatenate([[entry], order[order != entry]]).astype(np.int32)
-    done = 0
-    while done < n:
-        new = order[done : done + min(BATCH, max(128, done // 4))]
-        near = beam(points, edges, entry, points[new], BEAM)[0] if done else np.zeros((len(new), 0), np.int32)
-        if done < 2 * BATCH:  # while there are few, those of the batch see each other too
-            near = np.concatenate([near, np.broadcast_to(new, (len(new), len(new)))], 1)
+    order = np.concatenate([[middle], order[order != middle]]).astype(np.int32)
+
+    def put(new: np.ndarray, near: np.ndarray) -> None:
         edges[new] = pruned(points, new, near)
         # the other way round
         src, dst = np.repeat(new, DEGREE), edges[new].ravel()
@@ -133,8 +137,47 @@ def graph(points: np.ndarray) -> tuple[np.ndarray, int]:
                 slot = np.arange(count[mine].max())
                 more = np.where(slot < count[mine][:, None], src[np.minimum(first[mine][:, None] + slot, len(src) - 1)], -1)
                 edges[to[mine]] = _joined(points, to[mine], edges[to[mine]], more)
+
+    done = 0
+    while done < n:
+        new = order[done : done + min(BATCH, max(128, done // 4))]
+        near = beam(points, edges, order[: min(done, ENTRIES)], points[new], BEAM)[0] if done else np.zeros((len(new), 0), np.int32)
+        if done < 2 * BATCH:  # while there are few, those of the batch see each other too
+            near = np.concatenate([near, np.broadcast_to(new, (len(new), len(new)))], 1)
+        put(new, near)
         done += len(new)
-    return edges, entry
+    entries = order[:ENTRIES]
+    for a in range(0, n, BATCH):
+        new = order[a : a + BATCH]
+        put(new, np.concatenate([beam(points, edges, entries, points[new], BEAM)[0], edges[new]], 1))
+    return _reached(points, edges, entries), entries
+
+
+def _reached(points: np.ndarray, edges: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The edges and further ones, so that paths lead from the entries to every node."""
+    n = len(points)
+    found = np.zeros(n, bool)
+    open_ = entries
+    more: dict[int, list[int]] = {}
+    while True:
+        while len(open_):
+            found[open_] = True
+            near = np.unique(edges[open_])
+            open_ = near[(near >= 0) & ~found[near]]
+        left = np.flatnonzero(~found)
+        if not len(left):
+            break
+        # some at once: the nearest reached node of each gets an edge, and what they lead to is reached as well
+        left = left[:BATCH]
+        have = np.flatnonzero(found)
+        for node, k in zip(left.tolist(), (points[left] @ points[have].T).argmax(1).tolist(), strict=True):
+            more.setdefault(int(have[k]), []).append(node)
+        open_ = left
+    wide = max(map(len, more.values()), default=0)
+    extra = np.full((n, wide), -1, np.int32)
+    for node, to in more.items():
+        extra[node, : len(to)] = to
+    return np.concatenate([edges, extra], 1)
 
 
 def _joined(points: np.ndarray, at: np.ndarray, old: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -154,7 +197,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, k: int = 5, shard: int = SHARD) -> DataFrame:
-    """One row a shard and length of vectors(vec_id, embedding): dim, n, mat, edges, entry, ids (of each node up to k + 1)."""
+    """One row a shard and length of vectors(vec_id, embedding): dim, n, mat, edges, entries, ids (of each node up to k + 1)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x")).filter(valid(F.col("x")))
     rows = rows.withColumn("h", F.xxhash64("x"))
     nth = F.row_number().over(W.partitionBy("h", "x").orderBy(F.asc_nulls_last("id")))
@@ -167,11 +210,11 @@ def build_index(vectors: DataFrame, k: int = 5, shard: int = SHARD) -> DataFrame
         dim = key[1].as_py()
         mat = _matrix(group["x"], dim)
         x, size = unit(mat)
-        edges, entry = graph((x / size[:, None]).astype(np.float32))
+        edges, entries = graph((x / size[:, None]).astype(np.float32))
         ids = pa.array([group["ids"].combine_chunks().to_pylist()], pa.list_(pa.list_(pa.int64())))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(mat)], pa.int32()), "mat": [mat.tobytes()], "edges": [edges.tobytes()], "entry": pa.array([entry], pa.int32()), "ids": ids})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(mat)], pa.int32()), "mat": [mat.tobytes()], "edges": [edges.tobytes()], "entries": [entries.tobytes()], "ids": ids})
 
-    return written(dealt.groupBy("shard", "dim").applyInArrow(make, "dim int, n int, mat binary, edges binary, entry int, ids array<array<bigint>>"), "graphs")
+    return written(dealt.groupBy("shard", "dim").applyInArrow(make, "dim int, n int, mat binary, edges binary, entries binary, ids array<array<bigint>>"), "graphs")
 
 
 def _packed(queries: DataFrame) -> DataFrame:
@@ -198,7 +241,7 @@ def _packed(queries: DataFrame) -> DataFrame:
     return queries.select("id", "key", "copies", "x").mapInArrow(pack, "q_dim int, q_n int, q_ids binary, q_keys binary, q_copies binary, q_mat binary")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = BEAM) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = WIDE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found in the index for each row of queries(vec_id, embedding), itself not among them."""
     rows = queries.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & valid(F.col("x")))
     one = rows.groupBy("id", "x").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", F.xxhash64("x"))
@@ -208,7 +251,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = BEAM)
         pairs = index.join(F.broadcast(asked), F.col("dim") == F.col("q_dim"))
     else:  # blocks of queries are dealt to every group of shards
         groups = max(1, index.count() // 16)
-        pairs = index.withColumn("g", F.pmod(F.xxhash64("entry", "n", "mat"), F.lit(groups))).join(asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").filter("dim = q_dim").drop("g")
+        pairs = index.withColumn("g", F.pmod(F.xxhash64("entries", "n", "mat"), F.lit(groups))).join(asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").filter("dim = q_dim").drop("g")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +264,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = BEAM)
                 q = np.frombuffer(cell["q_mat"].as_py(), np.float64).reshape(-1, dim)
                 q_ids, q_keys, q_copies = (np.frombuffer(cell[c].as_py(), np.int64) for c in ("q_ids", "q_keys", "q_copies"))
                 (v, v_size), (w, w_size) = unit(mat), unit(q)
-                nodes, _ = beam((v / v_size[:, None]).astype(np.float32), edges, cell["entry"].as_py(), (w / w_size[:, None]).astype(np.float32), width)
+                nodes, _ = beam((v / v_size[:, None]).astype(np.float32), edges, np.frombuffer(cell["entries"].as_py(), np.int32), (w / w_size[:, None]).astype(np.float32), width)
                 row, col = np.nonzero(nodes >= 0)
                 node = nodes[row, col]
                 score = np.full(nodes.shape, -np.inf)

@@ -69,7 +69,7 @@ def test_rerank_of_the_pruning_rule():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    edges, entry = neighbours.graph(x)
+    edges, entries = neighbours.graph(x)
     far = lambda a, b: math.sqrt(max(0.0, 2 - 2 * float(x[a] @ x[b])))
     at = np.arange(5, dtype=np.int32)
     near = np.broadcast_to(np.arange(300, dtype=np.int32), (5, 300))
@@ -79,7 +79,7 @@ def test_rerank_of_the_pruning_rule():
             if len(kept) < neighbours.DEGREE and all(neighbours.ALPHA * far(k, c) > far(p, c) for k in kept):
                 kept.append(c)
         assert kept == [c for c in row.tolist() if c >= 0]
-    seen, open_ = {entry}, [entry]
+    seen, open_ = {*entries.tolist()}, entries.tolist()
     while open_:
         new = {c for c in edges[open_.pop()].tolist() if c >= 0} - seen
         seen |= new
@@ -87,6 +87,25 @@ def test_rerank_of_the_pruning_rule():
     assert len(seen) == 300
 
 
+def test_recall_beside_a_dense_cluster():
+    """Thousands of near copies in one place lead no search astray, and their own neighbours are found."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2400, 32))
+    x[:1000] = x[0] + 0.1 * rng.normal(size=(1000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    edges, entries = neighbours.graph(x)
+    q = np.arange(0, 2400, 20)
+    s = x[q] @ x.T
+    best, got = np.argsort(-s, 1)[:, :6], neighbours.beam(x, edges, entries, x[q], neighbours.WIDE)[0]
+    assert np.mean([len({*a.tolist()} & {*b.tolist()}) / 6 for a, b in zip(best, got, strict=True)]) >= 0.97
+    seen, open_ = {*entries.tolist()}, entries.tolist()
+    while open_:
+        new = {c for c in edges[open_.pop()].tolist() if c >= 0} - seen
+        seen |= new
+        open_ += new
+    assert len(seen) == 2400
+
+
 def test_copies_ties_and_odd_rows(spark):
     rng = random.Random(4)
     v = lambda n=3: [rng.uniform(-2, 3) for _ in range(n)]
