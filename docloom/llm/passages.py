@@ -15,16 +15,16 @@ reaches bound the interval of the passage on both sides of the minimum. Both tex
 come from blocks of ``BLOCK`` words, and the passage is verified on them: it grows from the minimum
 outward as long as at least ``similarity`` of its shingles are common, and counts if both sides have
 ``least_words`` words and the Jaccard similarity of their shingle sets is ``similarity``. Blocks cut
-longer passages: a piece each.
+longer passages: a piece each, and every piece names the stretch that it and those next to it cover.
 
 If a member of a group repeats no passage of its representative, it may still repeat another member's. On
 50 words around c the two share all but (1 - s) / (1 + s) of the shingles (5), and not all of these can be
 the representative's, so among each one's six nearest shingles before c, or after it, that the
 representative lacks, one is common. Members meet again in groups of representative and such a shingle,
 in rounds until no group has two documents, so no pair is lost; all but the rows of repeated text stand
-alone and go. Once no more than a share of 1 / ``REST`` of the first round's windows is left, groups of at
-most ``SETTLE`` members are settled in a task: in order, every member meets those that nothing links to it
-yet. Larger groups take further rounds.
+alone and go. After ``ROUNDS`` rounds, groups of at most ``SETTLE`` members are settled in a task: in order,
+every member meets those that nothing links to it yet. Larger groups take further rounds. Which way a group
+goes depends on its own members alone, so other documents of the table don't change its rows.
 
 Words: runs of anything but white space, ASCII lower case. Null, empty and short texts have no
 windows. Texts of any length are cut whole. Repeats within one document, or between rows of one doc_id,
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import kept, mix, ngrams, text_slices, word_hashes, written
 
 WIDTH, LEAST_WORDS, SIMILARITY, HASHES, TOKEN, RUN = 5, 50, 0.8, 1, 14, 24
-REACH, SEND_IDS, BLOCK, MARGIN, FEW, REST, SETTLE = 65_535, 2_000_000, 512, 128, 20_000, 10, 64
+REACH, SEND_IDS, BLOCK, MARGIN, FEW, ROUNDS, SETTLE = 65_535, 2_000_000, 512, 128, 20_000, 2, 64
 
 
 def _sliding(x: np.ndarray, t: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -388,6 +388,50 @@ def settled(rest: DataFrame, size: int, blocks: DataFrame, least_words: int, wid
     return near.groupBy("part").applyInArrow(settle, fields).distinct()
 
 
+STRETCH = ("stretch_start", "stretch_end", "other_stretch_start", "other_stretch_end")
+
+
+def in_stretches(found: DataFrame) -> DataFrame:
+    """Passages with the stretch of each: of one pair of documents, those that overlap in both, directly or by others, have one.
+
+    Rows come in the order of their start, so only the stretches that reach past the last one are held.
+    """
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held, done = None, [], []  # held: (all rows, those that reach past the last start) of the pair's stretches
+
+        def ready() -> pa.RecordBatch:
+            rows = []
+            for of, _ in done:
+                starts, ends = ([pick(x[k] for x in of) for k in at] for pick, at in ((min, (2, 4)), (max, (3, 5))))
+                rows += [(*x, starts[0], ends[0], starts[1], ends[1]) for x in of]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(names)], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != pair:
+                    done, held, pair = done + held, [], row[:2]
+                apart, of, live = [], [row], [row]
+                for rows, open_ in held:
+                    open_ = [x for x in open_ if x[3] > row[2]]
+                    if not open_:
+                        done.append((rows, open_))
+                    elif any(x[4] < row[5] and row[4] < x[5] for x in open_):
+                        of, live = rows + of, open_ + live
+                    else:
+                        apart.append((rows, open_))
+                held = [*apart, (of, live)]
+            yield ready()
+        done += held
+        yield ready()
+
+    names = ["doc_id", "other_id", *SPAN, *STRETCH]
+    order = ["doc_id", "other_id", *SPAN]
+    fields = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n in names)
+    return found.select(*order).repartition("doc_id", "other_id").sortWithinPartitions(*order).mapInArrow(name, fields)
+
+
 def regrouped(seen: DataFrame) -> DataFrame:
     """(key, doc_id, place): windows of groups of which a member repeats nothing of the first one, by what they have and it lacks."""
     rows = seen.select("doc_id", "other_id", F.explode("seeds").alias("s")).select("doc_id", "other_id", "s.*")
@@ -419,16 +463,17 @@ def named_again(found: DataFrame, names: DataFrame) -> DataFrame:
     for c in ("doc_id", "other_id"):
         found = found.join(names, F.col(c) == F.col("_row"), "left").withColumn(c, F.coalesce("_own", c)).drop("_row", "_own")
     swap = F.col("doc_id") < F.col("other_id")
-    pairs = {"doc_id": "other_id", "start_word": "other_start", "end_word": "other_end"}
+    pairs = {"doc_id": "other_id", "start_word": "other_start", "end_word": "other_end", "stretch_start": "other_stretch_start", "stretch_end": "other_stretch_end"}
     turned = {a: F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in (pairs | {b: a for a, b in pairs.items()}).items()}
     return found.filter("doc_id <> other_id").select(*[turned.get(c, F.col(c)).alias(c) for c in found.columns]).distinct()
 
 
 def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WORDS, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, other_id, start_word, end_word, other_start, other_end, n_words, similarity).
+    """(doc_id, other_id, start_word, end_word, other_start, other_end, n_words, similarity) and the stretch around it.
 
     A passage of doc_id that repeats one of other_id, a representative of its class; ends exclusive. Rows
-    that share a doc_id are looked at text by text.
+    that share a doc_id are looked at text by text. stretch_start, stretch_end, other_stretch_start and
+    other_stretch_end bound what overlapping passages of the two documents cover together.
     """
     docs, names = apart(docs)
     found = _repeated(docs, hashes, least_words, width, similarity)
@@ -438,9 +483,9 @@ def repeated(docs: DataFrame, hashes: int = HASHES, least_words: int = LEAST_WOR
 def _repeated(docs: DataFrame, hashes: int, least_words: int, width: int, similarity: float) -> DataFrame:
     rest = kept(members(windows(docs, hashes)))
     blocks = written(shingle_blocks(docs, rest.select("doc_id", block_of("place").alias("block")).distinct(), width), "passages")
-    out, size = None, rest.count()
-    late = max(FEW, size // REST)
+    out, size, rounds = None, rest.count(), 0
     while out is None or size:
+        rounds += 1
         # rounds of few rows run in one partition, which needs no shuffles
         few = (lambda df: kept(df).coalesce(1)) if size <= FEW else (lambda df: df)
         met, near = few(met_with_heads(few(rest))), blocks
@@ -452,9 +497,9 @@ def _repeated(docs: DataFrame, hashes: int, least_words: int, width: int, simila
         out = found if out is None else out.unionByName(found)
         rest = kept(members(regrouped(seen.coalesce(1) if size <= FEW else seen), once=True))
         size = rest.count()
-        if 0 < size <= late:
+        if size and rounds >= ROUNDS:
             small = rest.filter(F.col("n") <= SETTLE)
             out = out.unionByName(written(settled(small, size, blocks, least_words, width, similarity), "passages-settled"))
             rest = rest.filter(F.col("n") > SETTLE)
             size = rest.count()
-    return out.distinct()
+    return in_stretches(out.distinct())

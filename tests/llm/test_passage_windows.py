@@ -132,3 +132,44 @@ def test_membership_and_lacking_shingles_by_brute_force():
             before = [g for g in reversed(where) if at + 14 - 50 <= g < at][:6]
             after = [g for g in where if at + 14 - 5 < g <= at + 50 - 5][:6]
             assert row == before + [-1] * (6 - len(before)) + after + [-1] * (6 - len(after))
+
+
+def test_rows_do_not_depend_on_other_documents(spark):
+    """Groups that fail their representative, alone and among many others: the same rows."""
+    line = [words(700 + g, 40) for g in range(6)]
+    rows = [(i, " ".join([*words(100 + i, 60), *line[i % 6], *words(900 + i % 4, 15), *words(200 + i, 60)])) for i in range(48)]
+    others = [(1000 + i, " ".join([*words(3000 + i // 3, 90), *words(5000 + i, 30)])) for i in range(600)]
+    of = lambda rows: {tuple(r) for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] < 1000}
+    alone = of(rows)
+    assert len(alone) >= 36 and of(rows + others) == alone
+
+
+def test_stretch_of_a_long_copy(spark):
+    long = words(42, 3000)
+    rows = [(1, " ".join(long)), (2, " ".join([*words(43, 100), *long, *words(44, 100)])), (3, " ".join(words(45, 300)))]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) > 3
+    (doc, other, start, end, *of_other), = {tuple(r[c] for c in ("doc_id", "other_id", *passages.STRETCH)) for r in got}
+    # a piece at the end may take in as many other words as its similarity allows
+    assert (doc, other, of_other) == (2, 1, [0, 3000]) and 0 <= start <= 100 and 3100 <= end <= 3200
+
+
+def test_stretches_by_brute_force(spark):
+    rng, rows = random.Random(3), []
+    for pair in range(40):
+        for _ in range(rng.randint(1, 12)):
+            s, s2, n, n2 = rng.randrange(300), rng.randrange(300), rng.randint(5, 60), rng.randint(5, 60)
+            rows.append((pair // 3, -pair, s, s + n, s2, s2 + n2, n, 0.9))
+    rows = sorted(set(rows))
+    name = {r: i for i, r in enumerate(rows)}
+    for _ in rows:
+        for x in rows:
+            for y in rows:
+                if x[:2] == y[:2] and x[2] < y[3] and y[2] < x[3] and x[4] < y[5] and y[4] < x[5]:
+                    name[x] = name[y] = min(name[x], name[y])
+    of = {i: [r for r in rows if name[r] == i] for i in name.values()}
+    bounds = {r: tuple(pick(x[k] for x in of[name[r]]) for k, pick in ((2, min), (3, max), (4, min), (5, max))) for r in rows}
+    df = spark.createDataFrame(rows, "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, n_words long, similarity double")
+    got = passages.in_stretches(df).collect()
+    assert sorted(map(tuple, got)) == sorted((*r, *bounds[r]) for r in rows)
+    assert passages.in_stretches(df.limit(0)).count() == 0
