@@ -41,7 +41,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = quality.train(docs, table(spark, sf_dir, "labels"), keep=fold != 0)
     scored = quality.with_score(docs, model, ["doc_id"])
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

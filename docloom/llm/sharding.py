@@ -59,15 +59,15 @@ def cuts(groups: DataFrame, shards: int) -> list[int]:
     one = groups.groupBy("order").agg(F.sum("size").alias("size"))
     one = kept(one)
 
-    def sums(bits: int, parents: list[int] | None) -> list:
+    def sums(bits: int, above: int = 0, parents: list[int] | None = None) -> list:
         rows, shift = one, BITS - bits
         if parents is not None:
-            rows = rows.filter(F.shiftright("order", shift + MORE).isin(parents))
+            rows = rows.filter(F.shiftright("order", BITS - above).isin(parents))
         got = rows.groupBy(F.shiftright("order", shift).alias("range")).agg(F.sum("size").alias("size"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n"), F.min("order").alias("least"))
         return [(r["range"] << shift, r["size"], r["most"], r["n"], r["least"]) for r in got.collect()]
 
     bits = FIRST
-    ranges = sorted(sums(bits, None))
+    ranges = sorted(sums(bits))
     while ranges:
         sizes = [r[1] for r in ranges]
         total, most = sum(sizes), max(r[2] for r in ranges)
@@ -87,9 +87,10 @@ def cuts(groups: DataFrame, shards: int) -> list[int]:
             return [ranges[c][4] for c in _greedy(sizes, _smallest(sizes, shards))]
         # ranges differ in depth: only those of the present depth can still hold several groups
         parents = sorted({ranges[i][0] >> (BITS - bits) for i in open_})
-        finer = sums(bits + MORE, parents)
+        deeper = min(BITS, bits + MORE)
+        finer = sums(deeper, bits, parents)
         ranges = sorted([r for i, r in enumerate(ranges) if i not in open_] + finer)
-        bits += MORE
+        bits = deeper
     return []
 
 

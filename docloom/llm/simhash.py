@@ -295,7 +295,7 @@ def row_shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, distance: int = 14, width: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one row of each class of near copies: the smallest doc_id (nulls last), then the text that sorts first.
+    """docs with one row of each class of near copies: the smallest doc_id (nulls last), then the smallest hash of the text, then of the row.
 
     Texts are linked if their fingerprints differ by at most ``distance`` bits and their shingle sets
     have a Jaccard similarity of ``least`` or more; only equal texts (by a 64-bit hash of text and
@@ -307,7 +307,9 @@ def deduplicated(docs: DataFrame, distance: int = 14, width: int = 5, least: flo
     marked = written(with_fingerprint(docs, columns, fp, width).withColumn(of_text, F.xxhash64("text", fp)), "simhash")
     slim = marked.select(F.col(of_text).alias("id"), F.col(fp).alias("fp"), F.col("text").alias("text"))
     classes = linked(slim.select("id", "fp"), distance, _alike(slim.select("id", "text"), width, least)).toDF(of, component)
-    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id())
+    # maps have no hash; rows that are alike in all else differ by their place alone
+    hashed = [c for c in columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*hashed), F.monotonically_increasing_id())
     named = written(marked.join(classes, F.col(of_text) == F.col(of)).withColumn(order, key).drop(of, of_text, fp), "simhash-classes")
     first = named.groupBy(component).agg(F.min(order).alias(first_of)).select(first_of)
     return named.join(first, F.col(order) == F.col(first_of), "left_semi").select(*columns)

@@ -70,8 +70,7 @@ class EliasFano:
     def select(self, i: int) -> int:
         """The i-th value, from the nearest sample before it."""
         place = int(self.samples[i // SAMPLE])
-        bits = np.unpackbits(self.high[place >> 3 :], bitorder="little") if i % SAMPLE == 0 else None
-        if bits is None:
+        if i % SAMPLE:
             at, size = place >> 3, 64
             skip, left = place & 7, i % SAMPLE
             while True:

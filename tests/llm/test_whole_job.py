@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from docloom.llm import passages, simhash
+from docloom.llm import passages, secrets, sharding, simhash
 
 
 def words(seed: int, n: int) -> list[str]:
@@ -65,3 +65,30 @@ def test_rows_that_share_a_doc_id(spark):
         rows += [(2 * k, " ".join(one)), (2 * k, " ".join(two)), (2 * k, " ".join(two)), (2 * k + 1, " ".join([*shared, *words(400 + k, 20)]))]
     got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(20)}
+
+
+def test_cuts_between_orders_that_share_58_bits(spark):
+    """Groups whose hashes differ in their last two bits are still cut where the capacity asks for it."""
+    base = (1 << 59) + (5 << 20)
+    sizes = {base + k: 10 + k for k in range(4)} | {3: 7, (1 << 60) - 1: 9}
+    rows = [(o, s) for o, s in sizes.items()] * 3
+    for shards in (1, 2, 3, 5, 8):
+        at = sharding.cuts(spark.createDataFrame(rows, "order long, size long"), shards)
+        held = [0] * (len(at) + 1)
+        for o, s in rows:
+            held[sum(o >= c for c in at)] += s
+        assert len(held) <= shards and max(held) == sharding._smallest([3 * sizes[o] for o in sorted(sizes)], shards)
+
+
+def test_survivor_of_equal_doc_ids_is_the_same_whatever_the_partitions(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(7, " ".join([*base, f"end{i}"]), i) for i in range(6)] + [(None, " ".join(base), 9), (7, " ".join([*base, "end0"]), 8)]
+    kept = {tuple(simhash.deduplicated(spark.createDataFrame(r, "doc_id long, text string, extra int").repartition(n)).collect()) for r, n in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 7))}
+    assert len(kept) == 1 and [r["doc_id"] for r in next(iter(kept))] == [7]
+
+
+def test_tokens_in_a_long_run_of_their_first_letters(spark):
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    rows = [(1, "eyJ" * 100_000), (2, f"see {token} and"), (3, "eyJ" * 50_000 + " " + token)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: f"bearer:4:{4 + len(token)}", 3: f"bearer:150001:{150_001 + len(token)}"}
