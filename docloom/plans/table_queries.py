@@ -413,9 +413,9 @@ def g7_recent_queries(spark: SparkSession, d: str) -> DataFrame:
     return graph.recent_queries(v.log(spark, d))[1].select("ordinal", "method", "duration_seconds")
 
 
-@query("WITH " + LINKS + ", both_ AS (SELECT source_position AS position, target_position AS other, weight FROM links UNION ALL SELECT target_position, source_position, weight FROM links), h AS (SELECT position FROM entities ORDER BY coalesce(degree, 0) DESC, id LIMIT 8) SELECT position, other, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY weight DESC, other) AS rank FROM both_ WHERE position IN (SELECT position FROM h)) WHERE rank <= 60")
+@query("WITH " + LINKS + ", both_ AS (SELECT source_position AS position, target_position AS other, weight FROM links UNION ALL SELECT target_position, source_position, weight FROM links), h AS (SELECT position FROM entities ORDER BY coalesce(degree, 0) DESC, id LIMIT 8) SELECT position, other, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY weight DESC, other) AS rank FROM both_ WHERE position IN (SELECT position FROM h))")
 def g8_hub_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = v.entities(spark, d)
     nodes = graph.graph_nodes(e, graph.top_regions(*v.communities(spark, d)))
     top = graph.hubs(nodes).select("id").join(e.select("id", "position"), "id").select("position")
-    return graph.neighbours(graph.graph_links(v.relationships(spark, d), e), top, 60)
+    return graph.neighbours(graph.graph_links(v.relationships(spark, d), e), top).withColumn("rank", F.col("rank").cast("int"))

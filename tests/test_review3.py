@@ -19,3 +19,10 @@ def test_customers_of_six_digits_share_no_number(spark, con, tmp_path):
     con = con.cursor()
     con.execute(f"CREATE TEMP VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert differences(QUERIES["e1_validate_question_set"](spark, str(tmp_path)), con, ORACLE_SQL["e1_validate_question_set"]) is None
+
+
+def test_hubs_give_all_their_links(spark, con):
+    rows = QUERIES["g8_hub_neighbours"](spark, SMALL)
+    assert dict(rows.dtypes)["rank"] == "int" and rows.filter("rank > 60").count()
+    links = con.execute("SELECT max(n) FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1)").fetchone()[0]
+    assert rows.groupBy("position").count().agg({"count": "max"}).first()[0] == links
