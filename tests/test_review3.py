@@ -26,3 +26,14 @@ def test_hubs_give_all_their_links(spark, con):
     assert dict(rows.dtypes)["rank"] == "int" and rows.filter("rank > 60").count()
     links = con.execute("SELECT max(n) FROM (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1)").fetchone()[0]
     assert rows.groupBy("position").count().agg({"count": "max"}).first()[0] == links
+
+
+def test_items_count_without_their_first_word(spark, con, tmp_path):
+    spark.createDataFrame([(1, "Set the engine torque wrench bolts. No."), (2, "engine torque."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", "alpha engine torque wrench set"), ("b", "engine torque")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = con.cursor()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE TEMP VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = QUERIES["d4_used_groups"](spark, str(tmp_path))
+    assert [tuple(r) for r in rows.collect()] == [(1, "a")]
+    assert differences(rows, con, ORACLE_SQL["d4_used_groups"]) is None
