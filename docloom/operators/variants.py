@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as t
 from docloom.operators.greedy import excluded
 from docloom.operators.ordering import carried, placed, with_neighbours
-from docloom.operators.similarity import hashed, similar_sets
-from docloom.sources.scratch import written
+from docloom.operators.similarity import similar_sets
+from docloom.sources.scratch import once, written
 
 # ---- fixed values ----
 TAG_LINE = r"^\[([A-Z0-9][A-Z0-9 &/+.\-]{0,46})\]$"
@@ -83,27 +83,36 @@ def select_sources(sources: DataFrame, questions: DataFrame, catalog: DataFrame)
     """
     named = question_variants(questions.select(F.col("query_id").alias("question_id"), "question"), catalog).toDF("query_id", "document_id", "_named")
     sets = named.groupBy("query_id", "document_id").agg(F.array_sort(F.collect_set("_named")).alias("_named"))
-    rows = sources.join(sets, ["query_id", "document_id"], "left")
+    text = F.when(F.coalesce("compare_text", F.lit("")) != "", F.col("compare_text")).otherwise(F.col("text"))
+    told = sources.withColumn("_text", F.xxhash64(text, "variant"))
+    rows = told.join(sets, ["query_id", "document_id"], "left")
     tagged = F.coalesce(F.col("variant"), F.lit("")) != ""
     hit = F.max(tagged & F.array_contains("_named", F.col("variant"))).over(W.partitionBy("query_id", "document_id"))
     other = tagged & F.coalesce(hit, F.lit(False)) & ~F.array_contains("_named", F.col("variant"))
     rows = rows.withColumn("reason", F.when(other, F.concat(F.lit("question names "), F.array_join("_named", ", ")))).drop("_named")
     many = multi_variant(catalog).withColumn("_many", F.lit(True))
     rows = rows.join(many, "document_id", "left")
-    text = F.when(F.coalesce("compare_text", F.lit("")) != "", F.col("compare_text")).otherwise(F.col("text"))
-    live = rows.filter(F.col("reason").isNull() & F.col("_many") & tagged).select("query_id", "key", "document_id", "page", "variant", "ordinal", hashed(t.trigrams(t.comparable(text, F.col("variant")))).alias("g"))
+    live = rows.filter(F.col("reason").isNull() & F.col("_many") & tagged).select("query_id", "key", "document_id", "page", "variant", "ordinal", "_text")
+    # a text that many queries retrieve is cut into triples once
+    texts = told.filter(tagged).join(many, "document_id", "left_semi").select("_text", text.alias("text"), "variant").dropDuplicates(["_text"])
+    cut = once(texts, "g", t.trigram_hashes(t.comparable(F.col("text"), F.col("variant")))).filter(F.size("g") > 0)
+    cut = written(cut.select("_text", F.xxhash64(F.array_sort("g")).alias("set"), F.size("g").alias("n"), "g"), "texts")
     # sources of a query, document and variant with one set of words share their fate: each is excluded by what excludes the first
-    live = live.filter(F.size("g") > 0).withColumn("set", F.xxhash64(F.array_sort("g"))).withColumn("at", F.struct(F.coalesce("page", F.lit(10**9)).alias("p"), "ordinal", "key"))
+    at = F.struct(F.coalesce("page", F.lit(10**9)).alias("p"), "ordinal", "key")
     scope = ["query_id", "document_id"]
-    live = written(live, "candidates")
-    classes = live.groupBy(*scope, "variant", "set").agg(F.min("at").alias("at"), F.min_by("page", "at").alias("page"))
-    sets = live.groupBy(*scope, "set").agg(F.first("g").alias("grams"))
-    near = similar_sets(sets.select(F.struct(*scope, "set").alias("id"), F.struct(*scope).alias("scope"), "grams"), SIMILARITY, SIMILARITY, "jaccard")
-    pairs = near.select("a.query_id", "a.document_id", F.col("a.set").alias("x"), F.col("b.set").alias("y"))
-    pairs = pairs.unionByName(pairs.select(*scope, F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.select(*scope, F.col("set").alias("x"), F.col("set").alias("y")))
+    live = written(live.join(cut.select("_text", "set", "n"), "_text").withColumn("at", at).drop("_text"), "candidates")
+    classes = live.groupBy(*scope, "variant", "set").agg(F.min("at").alias("at"), F.min_by("page", "at").alias("page"), F.first("n").alias("n"))
     whole = F.struct(*scope, "at", "variant", "set", "page")
-    first, later = classes.select(*scope, F.col("set").alias("x"), whole.alias("first")), classes.select(*scope, F.col("set").alias("y"), whole.alias("later"))
-    met = pairs.join(first, [*scope, "x"]).join(later, [*scope, "y"]).filter((F.col("first.variant") != F.col("later.variant")) & (F.col("first.at") < F.col("later.at")))
+    first, later = (classes.select(*scope, F.col("set").alias(x), F.col("n").alias(f"n_{x}"), whole.alias(name)) for x, name in (("x", "first"), ("y", "later")))
+    # what one query retrieves from one document meets; two texts are compared once, however many queries retrieve both
+    sizes = (F.col("n_x") >= SIMILARITY * F.col("n_y") - 1e-6) & (F.col("n_y") >= SIMILARITY * F.col("n_x") - 1e-6)
+    met = first.join(later, scope).filter(sizes & (F.col("first.variant") != F.col("later.variant")) & (F.col("first.at") < F.col("later.at")))
+    met = written(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "first", "later"), "met")
+    pairs, sets = met.filter("x <> y").select("x", "y").distinct(), cut.groupBy("set").agg(F.first("g").alias("g"))
+    both = pairs.join(sets.select(F.col("set").alias("x"), F.col("g").alias("g_x")), "x").join(sets.select(F.col("set").alias("y"), F.col("g").alias("g_y")), "y")
+    same = F.size(F.array_intersect("g_x", "g_y"))
+    near = both.filter(same / (F.size("g_x") + F.size("g_y") - same) >= SIMILARITY).select("x", "y")
+    met = met.filter("x = y").unionByName(met.join(near, ["x", "y"], "left_semi"))
     done = excluded(met).select("row.query_id", "row.document_id", "row.variant", "row.set", F.col("by.page").alias("by_page"), F.col("by.variant").alias("by_variant"))
     why = F.concat(F.lit("same passage as "), F.col("document_id"), F.lit(" p."), F.coalesce(F.col("by_page").cast("string"), F.lit("None")), F.lit(" ["), F.col("by_variant"), F.lit("]"))
     drops = live.join(done, [*scope, "variant", "set"]).select("query_id", "key", why.alias("_why")).dropDuplicates(["query_id", "key"])
@@ -113,7 +122,7 @@ def select_sources(sources: DataFrame, questions: DataFrame, catalog: DataFrame)
 def earliest_equivalent_pages(sources: DataFrame, catalog: DataFrame, bodies: DataFrame, named: DataFrame) -> DataFrame:
     """V6: (query_id, key, earlier_page): the first earlier page of another (allowed) variant with the same text."""
     pages = catalog.join(multi_variant(catalog), "document_id", "left_semi").join(bodies, ["document_id", "page"], "left")
-    pages = pages.select("document_id", "page", "variant", hashed(t.trigrams(t.comparable(F.coalesce("text", F.lit("")), F.col("variant")))).alias("g")).filter(F.size("g") > 0)
+    pages = once(pages, "g", t.trigram_hashes(t.comparable(F.coalesce("text", F.lit("")), F.col("variant"))))
     items = pages.select(F.struct("document_id", "page").alias("id"), F.col("document_id").alias("scope"), F.col("g").alias("grams"))
     links = similar_sets(items, SIMILARITY, SIMILARITY, "jaccard")
     pair = links.select(F.col("a.document_id").alias("document_id"), F.greatest("a.page", "b.page").alias("page"), F.least("a.page", "b.page").alias("earlier_page"))

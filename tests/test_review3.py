@@ -37,3 +37,19 @@ def test_items_count_without_their_first_word(spark, con, tmp_path):
     rows = QUERIES["d4_used_groups"](spark, str(tmp_path))
     assert [tuple(r) for r in rows.collect()] == [(1, "a")]
     assert differences(rows, con, ORACLE_SQL["d4_used_groups"]) is None
+
+
+def test_a_text_that_many_queries_retrieve_is_cut_once(spark, monkeypatch):
+    """Sources are compared by texts, not by rows: 40 queries for the same three pages are three texts."""
+    from docloom.operators import variants
+
+    kept, own = {}, variants.written
+    monkeypatch.setattr(variants, "written", lambda df, name: kept.setdefault(name, own(df, name)))
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(q, p, f"m-{p}", "m", p, tag, text, "") for q in range(40) for p, tag, text in ((1, "A", body), (2, "B", body + " x"), (3, "B", "one two three four"))]
+    sources = spark.createDataFrame(rows, "query_id int, ordinal int, key string, document_id string, page int, variant string, text string, compare_text string")
+    catalog = spark.createDataFrame([("m", 1, "A"), ("m", 2, "B"), ("m", 3, "B")], "document_id string, page int, variant string")
+    questions = spark.createDataFrame([(q, "?") for q in range(40)], "query_id int, question string")
+    found = variants.select_sources(sources, questions, catalog).filter("reason is not null").select("key", "reason").collect()
+    assert [tuple(r) for r in found] == [("m-2", "same passage as m p.1 [A]")] * 40
+    assert kept["texts"].count() == 3
