@@ -1,6 +1,6 @@
 """D3: groups of repeated passages that follow their documents, without comparing all of them again.
 
-Stored are the passages of each document, each distinct set of word triples with its prefix, the pairs of
+Stored are the passages of each document, each distinct set of word triples in the order of prefixes, the pairs of
 similar sets, and the groups that they form with their pages. A refresh takes documents whose stamp changed: sets that no
 passage has any more go with their pairs, new sets meet the stored prefixes and each other, and only
 groups that lost, gained or moved a passage, or whose sets new pairs reach, are put together again (so a
@@ -26,7 +26,7 @@ from docloom.sources.store import DocumentStore, Manifests
 LOW = CONTAINMENT * SIZE_RATIO
 TABLES = {
     "items": ("document_id", "document_id string, page {page}, ordinal {ordinal}, text string, set bigint"),
-    "sets": ("set", "set bigint, n int, grams array<bigint>, prefix array<bigint>"),
+    "sets": ("set", "set bigint, n int, grams array<bigint>"),
     "links": ("a", "a bigint, b bigint"),
     "members": ("set", "set bigint, group bigint"),
     "places": ("group", "group bigint, document_id string, page {page}, text string"),
@@ -45,20 +45,21 @@ def _length(n, share: float):
     return (n - F.ceil(F.round(n * share, 9)) + 1).cast("int")
 
 
-def _with_prefix(sets: DataFrame, often: DataFrame) -> DataFrame:
-    """sets(set, n, grams) with their rarest triples, as many as a prefix of the looser bound has."""
+def _ordered(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """sets(set, n, grams) with their rarest triples first, so that a prefix is a slice."""
     cells = sets.select("set", "n", F.explode("grams").alias("gram")).join(often, "gram", "left")
     order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "gram"))), lambda x: x["gram"])
-    prefix = cells.groupBy("set", "n").agg(order.alias("_order")).select("set", F.slice("_order", F.lit(1), _length(F.col("n"), LOW)).alias("prefix"))
-    return sets.join(prefix, "set")
+    return cells.groupBy("set", "n").agg(order.alias("grams"))
 
 
 def _met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """(a, b): sets that share a triple of their prefixes and whose sizes allow a link; a is the smaller one."""
-    cells = lambda t, x, share: t.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.explode(F.slice("prefix", F.lit(1), _length(F.col("n"), share))).alias("gram"))
+    """(a, b): sets that share a triple of their prefixes, whose sizes allow a link and that have enough triples from there on; a is the smaller one."""
+    cells = lambda t, x, share: t.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.posexplode(F.slice("grams", F.lit(1), _length(F.col("n"), share))).alias(f"r_{x}", "gram"))
     a, b = cells(smaller, "a", CONTAINMENT), cells(larger, "b", LOW)
     first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    return a.join(b, "gram").filter(first & (F.col("n_a") >= SIZE_RATIO * F.col("n_b"))).select("a", "b").distinct()
+    # at the first triple that both have, no more can be shared than the shorter rest
+    enough = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) >= CONTAINMENT * F.col("n_a") - 1e-6
+    return a.join(b, "gram").filter(first & (F.col("n_a") >= SIZE_RATIO * F.col("n_b")) & enough).select("a", "b").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ class PassageGroups:
         now, was = stamps.select("document_id", "stamp"), self.stamps()
         changed = written(now.exceptAll(was).unionAll(was.exceptAll(now)).select("document_id").distinct(), "changed")
         if changed.head(1):
-            self._change(_items(blocks.join(changed, "document_id", "left_semi")), stamps, changed)
+            self._change(written(_items(blocks.join(changed, "document_id", "left_semi")), "passages"), stamps, changed)
         return self
 
     def _change(self, found: DataFrame, stamps: DataFrame, changed: DataFrame) -> None:
@@ -129,15 +130,14 @@ class PassageGroups:
             versions[name] = self._store(name).replace(rows, gone=gone, base=versions[name])
             return self._store(name).read(versions[name])
 
-        # passages, and the sets that come and go with them
-        found = written(found, "passages")
+        # passages (a written table), and the sets that come and go with them
         before = items.join(changed, "document_id", "left_semi").select("set")
         touched = written(before.unionByName(found.select("set")).distinct(), "touched")
         items = replace("items", found.drop("grams"), changed)
         live = items.select("set").join(touched, "set", "left_semi").distinct()
         gone = written(touched.join(live, "set", "left_anti").join(sets, "set", "left_semi"), "gone")
         new = found.groupBy("set").agg(F.first("grams").alias("grams")).join(sets.select("set"), "set", "left_anti")
-        new = written(_with_prefix(new.select("set", F.size("grams").alias("n"), "grams"), often), "sets")
+        new = written(_ordered(new.select("set", F.size("grams").alias("n"), "grams"), often), "sets")
         # pairs: the new sets with each other and with those that stay
         stay = sets.join(gone, "set", "left_anti")
         pairs = _met(new, new).unionByName(_met(new, stay)).unionByName(_met(stay, new)).distinct()

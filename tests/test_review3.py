@@ -1,6 +1,7 @@
 """Queries on rows where they differed from their SQL or did too much."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import connection, differences
 from docloom.plans import ORACLE_SQL, QUERIES
@@ -53,3 +54,12 @@ def test_a_text_that_many_queries_retrieve_is_cut_once(spark, monkeypatch):
     found = variants.select_sources(sources, questions, catalog).filter("reason is not null").select("key", "reason").collect()
     assert [tuple(r) for r in found] == [("m-2", "same passage as m p.1 [A]")] * 40
     assert kept["texts"].count() == 3
+
+
+def test_stored_prefixes_meet_only_with_enough_left(spark):
+    """A triple that both have, but late in one of them, makes no pair of sets to compare."""
+    from docloom.operators import passage_store
+
+    a, late, near = [*range(1, 11)], [50, 51, 52, 53, 1, *range(60, 65)], [*range(1, 10), 70]
+    sets = spark.createDataFrame([(1, 10, a), (2, 10, late), (3, 10, near)], "set long, n int, grams array<long>").withColumn("prefix", F.slice("grams", 1, 5))
+    assert [tuple(r) for r in passage_store._met(sets, sets).collect()] == [(1, 3)]
