@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as t
 from docloom.operators.greedy import excluded
 from docloom.operators.ordering import carried, placed, with_neighbours
-from docloom.operators.similarity import similar_sets
-from docloom.sources.scratch import once, written
+from docloom.operators.similarity import similar_members
+from docloom.sources.scratch import written
 
 # ---- fixed values ----
 TAG_LINE = r"^\[([A-Z0-9][A-Z0-9 &/+.\-]{0,46})\]$"
@@ -95,7 +95,7 @@ def select_sources(sources: DataFrame, questions: DataFrame, catalog: DataFrame)
     live = rows.filter(F.col("reason").isNull() & F.col("_many") & tagged).select("query_id", "key", "document_id", "page", "variant", "ordinal", "_text")
     # a text that many queries retrieve is cut into triples once
     texts = told.filter(tagged).join(many, "document_id", "left_semi").select("_text", text.alias("text"), "variant").dropDuplicates(["_text"])
-    cut = once(texts, "g", t.trigram_hashes(t.comparable(F.col("text"), F.col("variant")))).filter(F.size("g") > 0)
+    cut = texts.withColumn("g", t.trigram_hashes(t.without_references(F.col("text"), F.col("variant")))).filter(F.size("g") > 0)
     cut = written(cut.select("_text", F.xxhash64(F.array_sort("g")).alias("set"), F.size("g").alias("n"), "g"), "texts")
     # sources of a query, document and variant with one set of words share their fate: each is excluded by what excludes the first
     at = F.struct(F.coalesce("page", F.lit(10**9)).alias("p"), "ordinal", "key")
@@ -122,10 +122,9 @@ def select_sources(sources: DataFrame, questions: DataFrame, catalog: DataFrame)
 def earliest_equivalent_pages(sources: DataFrame, catalog: DataFrame, bodies: DataFrame, named: DataFrame) -> DataFrame:
     """V6: (query_id, key, earlier_page): the first earlier page of another (allowed) variant with the same text."""
     pages = catalog.join(multi_variant(catalog), "document_id", "left_semi").join(bodies, ["document_id", "page"], "left")
-    pages = once(pages, "g", t.trigram_hashes(t.comparable(F.coalesce("text", F.lit("")), F.col("variant"))))
-    items = pages.select(F.struct("document_id", "page").alias("id"), F.col("document_id").alias("scope"), F.col("g").alias("grams"))
-    links = similar_sets(items, SIMILARITY, SIMILARITY, "jaccard")
-    pair = links.select(F.col("a.document_id").alias("document_id"), F.greatest("a.page", "b.page").alias("page"), F.least("a.page", "b.page").alias("earlier_page"))
+    grams = t.trigram_hashes(t.without_references(F.coalesce("text", F.lit("")), F.col("variant")))
+    both = similar_members(pages.select(F.col("document_id").alias("scope"), "page", grams.alias("grams")), SIMILARITY, "page")
+    pair = both.filter("page_other < page").select(F.col("scope").alias("document_id"), "page", F.col("page_other").alias("earlier_page")).distinct()
     tag = catalog.select("document_id", F.col("page").alias("earlier_page"), F.col("variant").alias("_other"))
     asks = named.groupBy(F.col("question_id").alias("query_id"), "document_id").agg(F.collect_set("variant").alias("_asked"))
     met = sources.filter(F.coalesce("variant", F.lit("")) != "").select("query_id", "key", "document_id", "page", "variant").join(pair, ["document_id", "page"]).join(tag, ["document_id", "earlier_page"]).join(asks, ["query_id", "document_id"], "left")
