@@ -22,7 +22,7 @@ from docloom.sources.scratch import kept
 METHOD_ORDER = ["basic", "local", "global", "drift"]
 LOCAL_MIN_SOURCES = 7
 # ---- end of fixed values ----
-SEND_BYTES, AUTOMATON_BYTES = 64 << 20, 4 << 20
+SEND_BYTES, AUTOMATON_BYTES, SORT_PARTS, HUB_PARTS = 64 << 20, 4 << 20, 256, 8
 
 
 _automata: dict[str, ahocorasick.Automaton] = {}
@@ -199,13 +199,18 @@ def local_expand(top: DataFrame, relationships: DataFrame, entity_units: DataFra
     """(each query's k heaviest relationships of its top entities, the units linked to these in entity order).
 
     top(query_id, rank, entity_id), relationships(source, target, weight), entity_units(entity_id, unit_id).
-    Of a hub's relationships each task keeps the k heaviest before they meet, as no query can need more.
+    A hub's relationships lie in several parts, of which each keeps the k heaviest before they meet, as no query can need more.
     Units come with the rank of their first entity and the number of entities that have them; ``most``:
     so many units of each query, by these.
     """
     both = relationships.select(F.col("source").alias("entity_id"), "source", "target", "weight").unionByName(relationships.filter("source <> target").select(F.col("target").alias("entity_id"), "source", "target", "weight"))
     own = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("weight"), "source", "target"))
-    asked = both.join(top.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id", "source", "target").agg(F.max("weight").alias("weight"))
+    # an own number of parts, as the sort of a task takes many times the bytes that its rows have in a shuffle; a hub has several
+    part = F.pmod(F.xxhash64("source", "target"), F.lit(HUB_PARTS))
+    near = both.join(top.select("entity_id").distinct(), "entity_id", "left_semi").withColumn("_part", part).repartition(SORT_PARTS, "entity_id", "_part")
+    asked = near.groupBy("entity_id", "_part", "source", "target").agg(F.max("weight").alias("weight"))
+    best = F.row_number().over(W.partitionBy("entity_id", "_part").orderBy(F.desc("weight"), "source", "target"))
+    asked = asked.withColumn("_n", best).filter(F.col("_n") <= k).drop("_n", "_part")
     few = asked.withColumn("_n", own).filter(F.col("_n") <= k).drop("_n")
     edges = top.select("query_id", "entity_id").join(few, "entity_id").groupBy("query_id", "source", "target").agg(F.max("weight").alias("weight"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "source", "target"))

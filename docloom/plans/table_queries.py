@@ -336,7 +336,7 @@ def r8_vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def _local(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A query for each supplier finds it and the two next ones; parts are linked to suppliers, units are parts and their sizes."""
     li = table(spark, d, "lineitem")
-    rel = li.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+    rel = li.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("weight")).select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "weight")
     top = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.posexplode(F.array(*[F.concat(F.lit("s"), F.col("s_suppkey") + i) for i in range(3)])).alias("rank", "entity_id")).withColumn("rank", F.col("rank") + 1)
     units = li.select(F.concat(F.lit("s"), "l_suppkey").alias("entity_id"), F.concat(F.lit("u"), F.col("l_partkey") % 97).alias("unit_id"))
     return retrieval.local_expand(top, rel, units, 5, most=20)
