@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.sources.scratch import written
 
 TOLERANCE, DOCUMENT_ONLY = 1, 0.5
 METRICS = {"answer_em": t.exact_match, "answer_f1": t.char_f1, "answer_term_hit": t.term_hit, "answer_term_coverage": t.term_coverage}
@@ -21,9 +22,10 @@ def cited_evidence(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """A3: text units that the answer cites by record id or En, or that were added; a cited number that is no
     retrieved record counts as a page number."""
     units = evidence.filter(F.coalesce("source_type", F.lit("text_unit")) == "text_unit")
-    ids = units.groupBy("question_id").agg(F.collect_set("context_id").alias("_got"))
-    a = answers.select("question_id", t.cited_record_ids(F.col("answer")).alias("_ids"), t.cited_evidence_ids(F.col("answer")).alias("_es")).join(ids, "question_id").withColumn("_pages", F.array_except("_ids", "_got"))
-    rows = units.join(a, "question_id")
+    # a window keeps the order in which most evidence comes, so that it is neither read nor sorted twice
+    got = units.withColumn("_got", F.collect_set("context_id").over(W.partitionBy("question_id")))
+    a = answers.select("question_id", t.cited_record_ids(F.col("answer")).alias("_ids"), t.cited_evidence_ids(F.col("answer")).alias("_es"))
+    rows = got.join(a, "question_id").withColumn("_pages", F.array_except("_ids", "_got"))
     pages = F.transform(_pages(), lambda p: p.cast("string"))
     hit = (F.coalesce("added_by", F.lit("")) != "") | F.array_contains("_ids", F.col("context_id")) | F.array_contains("_es", F.col("evidence_id")) | F.arrays_overlap(pages, F.col("_pages"))
     return rows.filter(hit).select(*evidence.columns)
@@ -39,7 +41,7 @@ def source_score(answers: DataFrame, evidence: DataFrame, gold: DataFrame, docum
     """A5: (question_id, source_score): recall of gold pages that a cited page of the document is within one page of
     (or equals by ``equal``(document_id, page, other)); a document alone, ``document_only``; null without gold or units."""
     cited = cited_evidence(answers, evidence)
-    at = cited.select("question_id", "document_id", F.explode_outer(_pages()).alias("c")).distinct()
+    at = written(cited.select("question_id", "document_id", F.explode_outer(_pages()).alias("c")).distinct(), "cited")
     docs = at.select("question_id", "document_id").distinct()
     g_docs = gold.select("question_id", "document_id").distinct()
     hit = g_docs.join(docs, ["question_id", "document_id"]).select("question_id").distinct().withColumn("_doc", F.lit(True))
