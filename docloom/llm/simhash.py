@@ -10,6 +10,11 @@ pair's full distance is verified in the join's condition, so no unverified pair
 Equal fingerprints are one row first. Near ones are first contracted along sorted orders, so that
 a large group of near copies is one component before the join, which then only looks for pairs in
 different components; components, not pairs, are the result.
+
+Where links are also verified by Jaccard similarity, texts come first through an exact filter: who
+has too few shingles that stand in another text as well is in no pair. Of the others each meets, in
+every partition, the text that has the largest share of such shingles among those of its value (the
+middle of a cloud of near copies), and the join keeps a pair only if these shingles suffice for it.
 """
 
 from __future__ import annotations
@@ -21,12 +26,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import kept, name_apart, ngrams, text_slices, word_hashes, written
 from docloom.operators.components import components
 
+#: Ids that are sent to all tasks, and parts of the rows that meet one leading text.
+SEND_IDS, SALTS = 200_000, 8
+
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """Bit b is set if over half of the shingles' hashes have it; no words: 0."""
@@ -152,8 +161,8 @@ def _signed(x: int) -> int:
 
 
 def _probes(rows: DataFrame, probed: list[tuple[int, list[int], int]]) -> DataFrame:
-    """rows(fp, component, id if any) with (k, v) for each probed partition k: all values within its threshold of the own one."""
-    names = [c for c in ("fp", "component", "id") if c in rows.columns]
+    """rows(fp and, if any, component, id, n, m) with (k, v) for each probed partition k: all values within its threshold of the own one."""
+    names = [c for c in ("fp", "component", "id", "n", "m") if c in rows.columns]
     table = [(k, np.int64(_signed(sum(1 << b for b in group))), np.array(_masks(group, t), np.int64)) for k, group, t in probed]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,31 +200,52 @@ def _chained(prints: DataFrame, groups: list[list[int]], distance: int) -> DataF
     return out
 
 
-def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _led(prints: DataFrame, probed: list[tuple[int, list[int], int]], distance: int) -> DataFrame:
+    """(a, b): each of prints(fp, id, n, m) and, of those with its value in a partition, the one with the largest share m / n."""
+    rows = _probes(prints, [(k, g, 0) for k, g, _ in probed]).withColumn("salt", F.pmod(F.col("id"), F.lit(SALTS)).cast("int"))
+    first = rows.groupBy("k", "v").agg(F.max(F.struct(F.col("m") / F.nullif("n", F.lit(0)), "fp", "id")).alias("of"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # one value may be that of many rows
+    first = first.select("k", "v", F.col("of.fp").alias("of_fp"), F.col("of.id").alias("of_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    near = rows.join(first, ["k", "v", "salt"]).filter((F.col("id") != F.col("of_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= distance))
+    return near.select(F.col("id").alias("a"), F.col("of_id").alias("b"))
+
+
+def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0) -> DataFrame:
     """(fp, component): the distinct fingerprints of column ``fp``; component is the smallest one of the class.
 
     With a column ``id``, the distinct (id, fp) are what is linked, also those of one fingerprint:
     (id, component). ``verify`` takes pairs (a, b) of ids, or fingerprints, and returns those that
-    are links.
+    are links. With ids there are also the set's size ``n`` and how many of it others have, ``m``:
+    pairs that can't have the Jaccard similarity ``least`` with these are not verified.
     """
     verify = verify or (lambda pairs: pairs)
     own = "id" if "id" in prints.columns else "fp"
-    prints = kept(prints.select(*dict.fromkeys([own, "fp"])).distinct())
+    prints = kept(prints.select(*dict.fromkeys([own, "fp"]), *(["n", "m"] if own == "id" else [])).distinct())
     names = prints.select(F.col(own).alias("fp"))
     n, both = _bit_counts(prints)
     if n < 2:
         return names.select(F.col("fp").alias(own), F.col("fp").alias("component"))
     chosen = plan(n, both, distance)
-    first = components(names, verify(_chained(prints, [g for g, _ in chosen], distance).distinct())).toDF(own, "component")
+    probed = [(k, g, t) for k, (g, t) in enumerate(chosen) if t >= 0]
+    start = _chained(prints, [g for g, _ in chosen], distance)
+    if own == "id":
+        start = start.unionByName(_led(prints, probed, distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = components(names, verify(start.distinct())).toDF(own, "component")
     links = first.select(F.col(own).alias("a"), F.col("component").alias("b"))
     if own == "id":
-        first = kept(first.join(prints, "id").select("fp", "component", "id"))
-    probed = [(k, g, t) for k, (g, t) in enumerate(chosen) if t >= 0]
+        first = kept(first.join(prints, "id").select("fp", "component", "id", "n", "m"))
     # one side has its own value in each partition, the other all values within the threshold
     a, b = _probes(first, probed), _probes(first, [(k, g, 0) for k, g, _ in probed])
     a, b = (x.select(*(F.col(c).alias(f"{c}_{side}") for c in x.columns)) for x, side in ((a, "a"), (b, "b")))
     # a pair is met from both sides, as the wide side has any value within t of its own; one is enough
-    found = a.join(b, (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("component_a") < F.col("component_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance))
+    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    meet = (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("component_a") < F.col("component_b")) & (F.bit_count(apart) <= distance)
+    if own == "id":
+        most = F.least("m_a", "m_b")
+        meet &= most >= least * (F.col("n_a") + F.col("n_b") - most)
+        for k, g, t in probed:  # a pair that meets in several partitions counts in the first
+            meet &= (F.col("k_a") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(sum(1 << x for x in g))))) > t)
+    found = a.join(b, meet)
     pairs = verify(found.select(F.col(f"{own}_a").alias("a"), F.col(f"{own}_b").alias("b")).distinct())
     return components(names, pairs.unionByName(links)).toDF(own, "component")
 
@@ -236,8 +266,83 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame], DataFrame]:
-    """A check of pairs of marked(id, text): Jaccard similarity of the shingle sets.
+def _in_two(rows: DataFrame, *more: str) -> DataFrame:
+    """(id, more, m): how many shingles h of rows(h, id, more) an id has that another id has too; none: no row."""
+    of = W.partitionBy("h")
+    first = F.lag("id").over(of.orderBy("id"))  # rows of one id, which copies of a text give, count once
+    seen = rows.select("id", *more, (F.min("id").over(of) != F.max("id").over(of)).alias("_two"), (first.isNull() | (first != F.col("id"))).alias("_new"))
+    return seen.filter("_two and _new").groupBy("id").agg(*(F.max(c).alias(c) for c in more), F.count(F.lit(1)).alias("m"))
+
+
+def _common(n: np.ndarray, least: float) -> np.ndarray:
+    """How many elements a set of n has in common with one that is alike, at least."""
+    return np.ceil(np.round(least * n, 9)).astype(np.int64)
+
+
+def _text_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    words, firsts = word_hashes(data, offsets)
+    return [row_shingles(words[i:j], width) for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
+
+
+def _chosen(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(ids) if ids.count() <= SEND_IDS else ids, "id", "left_semi")
+
+
+def _sharing(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(id): all that may be alike with another of texts(id, text), by the smallest hashes of each text.
+
+    Of two alike sets of n and o or more elements in common, at least l are among the n - o + l smallest of either
+    (for l up to the smaller o); l is a tenth of the set, and the other set has o elements or more.
+    """
+    tenth = lambda n: np.minimum(np.maximum(1, -(-n // 10)), _common(n, least))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_slices(batch, "text"):
+                sets = [np.unique(x) for x in _text_sets(data, offsets, width)]
+                n = np.array(list(map(len, sets)), np.int64)
+                common = _common(n, least)
+                cut = n - common + tenth(n)
+                of = lambda x: pa.array(np.repeat(x, cut))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[:k] for x, k in zip(sets, cut, strict=True)]).view(np.int64)), of(np.asarray(batch.column(0).slice(at, end - at))), of(tenth(common).astype(np.int32))], ["h", "id", "need"])
+
+    found = _in_two(texts.select("id", "text").mapInArrow(smallest, "h long, id long, need int"), "need").filter("m >= need").select("id")
+    empty = texts.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("id")
+    return kept(found.unionByName(empty).distinct())
+
+
+def _sets(texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(id, fp, n, p, s): the shingle sets of those of texts(id, fp, text) that may be alike with another; p: sizes in 256 parts of the hash space."""
+    one = _chosen(texts, _sharing(texts, width, least)).groupBy("id").agg(F.min("fp").alias("fp"), F.min("text").alias("text"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in text_slices(batch, "text"):
+                sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in _text_sets(data, offsets, width)]
+                sizes = [np.bincount(x >> 24, minlength=256) for x in sets]
+                # of sets too large for bytes: none, and so no bound
+                parts = [x.astype(np.uint8).tobytes() if x.max() < 256 else b"" for x in sizes]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, end - at) for k in (0, 1)), pa.array(list(map(len, sets)), pa.int64()), pa.array(parts, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "fp", "n", "p", "s"])
+
+    return written(one.select("id", "fp", "text").mapInArrow(shingles, "id long, fp long, n long, p binary, s binary"), "simhash-sets")
+
+
+def _shared(sets: DataFrame, least: float) -> DataFrame:
+    """(id, fp, n, m): of sets() those that have enough elements, m, which others have as well."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                raw = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), [len(x) // 4 for x in raw]))], ["h", "id"])
+
+    m = _in_two(sets.select("id", "s").mapInArrow(elements, "h long, id long"))
+    return sets.select("id", "fp", "n").join(m, "id", "left").fillna(0, "m").filter(F.col("m") >= F.ceil(F.round(least * F.col("n"), 9)))
+
+
+def _alike(sets: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
+    """A check of pairs of sets(id, n, p, s): Jaccard similarity.
 
     Sets' sizes in 256 parts of the hash space bound the common shingles from above; most pairs that are
     not alike go on these alone, and only the others meet with their sets.
@@ -246,18 +351,6 @@ def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame],
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs)
-        need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = marked.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-
-        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at, end, data, offsets in text_slices(batch, "text"):
-                    words, firsts = word_hashes(data, offsets)
-                    sets = [np.unique((row_shingles(words[i:j], width) >> np.uint64(32)).astype("<u4")) for i, j in zip(firsts[:-1], firsts[1:], strict=True)]
-                    sizes = [np.bincount(x >> 24, minlength=256) for x in sets]
-                    # of sets too large for bytes: none, and so no bound
-                    parts = [x.astype(np.uint8).tobytes() if x.max() < 256 else b"" for x in sizes]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(list(map(len, sets)), pa.int32()), pa.array(parts, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "p", "s"])
 
         def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -279,10 +372,8 @@ def _alike(marked: DataFrame, width: int, least: float) -> Callable[[DataFrame],
                     ok.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))))
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-        sets = written(texts.mapInArrow(shingles, "id long, n int, p binary, s binary"), "simhash-sets")
         side = lambda of, *names: sets.select(F.col("id").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in names))
-        sized = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").filter((F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))).select("a", "b")
-        met = sized.join(side("a", "n", "p"), "a").join(side("b", "n", "p"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(may_be, "a long, b long")
+        met = pairs.join(side("a", "n", "p"), "a").join(side("b", "n", "p"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(may_be, "a long, b long")
         return kept(met).join(side("a", "s"), "a").join(side("b", "s"), "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
     return verify
@@ -306,10 +397,13 @@ def deduplicated(docs: DataFrame, distance: int = 14, width: int = 5, least: flo
     fp, of_text, component, order, of, first_of = name_apart(docs, "fp", "of_text", "component", "order", "of", "first_of")
     marked = written(with_fingerprint(docs, columns, fp, width).withColumn(of_text, F.xxhash64("text", fp)), "simhash")
     slim = marked.select(F.col(of_text).alias("id"), F.col(fp).alias("fp"), F.col("text").alias("text"))
-    classes = linked(slim.select("id", "fp"), distance, _alike(slim.select("id", "text"), width, least)).toDF(of, component)
+    sets = _sets(slim, width, least)
+    classes = kept(linked(_shared(sets, least), distance, _alike(sets, least), least).filter("id <> component").toDF(of, component))
+    classes = F.broadcast(classes) if classes.count() <= SEND_IDS else classes
     # maps have no hash; rows that are alike in all else differ by their place alone
     hashed = [c for c in columns if "map<" not in docs.schema[c].dataType.simpleString()]
     key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*hashed), F.monotonically_increasing_id())
-    named = written(marked.join(classes, F.col(of_text) == F.col(of)).withColumn(order, key).drop(of, of_text, fp), "simhash-classes")
+    named = marked.join(classes, F.col(of_text) == F.col(of), "left").withColumn(component, F.coalesce(component, of_text))
+    named = written(named.withColumn(order, key).drop(of, of_text, fp), "simhash-classes")
     first = named.groupBy(component).agg(F.min(order).alias(first_of)).select(first_of)
     return named.join(first, F.col(order) == F.col(first_of), "left_semi").select(*columns)

@@ -92,3 +92,37 @@ def test_tokens_in_a_long_run_of_their_first_letters(spark):
     rows = [(1, "eyJ" * 100_000), (2, f"see {token} and"), (3, "eyJ" * 50_000 + " " + token)]
     got = {r["doc_id"]: r["spans"] for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "", 2: f"bearer:4:{4 + len(token)}", 3: f"bearer:150001:{150_001 + len(token)}"}
+
+
+def test_a_cloud_of_near_copies_meets_its_middle(spark, monkeypatch):
+    """120 texts are like their middle only, 60 more like none: not all pairs of them are verified, and no link is lost."""
+    rng, base, rows = random.Random(5), words(77, 150), []
+    for i in range(181):
+        w = list(base)
+        for c in rng.sample(range(5, 145, 10), 0 if i == 90 else 3 if i % 3 else 9):
+            w[c] = f"z{i}x{c}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, x in rows for w in [x.split()]]
+    prints = [simhash.fingerprint(x, 5) for _, x in rows]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 14 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    to = list(range(181))
+    for i in range(181):
+        for j in range(i):
+            if near(i, j):
+                a, b = sorted((to[i], to[j]))
+                to = [a if x == b else x for x in to]
+    seen, alike = [], simhash._alike
+
+    def counted(*args):
+        verify = alike(*args)
+
+        def both(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+
+        return both
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    left = [r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(left) == sorted(set(to)) and 60 <= len(left) <= 70
+    assert sum(seen) < 2500  # 13,458 when all that are near by their fingerprints meet
