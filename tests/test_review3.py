@@ -63,3 +63,21 @@ def test_stored_prefixes_meet_only_with_enough_left(spark):
     a, late, near = [*range(1, 11)], [50, 51, 52, 53, 1, *range(60, 65)], [*range(1, 10), 70]
     sets = spark.createDataFrame([(1, 10, a), (2, 10, late), (3, 10, near)], "set long, n int, grams array<long>").withColumn("prefix", F.slice("grams", 1, 5))
     assert [tuple(r) for r in passage_store._met(sets, sets).collect()] == [(1, 3)]
+
+
+def test_words_of_a_sentence_are_found_once(spark):
+    from docloom.operators import passages
+
+    answers = spark.createDataFrame([(1, "Set the engine torque wrench bolts. No.")], "question_id int, answer string")
+    groups = spark.createDataFrame([("a", "alpha engine torque wrench set")], "group string, text string")
+    found = passages.used_groups(answers, groups)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("regexp_extract_all") == 1
+
+
+def test_citations_are_stripped_as_by_the_patterns_alone(spark):
+    from docloom.functions import text as t
+
+    rows = ["a [E1] b", " [E2]", "x [Data: 3 ]\n", " x ", "x\u0085", "\n", " ", "", "[", "a", "a b", " a", "a\r\n", "[來源未映射]a ", "é [e12]", None, "ab​", "a[ E3]", "　[E4]　z"]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    plain = t.strip(F.regexp_replace(F.coalesce(F.col("x"), F.lit("")), t.CITATION, ""))
+    assert df.filter(~t.strip_citations(F.col("x")).eqNullSafe(plain)).count() == 0
