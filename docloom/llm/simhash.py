@@ -13,8 +13,8 @@ different components; components, not pairs, are the result.
 
 Where links are also verified by Jaccard similarity, texts come first through an exact filter: who
 has too few shingles that stand in another text as well is in no pair. Of the others each meets, in
-every partition, the text that has the largest share of such shingles among those of its value (the
-middle of a cloud of near copies), and the join keeps a pair only if these shingles suffice for it.
+every partition, the text whose shingles stand in most texts among those of its value (the middle of a
+cloud of near copies), and the join keeps a pair only if these shingles suffice for it.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def _signed(x: int) -> int:
 
 def _probes(rows: DataFrame, probed: list[tuple[int, list[int], int]]) -> DataFrame:
     """rows(fp and, if any, component, id, n, m) with (k, v) for each probed partition k: all values within its threshold of the own one."""
-    names = [c for c in ("fp", "component", "id", "n", "m") if c in rows.columns]
+    names = [c for c in ("fp", "component", "id", "n", "m", "w") if c in rows.columns]
     table = [(k, np.int64(_signed(sum(1 << b for b in group))), np.array(_masks(group, t), np.int64)) for k, group, t in probed]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +201,9 @@ def _chained(prints: DataFrame, groups: list[list[int]], distance: int) -> DataF
 
 
 def _led(prints: DataFrame, probed: list[tuple[int, list[int], int]], distance: int) -> DataFrame:
-    """(a, b): each of prints(fp, id, n, m) and, of those with its value in a partition, the one with the largest share m / n."""
+    """(a, b): each of prints(fp, id, w) and, of those with its value in a partition, the one of the largest w."""
     rows = _probes(prints, [(k, g, 0) for k, g, _ in probed]).withColumn("salt", F.pmod(F.col("id"), F.lit(SALTS)).cast("int"))
-    first = rows.groupBy("k", "v").agg(F.max(F.struct(F.col("m") / F.nullif("n", F.lit(0)), "fp", "id")).alias("of"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    first = rows.groupBy("k", "v").agg(F.max(F.struct("w", "fp", "id")).alias("of"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     # one value may be that of many rows
     first = first.select("k", "v", F.col("of.fp").alias("of_fp"), F.col("of.id").alias("of_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     near = rows.join(first, ["k", "v", "salt"]).filter((F.col("id") != F.col("of_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("of_fp"))) <= distance))
@@ -220,7 +220,7 @@ def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], D
     """
     verify = verify or (lambda pairs: pairs)
     own = "id" if "id" in prints.columns else "fp"
-    prints = kept(prints.select(*dict.fromkeys([own, "fp"]), *(["n", "m"] if own == "id" else [])).distinct())
+    prints = kept(prints.select(*dict.fromkeys([own, "fp"]), *(["n", "m", "w"] if own == "id" else [])).distinct())
     names = prints.select(F.col(own).alias("fp"))
     n, both = _bit_counts(prints)
     if n < 2:
@@ -267,11 +267,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
 
 
 def _in_two(rows: DataFrame, *more: str) -> DataFrame:
-    """(id, more, m): how many shingles h of rows(h, id, more) an id has that another id has too; none: no row."""
+    """(id, more, m, w): how many shingles h of rows(h, id, more) an id has that another id has too, and the sum of their rows' logarithms; none: no row."""
     of = W.partitionBy("h")
     first = F.lag("id").over(of.orderBy("id"))  # rows of one id, which copies of a text give, count once
-    seen = rows.select("id", *more, (F.min("id").over(of) != F.max("id").over(of)).alias("_two"), (first.isNull() | (first != F.col("id"))).alias("_new"))
-    return seen.filter("_two and _new").groupBy("id").agg(*(F.max(c).alias(c) for c in more), F.count(F.lit(1)).alias("m"))
+    seen = rows.select("id", *more, (F.min("id").over(of) != F.max("id").over(of)).alias("_two"), (first.isNull() | (first != F.col("id"))).alias("_new"), F.count(F.lit(1)).over(of).alias("_of"))
+    return seen.filter("_two and _new").groupBy("id").agg(*(F.max(c).alias(c) for c in more), F.count(F.lit(1)).alias("m"), F.sum(F.log2("_of")).alias("w"))
 
 
 def _common(n: np.ndarray, least: float) -> np.ndarray:
@@ -328,7 +328,7 @@ def _sets(texts: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def _shared(sets: DataFrame, least: float) -> DataFrame:
-    """(id, fp, n, m): of sets() those that have enough elements, m, which others have as well."""
+    """(id, fp, n, m, w): of sets() those that have enough elements, m, which others have as well; w is larger the more have them."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +338,8 @@ def _shared(sets: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), [len(x) // 4 for x in raw]))], ["h", "id"])
 
     m = _in_two(sets.select("id", "s").mapInArrow(elements, "h long, id long"))
-    return sets.select("id", "fp", "n").join(m, "id", "left").fillna(0, "m").filter(F.col("m") >= F.ceil(F.round(least * F.col("n"), 9)))
+    near = sets.select("id", "fp", "n").join(m, "id", "left").withColumn("w", (1000 * F.col("w") / F.nullif("n", F.lit(0))).cast("long"))
+    return near.fillna(0, ["m", "w"]).filter(F.col("m") >= F.ceil(F.round(least * F.col("n"), 9)))
 
 
 def _alike(sets: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
