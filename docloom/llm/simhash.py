@@ -14,7 +14,10 @@ different components; components, not pairs, are the result.
 Where links are also verified by Jaccard similarity, texts come first through an exact filter: who
 has too few shingles that stand in another text as well is in no pair. Of the others each meets, in
 every partition, the text whose shingles stand in most texts among those of its value (the middle of a
-cloud of near copies), and the join keeps a pair only if these shingles suffice for it.
+cloud of near copies). Then texts of different components meet by their rarest shingles: of two alike
+sets these prefixes share one, in any order that holds for all, so no pair is lost, a text's rows follow
+its own size, however many texts there are, and shingles within one component alone leave before the join.
+The distance of the fingerprints stays a condition of that join.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from docloom.operators.components import components
 
 #: Ids that are sent to all tasks, and parts of the rows that meet one leading text.
 SEND_IDS, SALTS = 200_000, 8
+#: Cells in which shingles are counted for the order of prefixes, and those that a row of the counts holds.
+CELLS, PART = 1 << 20, 1 << 14
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -161,8 +166,8 @@ def _signed(x: int) -> int:
 
 
 def _probes(rows: DataFrame, probed: list[tuple[int, list[int], int]]) -> DataFrame:
-    """rows(fp and, if any, component, id, n, m) with (k, v) for each probed partition k: all values within its threshold of the own one."""
-    names = [c for c in ("fp", "component", "id", "n", "m", "w") if c in rows.columns]
+    """rows(fp and, if any, component, id, w) with (k, v) for each probed partition k: all values within its threshold of the own one."""
+    names = [c for c in ("fp", "component", "id", "w") if c in rows.columns]
     table = [(k, np.int64(_signed(sum(1 << b for b in group))), np.array(_masks(group, t), np.int64)) for k, group, t in probed]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +215,13 @@ def _led(prints: DataFrame, probed: list[tuple[int, list[int], int]], distance:
     return near.select(F.col("id").alias("a"), F.col("of_id").alias("b"))
 
 
-def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0) -> DataFrame:
+def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], DataFrame] | None = None, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, component): the distinct fingerprints of column ``fp``; component is the smallest one of the class.
 
     With a column ``id``, the distinct (id, fp) are what is linked, also those of one fingerprint:
     (id, component). ``verify`` takes pairs (a, b) of ids, or fingerprints, and returns those that
-    are links. With ids there are also the set's size ``n`` and how many of it others have, ``m``:
-    pairs that can't have the Jaccard similarity ``least`` with these are not verified.
+    are links. With ids there are also the set's size ``n`` and how many of it others have, ``m``, and
+    ``meet`` takes (id, fp, component, n, m) and returns the pairs of different components to verify.
     """
     verify = verify or (lambda pairs: pairs)
     own = "id" if "id" in prints.columns else "fp"
@@ -233,20 +238,15 @@ def linked(prints: DataFrame, distance: int = 4, verify: Callable[[DataFrame], D
     first = components(names, verify(start.distinct())).toDF(own, "component")
     links = first.select(F.col(own).alias("a"), F.col("component").alias("b"))
     if own == "id":
-        first = kept(first.join(prints, "id").select("fp", "component", "id", "n", "m"))
-    # one side has its own value in each partition, the other all values within the threshold
-    a, b = _probes(first, probed), _probes(first, [(k, g, 0) for k, g, _ in probed])
-    a, b = (x.select(*(F.col(c).alias(f"{c}_{side}") for c in x.columns)) for x, side in ((a, "a"), (b, "b")))
-    # a pair is met from both sides, as the wide side has any value within t of its own; one is enough
-    apart = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    meet = (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("component_a") < F.col("component_b")) & (F.bit_count(apart) <= distance)
-    if own == "id":
-        most = F.least("m_a", "m_b")
-        meet &= most >= least * (F.col("n_a") + F.col("n_b") - most)
-        for k, g, t in probed:  # a pair that meets in several partitions counts in the first
-            meet &= (F.col("k_a") <= k) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(sum(1 << x for x in g))))) > t)
-    found = a.join(b, meet)
-    pairs = verify(found.select(F.col(f"{own}_a").alias("a"), F.col(f"{own}_b").alias("b")).distinct())
+        found = meet(first.join(prints, "id").select("id", "fp", "component", "n", "m"))
+    else:
+        # one side has its own value in each partition, the other all values within the threshold
+        a, b = _probes(first, probed), _probes(first, [(k, g, 0) for k, g, _ in probed])
+        a, b = (x.select(*(F.col(c).alias(f"{c}_{side}") for c in x.columns)) for x, side in ((a, "a"), (b, "b")))
+        # a pair is met from both sides, as the wide side has any value within t of its own; one is enough
+        near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
+        found = a.join(b, (a.k_a == b.k_b) & (a.v_a == b.v_b) & (F.col("component_a") < F.col("component_b")) & near).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    pairs = verify(found.distinct())
     return components(names, pairs.unionByName(links)).toDF(own, "component")
 
 
@@ -342,6 +342,67 @@ def _shared(sets: DataFrame, least: float) -> DataFrame:
     return near.fillna(0, ["m", "w"]).filter(F.col("m") >= F.ceil(F.round(least * F.col("n"), 9)))
 
 
+def _often(sets: DataFrame) -> np.ndarray:
+    """How many elements of all sets fall into each of CELLS (a task adds 65,535 at most, which only changes the order)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, np.frombuffer(raw.as_buffer(), "<u4") & (CELLS - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS // PART)), pa.array([x.tobytes() for x in np.minimum(total, 65_535).astype("<u2").reshape(-1, PART)], pa.binary())], ["part", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in rows["counts"])
+        return pa.table({"part": rows["part"][:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
+
+    parts = sets.select("s").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
+    return np.frombuffer(b"".join(bytes(r["counts"]) for r in sorted(parts, key=lambda r: r["part"])), "<u4")
+
+
+def _rarest(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """texts(id, fp, component, n, m) with (h, at), a row for each element of their prefixes in the order of rising counts; at: its place.
+
+    Two alike sets share one of their first n - o + 1, where o of n are common at least. Empty sets meet by an h of their own.
+    """
+    texts = kept(texts)
+    sent, names = sets.sparkSession.sparkContext.broadcast(_often(_chosen(sets, texts.select("id")))), texts.columns
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part, found = batch.slice(i, 256), []
+                for raw in part.column(len(names)):
+                    x = np.frombuffer(raw.as_buffer(), "<u4")
+                    often = sent.value[x & (CELLS - 1)]
+                    rare = np.argsort(often, kind="stable")[: len(x) - int(_common(np.array([len(x)]), least)[0]) + 1]
+                    at = np.flatnonzero(often[rare] > 1)  # the only one of its cell is in no other set
+                    found.append((x[rare[at]].astype(np.int64), at) if len(x) else (np.array([-1]), np.array([0])))
+                of = pa.array(np.repeat(np.arange(part.num_rows), [len(at) for _, at in found]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(of) for k in range(len(names))), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], [*names, "h", "at"])
+
+    own = sets.select("id", "s").join(F.broadcast(texts) if texts.count() <= SEND_IDS else texts, "id")
+    return own.select(*names, "s").mapInArrow(first, ", ".join(f"{c} long" for c in [*names, "h", "at"]))
+
+
+def _meeting(sets: DataFrame, distance: int, least: float) -> Callable[[DataFrame], DataFrame]:
+    """The pairs (a, b) of texts(id, fp, component, n, m) of different components that may be alike by sets(id, s)."""
+
+    def meet(texts: DataFrame) -> DataFrame:
+        rows = written(_rarest(sets, texts, least), "simhash-rarest")
+        # what stands in one component alone makes no pair, however many texts of it have it
+        two = rows.groupBy("h").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).filter("_min <> _max").select("h")
+        rows = kept(rows.join(two, "h"))
+        a, b = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "ab")
+        both, most = F.col("n_a") + F.col("n_b"), F.least("m_a", "m_b")
+        # after the first common element no more can be shared than the shorter rest
+        enough = (most >= least * (both - most)) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least / (1 + least) * both - 1e-6)
+        near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance
+        return a.join(b, (F.col("h_a") == F.col("h_b")) & (F.col("component_a") < F.col("component_b")) & near & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    return meet
+
+
 def _alike(sets: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
     """A check of pairs of sets(id, n, p, s): Jaccard similarity.
 
@@ -399,7 +460,7 @@ def deduplicated(docs: DataFrame, distance: int = 14, width: int = 5, least: flo
     marked = written(with_fingerprint(docs, columns, fp, width).withColumn(of_text, F.xxhash64("text", fp)), "simhash")
     slim = marked.select(F.col(of_text).alias("id"), F.col(fp).alias("fp"), F.col("text").alias("text"))
     sets = _sets(slim, width, least)
-    classes = kept(linked(_shared(sets, least), distance, _alike(sets, least), least).filter("id <> component").toDF(of, component))
+    classes = kept(linked(_shared(sets, least), distance, _alike(sets, least), _meeting(sets, distance, least)).filter("id <> component").toDF(of, component))
     classes = F.broadcast(classes) if classes.count() <= SEND_IDS else classes
     # maps have no hash; rows that are alike in all else differ by their place alone
     hashed = [c for c in columns if "map<" not in docs.schema[c].dataType.simpleString()]
