@@ -154,15 +154,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: F.Co
 def with_score(docs: DataFrame, model: dict, columns: list[str], out: str = "score", least: float | None = None) -> DataFrame:
     """The given columns with a score of the text; with ``least``, only rows that reach it, without the score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text = name_apart(docs, "_scored_text")[0]
-    source = docs.select(*columns, F.col("text").alias(text))
+    # texts that are given back go to the tasks once
+    text = "text" if "text" in columns else name_apart(docs, "_scored_text")[0]
+    source = docs.select(*columns, *([] if "text" in columns else [F.col("text").alias(text)]))
     schema = T.StructType([*docs.select(*columns).schema.fields, *([] if least is not None else [T.StructField(out, T.DoubleType())])])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in text_slices(batch, text):
                 p = predict(sent.value, data, offsets)
-                arrays = batch.slice(at, end - at).columns[:-1]
+                arrays = batch.slice(at, end - at).columns[: len(columns)]
                 if least is None:
                     yield pa.RecordBatch.from_arrays([*arrays, pa.array(p)], [*columns, out])
                 else:

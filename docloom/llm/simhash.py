@@ -60,15 +60,17 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, columns: list[str], out: str, width: int = 4) -> DataFrame:
     """The given columns and the text's fingerprint as a signed 64-bit integer. Columns may have any names but ``out``."""
-    source = docs.select(*columns, F.col("text").alias(name_apart(docs, "_print_text")[0]))
+    # texts that are given back go to the tasks once
+    at = columns.index("text") if "text" in columns else len(columns)
+    source = docs.select(*columns, *([] if "text" in columns else [F.col("text").alias(name_apart(docs, "_print_text")[0])]))
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(out, T.LongType())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = np.array([fingerprint(x.as_py(), width) for x in part.column(part.num_columns - 1)], np.uint64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found.view(np.int64))], [*columns, out])
+                found = np.array([fingerprint(x.as_py(), width) for x in part.column(at)], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(found.view(np.int64))], [*columns, out])
 
     return source.mapInArrow(prints, schema)
 
