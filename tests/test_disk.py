@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from docloom.operators import passages
 from docloom.operators.similarity import among, classes, shared_enough
+from docloom.plans import QUERIES
 from docloom.sources.scratch import shared_dir
 
+SMALL = "/root/testdata/sf0.001"
+
 BLOCKS = "document_id string, page int, ordinal int, text string"
 
 
@@ -32,6 +35,12 @@ def test_passages_leave_no_sets_on_disk(spark):
     assert bytes_of(root) - before < 8 * 148 * 1500 / 4
 
 
+def test_expansion_leaves_less_than_its_input_on_disk(spark):
+    before = bytes_of(root := Path(shared_dir(spark).removeprefix("file://")))
+    assert QUERIES["d5_expansion_locations"](spark, SMALL).count() > 0
+    assert bytes_of(root) - before < Path(f"{SMALL}/documents.parquet").stat().st_size
+
+
 def test_only_sets_that_others_hold_enough_of(spark):
     rng = random.Random(5)
     pool = [rng.getrandbits(63) for _ in range(600)]
