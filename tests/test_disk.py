@@ -41,6 +41,31 @@ def test_expansion_leaves_less_than_its_input_on_disk(spark):
     assert bytes_of(root) - before < Path(f"{SMALL}/documents.parquet").stat().st_size
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for others."""
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_texts_of_asked_pages_are_shuffled(spark):
+    rng = random.Random(2)
+    evidence = spark.createDataFrame([("q", 1, "E1", "1", "d", 1, "u", "", "text_unit", "")], "question_id string, rank int, evidence_id string, context_id string, document_id string, page int, text_unit_id string, text string, source_type string, added_by string")
+    locations = spark.createDataFrame([("q", "d", 7, 1), ("q", "d", 1, 1)], "question_id string, document_id string, page long, group long")
+    groups = spark.createDataFrame([(1, "abc def")], "group long, text string")
+    meta = spark.createDataFrame([(f"u{page}", "d", page, "abc " + " ".join(words(rng, 1000))) for page in range(400)], "text_unit_id string, document_id string, page int, text string").repartition(4).checkpoint()
+    got = passages.with_duplicate_citations(evidence, locations, groups, meta, meta.select("text_unit_id", F.lit("c").alias("context_id")))
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["rank"], r["page"], r["text_unit_id"], r["added_by"]) for r in rows) == [(1, 1, "u", "duplicate_passage"), (2, 7, "u7", "duplicate_passage")]
+    assert shuffled(spark) - before < 400 * 3000 / 4
+
+
 def test_only_sets_that_others_hold_enough_of(spark):
     rng = random.Random(5)
     pool = [rng.getrandbits(63) for _ in range(600)]
