@@ -1,32 +1,31 @@
 """D3: groups of repeated passages that follow their documents, without comparing all of them again.
 
-Stored are the passages of each document, each distinct set of word triples in the order of prefixes, the pairs of
-similar sets, and the groups that they form with their pages. A refresh takes documents whose stamp changed: sets that no
-passage has any more go with their pairs, new sets meet the stored prefixes and each other, and only
+Stored are the passages of each document with the id of their set of word triples, the pairs of
+similar sets, and the groups that they form with their pages; sets are cut from the stored texts again. A refresh takes
+documents whose stamp changed: sets that no passage has any more go with their pairs, new sets meet each other and those of
+the stored sets that share enough triples with new ones, and only
 groups that lost, gained or moved a passage, or whose sets new pairs reach, are put together again (so a
 group whose link went falls apart). All other rows stay as they are.
 
-The order of triples in prefixes is that of their frequency when the store was built, unknown ones first:
-any fixed order finds all pairs, that one keeps common triples out. The six tables are versioned stores
-of their own; one manifest names the versions that belong together.
+The five tables are versioned stores of their own; one manifest names the versions that belong together.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.components import components
 from docloom.operators.passages import CONTAINMENT, SIZE_RATIO, groups_of, pages_of, passages
-from docloom.sources.scratch import written
-from docloom.sources.store import DocumentStore, Manifests
+from docloom.operators.similarity import among, links_of, set_id
+from docloom.sources.scratch import packed, tidy, workspace
+from docloom.sources.store import DocumentStore, Manifests, few
 
-LOW = CONTAINMENT * SIZE_RATIO
 TABLES = {
-    "items": ("document_id", "document_id string, page {page}, ordinal {ordinal}, text string, set bigint"),
-    "sets": ("set", "set bigint, n int, grams array<bigint>"),
+    "items": ("document_id", "document_id string, page {page}, ordinal {ordinal}, text string, set bigint, n int"),
     "links": ("a", "a bigint, b bigint"),
     "members": ("set", "set bigint, group bigint"),
     "places": ("group", "group bigint, document_id string, page {page}, text string"),
@@ -36,37 +35,13 @@ PLACE = ["document_id", "page"]
 
 
 def _items(blocks: DataFrame) -> DataFrame:
-    """Passages with the id of their set of triples."""
-    found = passages(blocks).filter(F.size("grams") > 0)
-    return found.withColumn("set", F.xxhash64(F.array_sort("grams")))
+    """Passages with the id and the size of their set of triples."""
+    found = passages(blocks.select(*PLACE, "ordinal", "text")).filter(F.size("grams") > 0)
+    return found.select(*PLACE, "ordinal", "text", set_id("grams").alias("set"), F.size("grams").alias("n"))
 
 
-def _length(n, share: float):
-    return (n - F.ceil(F.round(n * share, 9)) + 1).cast("int")
-
-
-def _ordered(sets: DataFrame, often: DataFrame) -> DataFrame:
-    """sets(set, n, grams) with their rarest triples first, so that a prefix is a slice."""
-    cells = sets.select("set", "n", F.explode("grams").alias("gram")).join(often, "gram", "left")
-    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "gram"))), lambda x: x["gram"])
-    return cells.groupBy("set", "n").agg(order.alias("grams"))
-
-
-def _met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """(a, b): sets that share a triple of their prefixes, whose sizes allow a link and that have enough triples from there on; a is the smaller one."""
-    cells = lambda t, x, share: t.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.posexplode(F.slice("grams", F.lit(1), _length(F.col("n"), share))).alias(f"r_{x}", "gram"))
-    a, b = cells(smaller, "a", CONTAINMENT), cells(larger, "b", LOW)
-    first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    # at the first triple that both have, no more can be shared than the shorter rest
-    enough = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) >= CONTAINMENT * F.col("n_a") - 1e-6
-    return a.join(b, "gram").filter(first & (F.col("n_a") >= SIZE_RATIO * F.col("n_b")) & enough).select("a", "b").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of which the larger set holds nearly all of the smaller."""
-    left, right = (sets.select(F.col("set").alias(x), F.col("grams").alias(f"g_{x}")) for x in "ab")
-    same = F.size(F.array_intersect("g_a", "g_b")) / F.size("g_a")
-    return pairs.join(left, "a").join(right, "b").filter(same >= CONTAINMENT).select("a", "b")
+def _cut(items: DataFrame) -> DataFrame:
+    return passages(items).withColumnRenamed("set", "id")
 
 
 class PassageGroups:
@@ -95,76 +70,79 @@ class PassageGroups:
     def build(cls, blocks: DataFrame, stamps: DataFrame, root: str, buckets: int = 64) -> PassageGroups:
         """Groups of all blocks(document_id, page, ordinal, text); stamps(document_id, stamp) as they are now."""
         self = cls(blocks.sparkSession, root)
-        items = written(_items(blocks), "passages")
-        kinds = dict(items.dtypes)
-        # a triple of one set alone is as rare as an unknown one
-        sets = items.groupBy("set").agg(F.first("grams").alias("grams"))
-        often = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-        often.write.parquet(f"{self.root}/often")
+        kinds = {k: v for k, v in blocks.dtypes if k in ("page", "ordinal")}
         versions = {}
         for name, (key, schema) in TABLES.items():
-            none = self.spark.createDataFrame([], schema.format(**{"page": "int", "ordinal": "int"} | kinds))
+            none = self.spark.createDataFrame([], schema.format(**kinds))
             DocumentStore.create(none, f"{self.root}/{name}", key=key, buckets=buckets)
             versions[name] = 0
         none = self.spark.createDataFrame([], "document_id string, stamp string")
         none.write.parquet(f"{self.root}/stamps/none")
         self.files.commit({"versions": versions, "stamps": f"{self.root}/stamps/none"})
-        self._change(items, stamps, stamps.select("document_id"))
+        self._change(_items(blocks), stamps, blocks.select("document_id").unionByName(stamps.select("document_id")).distinct())
         return self
 
     def refresh(self, blocks: DataFrame, stamps: DataFrame) -> PassageGroups:
         """Follow the blocks of documents whose stamps are other ones now, or which are gone; those of others aren't looked at."""
         now, was = stamps.select("document_id", "stamp"), self.stamps()
-        changed = written(now.exceptAll(was).unionAll(was.exceptAll(now)).select("document_id").distinct(), "changed")
+        changed = packed(now.exceptAll(was).unionAll(was.exceptAll(now)).select("document_id").distinct(), "changed")
         if changed.head(1):
-            self._change(written(_items(blocks.join(changed, "document_id", "left_semi")), "passages"), stamps, changed)
+            self._change(_items(blocks.join(few(changed), "document_id", "left_semi")), stamps, changed)
         return self
 
     def _change(self, found: DataFrame, stamps: DataFrame, changed: DataFrame) -> None:
+        with workspace(self.spark, "passages") as keep, tidy(self.spark):
+            self._changed(found, stamps, keep(changed, "changed"), keep)
+
+    def _changed(self, found: DataFrame, stamps: DataFrame, changed: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> None:
         state = self.files.read()
         versions = dict(state["versions"])
-        often = self.spark.read.schema("gram bigint, often bigint").parquet(f"{self.root}/often")
-        items, sets, links, members = (self._table(t) for t in ("items", "sets", "links", "members"))
+        was, links, members = (self._table(t) for t in ("items", "links", "members"))
 
-        def replace(name: str, rows: DataFrame, gone: DataFrame) -> DataFrame:
-            versions[name] = self._store(name).replace(rows, gone=gone, base=versions[name])
+        def replace(name: str, rows: DataFrame, gone: DataFrame, whole: bool = False) -> DataFrame:
+            versions[name] = self._store(name).replace(rows, gone=gone, base=versions[name], whole=whole)
             return self._store(name).read(versions[name])
 
-        # passages (a written table), and the sets that come and go with them
-        before = items.join(changed, "document_id", "left_semi").select("set")
-        touched = written(before.unionByName(found.select("set")).distinct(), "touched")
-        items = replace("items", found.drop("grams"), changed)
-        live = items.select("set").join(touched, "set", "left_semi").distinct()
-        gone = written(touched.join(live, "set", "left_anti").join(sets, "set", "left_semi"), "gone")
-        new = found.groupBy("set").agg(F.first("grams").alias("grams")).join(sets.select("set"), "set", "left_anti")
-        new = written(_ordered(new.select("set", F.size("grams").alias("n"), "grams"), often), "sets")
+        # passages, read once, and the sets that come and go with them
+        items = replace("items", found, changed, whole=True)
+        own = F.col("document_id").eqNullSafe(F.col("_changed"))
+        keys = few(changed.select(F.col("document_id").alias("_changed")))
+        of = lambda rows: rows.join(keys, own, "left_semi").select("set").distinct()
+        before, after = keep(of(was), "before"), keep(of(items), "after")
+        touched = keep(before.unionByName(after).distinct(), "touched")
+        gone = keep(before.join(items.select("set"), "set", "left_anti"), "gone")
+        new = keep(after.join(was.select("set"), "set", "left_anti"), "new")
         # pairs: the new sets with each other and with those that stay
-        stay = sets.join(gone, "set", "left_anti")
-        pairs = _met(new, new).unionByName(_met(new, stay)).unionByName(_met(stay, new)).distinct()
-        sets = replace("sets", new, gone)
-        fresh = written(_similar(pairs, sets), "links")
+        rows = items.withColumn("row", F.xxhash64(*PLACE, "ordinal", "set"))
+        kinds = keep(rows.groupBy(F.col("set").alias("id")).agg(F.min("row").alias("row"), F.first("n").alias("n")), "kinds")
+        fresh = keep(links_of(rows, _cut, kinds, CONTAINMENT, SIZE_RATIO, keep, new.toDF("id")), "fresh")
         lost = links.join(gone.withColumnRenamed("set", "a"), "a", "left_semi").unionByName(links.join(gone.withColumnRenamed("set", "b"), "b", "left_semi").select("a", "b")).distinct()
-        ends = written(lost.select("a").unionByName(fresh.select("a")).distinct(), "ends")
-        own = links.join(ends, "a", "left_semi").join(lost, ["a", "b"], "left_anti").unionByName(fresh)
-        links = replace("links", own, ends)
+        ends = keep(lost.select("a").unionByName(fresh.select("a")).distinct(), "ends")
+        kept = links.join(ends, "a", "left_semi").join(lost, ["a", "b"], "left_anti").unionByName(fresh)
+        links = replace("links", kept, ends)
         # groups of the touched sets and of all that they are linked with, before or now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(touched.withColumnRenamed("set", "a"), "a", "left_semi").select(F.col("b").alias("set"))
-        affected = written(members.join(near.unionByName(touched).distinct(), "set", "left_semi").select("group").distinct(), "affected")
+        affected = keep(members.join(near.unionByName(touched).distinct(), "set", "left_semi").select("group").distinct(), "affected")
         inside = members.join(affected, "group", "left_semi").select("set")
-        vertices = written(inside.unionByName(new.select("set")).unionByName(near).distinct().join(gone, "set", "left_anti"), "vertices")
-        at = items.join(vertices, "set", "left_semi")
-        extent = written(at.groupBy("set").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")), "extents")
+        vertices = keep(inside.unionByName(new).unionByName(near).distinct().join(gone, "set", "left_anti"), "vertices")
+        at = rows.select(*PLACE, "ordinal", "set", "row").join(vertices, "set", "left_semi")
+        extent = keep(at.groupBy("set").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")), "extents")
         a, b = extent.toDF("a", "a_first", "a_last"), extent.toDF("b", "b_first", "b_last")
         apart = (F.col("a_first") != F.col("a_last")) | (F.col("b_first") != F.col("b_last")) | (F.col("a_first") != F.col("b_first"))
         label = components(vertices.select(F.col("set").alias("fp")), links.join(a, "a").join(b, "b").filter(apart).select("a", "b"))
-        label = written(label.toDF("set", "group"), "labels")
+        label = keep(label.toDF("set", "group"), "labels")
         replace("members", label, vertices.unionByName(gone))
-        rows = written(at.join(label, "set").drop("set"), "members")
-        wide = written(groups_of(rows).filter("n_pages > 1"), "groups")
+        # texts only of passages in groups on two pages or more
+        place = F.struct(*PLACE)
+        at = keep(at.join(label, "set").drop("set"), "places")
+        wide = at.groupBy("group").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("group")
+        at = keep(at.join(wide, "group", "left_semi"), "wide")
+        texts = among(rows, "row", at.select("row").distinct()).select("row", "text").dropDuplicates(["row"])
+        at = keep(at.join(texts, "row").drop("row"), "members")
         old = affected.unionByName(label.select("group")).distinct()
-        replace("places", pages_of(rows).join(wide, "group", "left_semi"), old)
-        replace("groups", wide, old)
+        replace("places", pages_of(at), old)
+        replace("groups", groups_of(at), old)
         path = f"{self.root}/stamps/{uuid.uuid4().hex}"
         stamps.select("document_id", F.col("stamp").cast("string").alias("stamp")).write.parquet(path)
         self.files.commit({"versions": versions, "stamps": path})

@@ -20,7 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.scratch import tidy
+
 BUCKET = "store_bucket"
+FEW = 100_000  # keys that go to all tasks
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Keys that go to all tasks where there are FEW of them, so that the other side of a join is not shuffled."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
 class Manifests:
@@ -77,7 +85,8 @@ class DocumentStore:
     def _write(self, rows: DataFrame) -> dict[str, str]:
         """The rows in new folders: bucket -> folder below the root."""
         place = f"data/{uuid.uuid4().hex}"
-        rows.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.root}/{place}")
+        with tidy(self.spark):
+            rows.hint("rebalance", F.col(BUCKET)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.root}/{place}")
         return {x.partition("=")[2]: f"{place}/{x}" for x in self.files.names(place) if x.startswith(f"{BUCKET}=")}
 
     # ---- tables ----
@@ -118,11 +127,11 @@ class DocumentStore:
         """The buckets of the keys: as many as the store has, at most."""
         return [str(r[0]) for r in self._placed(settings, keys).select(BUCKET).distinct().collect()]
 
-    def replace(self, rows: DataFrame, source: str | None = None, batch: int | None = None, gone: DataFrame | None = None, base: int | None = None) -> int:
+    def replace(self, rows: DataFrame, source: str | None = None, batch: int | None = None, gone: DataFrame | None = None, base: int | None = None, whole: bool = False) -> int:
         """The documents of these rows in place of the stored ones; the version then. Batches of a source are applied once.
 
         ``gone``: keys of documents that lose their stored rows, whether they have new ones or not; ``base``:
-        the version to change, the last one if not given.
+        the version to change, the last one if not given. ``whole``: gone has the documents of all rows, which are then read only once.
         """
         base = self.versions()[-1] if base is None else base
         settings = self.manifest(base)
@@ -130,10 +139,11 @@ class DocumentStore:
             return base
         key = settings["key"]
         columns = T.StructType.fromJson(json.loads(settings["schema"])).names
-        rows = rows.select(*columns).persist()
+        rows = rows.select(*columns)
+        rows = rows if whole else rows.persist()
         try:
-            own = rows.select(key)
-            own = (own if gone is None else own.unionByName(gone.select(key))).distinct().withColumnRenamed(key, "_key")
+            own = rows.select(key) if gone is None else gone.select(key) if whole else rows.select(key).unionByName(gone.select(key))
+            own = own.distinct().withColumnRenamed(key, "_key")
             touched = self._touched(settings, own.withColumnRenamed("_key", key))
             if not touched:
                 return base
@@ -141,12 +151,13 @@ class DocumentStore:
             if settings["stamp"] and gone is None:
                 both = self._newest(settings, old.unionByName(new))
             else:
-                both = old.join(own, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(new)
+                both = old.join(few(own), F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(new)
             folders = {b: f for b, f in settings["folders"].items() if b not in touched} | self._write(both)
             batches = settings["batches"] | ({source: batch} if source is not None else {})
             return self.files.commit(settings | {"folders": folders, "batches": batches})
         finally:
-            rows.unpersist()
+            if not whole:
+                rows.unpersist()
 
     def drop_documents(self, names: DataFrame) -> int:
         """Without the documents of names(key)."""

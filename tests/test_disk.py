@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from docloom.operators import passages
+from docloom.operators.passage_store import passage_groups_cached
 from docloom.operators.similarity import among, classes, shared_enough
 from docloom.plans import QUERIES
 from docloom.sources.scratch import shared_dir
@@ -35,6 +36,19 @@ def test_passages_leave_no_sets_on_disk(spark):
     assert bytes_of(root) - before < 8 * 148 * 1500 / 4
 
 
+def test_stored_groups_hold_no_sets(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"d{page % 5}", page, 0, " ".join(words(rng, 150))) for page in range(1500)]
+    rows += [("e", page, 0, text) for _, page, _, text in rows[:40]]
+    before = bytes_of(root := Path(shared_dir(spark).removeprefix("file://")))
+    stamps = spark.createDataFrame([(f"d{i}", "1") for i in range(5)] + [("e", "1")], "document_id string, stamp string")
+    blocks = spark.createDataFrame(rows, BLOCKS)
+    assert passage_groups_cached(blocks, stamps, f"{tmp_path}/g").count() == 40
+    got = passage_groups_cached(blocks, stamps.withColumn("stamp", F.when(F.col("document_id") == "d1", "2").otherwise("1")), f"{tmp_path}/g")
+    assert [r["n_pages"] for r in got.collect()] == [2] * 40
+    assert bytes_of(root) - before + bytes_of(tmp_path) < 8 * 148 * 1500 * 1.5
+
+
 def test_expansion_leaves_less_than_its_input_on_disk(spark):
     before = bytes_of(root := Path(shared_dir(spark).removeprefix("file://")))
     assert QUERIES["d5_expansion_locations"](spark, SMALL).count() > 0
